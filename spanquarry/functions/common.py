@@ -59,6 +59,12 @@ def avg_where(value, cond: Column) -> Column:
     return F.avg(F.when(cond, as_col(value)))
 
 
+def mean_where(value, cond: Column) -> Column:
+    """Mean that is compared with a threshold later: the order in which a cluster adds
+    doubles varies, so noise beyond nine digits must not decide the verdict."""
+    return F.round(avg_where(value, cond), 9)
+
+
 def count_where(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 

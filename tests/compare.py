@@ -92,7 +92,7 @@ if __name__ == "__main__":
         except Exception as exc:  # noqa: BLE001
             problems, n, a, b = [str(exc)[:1500]], 0, 0, 0
         mark = "FAIL" if problems else ("ok" if name in sqls else "rows")
-        print(f"{mark:5}{name:34} rows={n:<7} spark={a:.1f}s sql={b:.1f}s", *problems, flush=True)
+        print(f"\n{mark:5}{name:34} rows={n:<7} spark={a:.1f}s sql={b:.1f}s", *problems, flush=True)
         if problems:
             failed.append(name)
         if not n:
