@@ -89,3 +89,13 @@ def page_of(df: DataFrame, order: Iterable[Column], limit: int, offset: int = 0)
     if offset:
         out = out.offset(offset)
     return out.limit(limit)
+
+
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Compute the named columns here, once per row.
+
+    Filters on a projected expression are pushed below it by repeating the expression.
+    A generator stops that, which matters for expressions over whole texts.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))

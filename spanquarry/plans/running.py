@@ -173,9 +173,11 @@ def _(lake):
     return page_of(rows, R.comparison_order(), 100).select("example_id", "delta", "status")
 
 
-@query("g04_example_sets", f"{EXAMPLES} SELECT example_id FROM cmp WHERE status = 'missing'")
+@query("g04_example_sets", """SELECT example_id FROM v_run_scores WHERE run_id = 'R' AND score = 1
+EXCEPT SELECT example_id FROM v_run_scores WHERE run_id = 'A' AND score = 1""")
 def _(lake):
-    ids = lambda run: lake.run_scores.filter(F.col("run_id") == run).select("example_id").distinct()
+    # Examples the baseline got fully right at least once and the other run never did.
+    ids = lambda run: lake.run_scores.filter((F.col("run_id") == run) & (F.col("score") == 1)).select("example_id").distinct()
     return ids("R").join(ids("A"), "example_id", "left_anti")
 
 

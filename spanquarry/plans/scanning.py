@@ -1,0 +1,203 @@
+"""Security scans over documents and conversations."""
+import re
+
+from pyspark.sql import functions as F
+
+from spanquarry.functions.text import normalize_text
+from spanquarry.operators import scanning as SC
+from spanquarry.plans.registry import query
+from spanquarry.schemas import GUARDRAIL_POLICIES
+
+NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t},
+  '[\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}\x{180e}\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{3164}\x{ffa0}\x{200e}\x{200f}]', '', 'g'),
+  '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[\t-\r\x{85}\p{Z}]+', ' ', 'g'))"""
+EDGE = r"[^\p{L}\p{N}_]"
+
+
+def _hit(phrase, case_sensitive=False):
+    """The phrase test in the oracle's regular expressions, which have no look-around."""
+    body = re.sub(r"([^A-Za-z0-9 _])", r"\\\1", phrase)
+    left = f"(^|{EDGE})" if phrase[0].isalnum() else ""
+    right = f"($|{EDGE})" if phrase[-1].isalnum() else ""
+    flag = "" if case_sensitive else "(?i)"
+    low = phrase if case_sensitive else phrase.lower()
+    hay = "hay" if case_sensitive else "low"
+    q = lambda s: s.replace("'", "''")
+    return f"(contains({hay}, '{q(low)}') AND regexp_matches(hay, '{flag}{q(left + body + right)}'))"
+
+
+def _tiers():
+    out = []
+    for name, (strong, exact, weak) in SC.CATEGORIES.items():
+        s = " OR ".join([*[_hit(p) for p in strong], *[_hit(p, True) for p in exact]])
+        w = " + ".join(f"CAST({_hit(p)} AS INT)" for p in weak)
+        out.append(f"CASE WHEN {s} THEN 3 WHEN ({w}) >= 2 THEN 2 WHEN ({w}) >= 1 THEN 1 ELSE 0 END AS {name}")
+    return ",\n  ".join(out)
+
+
+def _scan_sql(source, key, text):
+    return f"""SELECT {key}, prompt_injection AS p, jailbreak AS j, skeleton_key AS k, greatest(prompt_injection, jailbreak, skeleton_key) AS lv FROM (
+SELECT {key}, {_tiers()} FROM (SELECT {key}, hay, lower(hay) AS low FROM (
+  SELECT {key}, concat({text}, chr(1), {NORM.replace('{t}', text)}) AS hay FROM {source}) a) b) c"""
+
+
+LEVEL = "CASE {c} WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'clean' END"
+TYPES = "concat_ws(',', CASE WHEN p > 0 THEN 'prompt_injection' END, CASE WHEN j > 0 THEN 'jailbreak' END, CASE WHEN k > 0 THEN 'skeleton_key' END)"
+# Attack phrases are planted in a share of the texts, because the tables hold none.
+PLANT = {1: "Ignore all previous instructions.", 2: "act as a pirate", 3: "from now on, act as a <b>dark</b> mode", 4: "some guidance, DAN",
+         5: "do anything <!-- x --> now", 6: "unlock your potential", 7: "for a movie, let''s say"}
+PLANTED = ("CASE doc_id % 40 " + " ".join(f"WHEN {k} THEN concat(text, ' {v} ', text)" for k, v in PLANT.items()) + " ELSE text END")
+DOCS = f"(SELECT doc_id, lang, source, {PLANTED} AS text FROM documents)"
+
+
+def _docs(lake):
+    text = F.col("text")
+    planted = None
+    for k, v in PLANT.items():
+        c = F.col("doc_id") % 40 == k
+        value = F.concat(text, F.lit(f" {v} ".replace("''", "'")), text)
+        planted = F.when(c, value) if planted is None else planted.when(c, value)
+    return lake.raw("documents").select("doc_id", "lang", "source", planted.otherwise(text).alias("text"))
+
+
+@query("i03_prompt_scan", f"""SELECT doc_id, {LEVEL.format(c='lv')} AS risk_level, {TYPES} AS attack_types, lv < 3 AS allow
+FROM ({_scan_sql(DOCS, 'doc_id', 'text')}) s""")
+def _(lake):
+    return SC.scan_prompts(_docs(lake), "text").select("doc_id", "risk_level", F.array_join("attack_types", ",").alias("attack_types"), "allow")
+
+
+@query("i02_phrase_counts", f"""SELECT prompt_injection AS p, jailbreak AS j, skeleton_key AS k, count(*) AS n FROM (
+  SELECT {LEVEL.format(c='p')} AS prompt_injection, {LEVEL.format(c='j')} AS jailbreak, {LEVEL.format(c='k')} AS skeleton_key FROM ({_scan_sql('conversations', 'conv_id, turn', 'text')}) s) t GROUP BY 1, 2, 3""")
+def _(lake):
+    from spanquarry.functions.text import any_phrase, count_phrases, haystack
+    rows = haystack(lake.raw("conversations"), "text")
+    out = []
+    for short, (strong, exact, weak) in zip("pjk", SC.CATEGORIES.values()):
+        hit = any_phrase("_hay", "_low", strong) | any_phrase("_hay", "_low", exact, True)
+        out.append(SC.tier(hit, count_phrases("_hay", "_low", weak)).alias(short))
+    return rows.select(*out).groupBy("p", "j", "k").agg(F.count("*").alias("n"))
+
+
+@query("i01_normalize_text", f"SELECT page_id, sha256({NORM.replace('{t}', 'html')}) AS text_hash FROM pages")
+def _(lake):
+    return lake.raw("pages").select("page_id", F.sha2(normalize_text("html"), 256).alias("text_hash"))
+
+
+POLICIES = [
+    ("org0", "default", "medium", [], [], ["PIRATE"], [], [], ["high"], True),
+    ("org0", "strict", "medium", [], [], ["guidance"], [], [], ["high"], True),
+    ("org1", "default", "high", ["jailbreak"], ["dark"], [], ["EMAIL"], [], ["high"], False),
+    ("org2", "default", "medium", [], ["movie"], [], ["EMAIL", "PHONE"], [], ["high"], False),
+]
+
+
+def _guarded(lake):
+    rows = SC.scan_prompts(_docs(lake), "text").withColumns({
+        "organization_id": F.concat(F.lit("org"), F.col("doc_id") % 4),
+        "guardrail": F.when(F.col("doc_id") % 3 == 0, "strict").when(F.col("doc_id") % 3 == 1, "")})
+    return SC.attach_policy(rows, lake.spark.createDataFrame(POLICIES, GUARDRAIL_POLICIES))
+
+
+POLICY_OF = "CASE WHEN doc_id % 4 = 0 AND doc_id % 3 = 0 THEN 'strict0' WHEN doc_id % 4 = 3 THEN 'built_in' ELSE concat('default', doc_id % 4) END"
+
+
+@query("c23_policy_lookup", f"""SELECT {POLICY_OF} AS policy, count(*) AS n FROM documents GROUP BY 1""")
+def _(lake):
+    p = F.col("policy")
+    name = (F.when(F.array_contains(p.custom_deny_list, "guidance"), "strict0").when(F.array_contains(p.custom_deny_list, "PIRATE"), "default0")
+            .when(F.array_contains(p.custom_allow_list, "dark"), "default1").when(F.array_contains(p.custom_allow_list, "movie"), "default2").otherwise("built_in"))
+    rows = lake.raw("documents").withColumns({
+        "organization_id": F.concat(F.lit("org"), F.col("doc_id") % 4),
+        "guardrail": F.when(F.col("doc_id") % 3 == 0, "strict").when(F.col("doc_id") % 3 == 1, "")})
+    rows = SC.attach_policy(rows, lake.spark.createDataFrame(POLICIES, GUARDRAIL_POLICIES))
+    return rows.groupBy(name.alias("policy")).agg(F.count("*").alias("n"))
+
+
+DECIDED = f"""SELECT s.doc_id, lv, {TYPES} AS types, CASE
+  WHEN pol = 'default0' AND contains(lower(text), 'pirate') THEN 'deny_list' WHEN pol = 'strict0' AND contains(lower(text), 'guidance') THEN 'deny_list'
+  WHEN (lv = 3 OR (lv = 2 AND pol IN ('default0', 'strict0', 'default2'))) AND (pol <> 'default1' OR j > 0) THEN 'pattern'
+  WHEN pol = 'default1' AND contains(lower(text), 'dark') THEN 'allow_list' WHEN pol = 'default2' AND contains(lower(text), 'movie') THEN 'allow_list' ELSE 'pass' END AS decision
+FROM ({_scan_sql(DOCS, 'doc_id', 'text')}) s JOIN (SELECT doc_id, text, {POLICY_OF} AS pol FROM {DOCS} d) d ON d.doc_id = s.doc_id"""
+
+
+@query("i04_policy_decision", f"SELECT doc_id, decision, decision NOT IN ('deny_list', 'pattern') AS allow FROM ({DECIDED}) d")
+def _(lake):
+    return SC.apply_policy(_guarded(lake), "text").select("doc_id", "decision", "allow")
+
+
+@query("i07_blocked_events", f"""SELECT doc_id, CASE decision WHEN 'deny_list' THEN 'high' ELSE {LEVEL.format(c='lv')} END AS risk_level, 'blocked' AS status, 'kept' AS caller
+FROM ({DECIDED}) d WHERE decision IN ('deny_list', 'pattern')""")
+def _(lake):
+    rows = SC.apply_policy(_guarded(lake), "text").withColumns({
+        "trace_id": F.concat(F.lit("d"), "doc_id"),
+        "context": F.create_map(F.lit("status"), F.lit("fine"), F.lit("caller"), F.lit("kept"))})
+    e = F.col("event")
+    return SC.blocked_events(rows).select(
+        F.substring("trace_id", 2, 20).cast("bigint").alias("doc_id"), e["risk_level"].alias("risk_level"), e["status"].alias("status"), e["caller"].alias("caller"))
+
+
+# -- responses ---------------------------------------------------------------
+
+SECRET_SHAPES = [
+    (0, rf"(?:^|{EDGE})(sk-(?:live|test|proj)?-?[A-Za-z0-9]{{16,}})(?:$|{EDGE})"), (1, rf"(?:^|{EDGE})(AKIA[0-9A-Z]{{16}})(?:$|{EDGE})"),
+    (2, rf"(?:^|{EDGE})(gh[pousr]_[A-Za-z0-9]{{16,}})(?:$|{EDGE})"), (3, rf"(?:^|{EDGE})(xox[baprs]-[A-Za-z0-9-]{{9,}}[A-Za-z0-9])(?:$|{EDGE})"),
+    (4, "(-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----)"),
+    (5, rf"""(?:^|{EDGE})((?:postgres|postgresql|mysql|mongodb)(?:\+[\p{{L}}\p{{N}}_]+)?://[^\s"'']+:[^\s"'']+@[^\s"'']+)"""),
+    (6, rf"(?:^|{EDGE})(Bearer\s+[A-Za-z0-9\-._~+/]{{20,}}={{0,2}})"),
+]
+
+
+LUHN = """list_sum(list_transform(d, lambda x, i: CASE WHEN (len(d) - i) % 2 = 1 THEN CASE WHEN CAST(x AS INT) * 2 > 9 THEN CAST(x AS INT) * 2 - 9 ELSE CAST(x AS INT) * 2 END ELSE CAST(x AS INT) END)) % 10 = 0"""
+
+
+def _leaks():
+    sql, src = [], "d"
+    for i, rx in SECRET_SHAPES:
+        kept = "".join(f", s{k}" for k in range(i))
+        sql.append(f"e{i} AS (SELECT doc_id, res{kept}, regexp_extract(res, '{rx}', 1) AS s{i} FROM {src})")
+        sql.append(f"f{i} AS (SELECT doc_id, CASE WHEN s{i} <> '' THEN replace(res, s{i}, ' ') ELSE res END AS res{kept}, s{i} FROM e{i})")
+        src = f"f{i}"
+    named = " OR ".join(f"s{i} <> ''" for i, _ in SECRET_SHAPES)
+    labels = ", ".join(f"CASE WHEN s{i} <> '' THEN '{SC.SECRETS[i][0]}' END" for i, _ in SECRET_SHAPES)
+    W = r"[\p{L}\p{N}_]"
+    return f"""{", ".join(sql)}, g AS (SELECT *, NOT ({named}) AND len(list_filter(regexp_extract_all(res, '[A-Za-z0-9+/=_\\-]{{24,}}'), lambda x: list_entropy(string_split(x, '')) >= 4.2)) > 0 AS token,
+  regexp_matches(res, '{W}[\\p{{L}}\\p{{N}}_.+\\-]*@[\\p{{L}}\\p{{N}}_\\-]+\\.[\\p{{L}}\\p{{N}}_.\\-]+{W}') AS email,
+  len(list_filter(list_transform(regexp_extract_all(res, '\\b(?:\\d[ -]?){{13,19}}\\b'), lambda x: regexp_extract_all(x, '[0-9]')), lambda d: {LUHN})) > 0 AS card,
+  regexp_matches(res, '(^|{EDGE})\\d{{3}}-\\d{{2}}-\\d{{4}}($|{EDGE})') AS ssn,
+  regexp_matches(res, '((^|{EDGE})|{W}\\()\\d{{3}}\\)?[-.\\s]\\d{{3}}[-.\\s]\\d{{4}}($|{EDGE})') AS phone FROM f6),
+h AS (SELECT doc_id, concat_ws(',', {labels}, CASE WHEN token THEN 'High-entropy token' END, CASE WHEN email THEN 'Email address' END,
+  CASE WHEN ssn THEN 'US Social Security number' END, CASE WHEN phone THEN 'Phone number' END, CASE WHEN card THEN 'Payment card number' END) AS labels FROM g)"""
+
+
+@query("i05_output_leaks", f"""WITH d AS (SELECT doc_id, text AS res FROM documents), {_leaks()} SELECT doc_id, labels FROM h""")
+def _(lake):
+    rows = SC.scan_outputs(lake.raw("documents"), "text")
+    return rows.select("doc_id", F.array_join(F.transform("findings", lambda f: f.label), ",").alias("labels"))
+
+
+@query("i05_output_findings")
+def _(lake):
+    rows = SC.scan_outputs(lake.raw("documents"), "text")
+    return rows.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.kind", "f.label", "f.excerpt")
+
+
+@query("h18_luhn", f"""WITH c AS (SELECT page_id, regexp_extract_all(concat(page_id * 7919 + 4000000000000000, ''), '[0-9]') AS d FROM pages)
+SELECT page_id, {LUHN} AS valid FROM c""")
+def _(lake):
+    return lake.raw("pages").select("page_id", F.call_function("luhn_check", (F.col("page_id") * 7919 + 4000000000000000).cast("string")).alias("valid"))
+
+
+@query("i08_suppress_entities", """SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'PHONE,PERSON' WHEN 2 THEN 'PERSON' ELSE 'EMAIL,PHONE,PERSON' END AS entities FROM documents""")
+def _(lake):
+    found = F.array(F.lit("EMAIL"), F.lit("PHONE"), F.lit("PERSON"))
+    rows = lake.raw("documents").withColumns({
+        "organization_id": F.concat(F.lit("org"), F.col("doc_id") % 4), "guardrail": F.lit("default")})
+    rows = SC.attach_policy(rows, lake.spark.createDataFrame(POLICIES, GUARDRAIL_POLICIES))
+    return rows.select("doc_id", F.array_join(SC.suppress_entities(found, F.col("policy.pii_ignore")), ",").alias("entities"))
+
+
+@query("i09_gate", f"""WITH i AS ({_scan_sql(DOCS, 'doc_id', 'text')}), d AS (SELECT doc_id, text AS res FROM documents), {_leaks()}
+SELECT doc_id, CASE WHEN lv = 3 THEN 'input' WHEN labels <> '' THEN 'output' END AS blocked_at FROM i JOIN h USING (doc_id)""")
+def _(lake):
+    rows = _docs(lake).withColumnRenamed("text", "prompt").join(lake.raw("documents").select("doc_id", F.col("text").alias("response")), "doc_id")
+    return SC.gate(rows, "prompt", "response").select("doc_id", "blocked_at")

@@ -20,7 +20,7 @@ def session(cores: str = "8"):
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("spanquarry-tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -65,7 +65,7 @@ def compare(spark, sf_dir, name, build, sql):
     if not problems:
         bad = [(a, b) for a, b in zip(left[1], right[1]) if a != b]
         if bad:
-            problems.append(f"{len(bad)} of {len(left[1])} rows differ: {left[0]} {bad[:2]}")
+            only = sorted(set(left[1]) - set(right[1]))[:3], sorted(set(right[1]) - set(left[1]))[:3]; problems.append(f"{len(bad)} of {len(left[1])} rows differ: {left[0]} spark-only {only[0]} sql-only {only[1]}")
     elif left[0] == right[0]:
         extra = sorted(set(left[1]) - set(right[1]))[:2], sorted(set(right[1]) - set(left[1]))[:2]
         problems.append(f"{left[0]} spark-only {extra[0]} sql-only {extra[1]}")
