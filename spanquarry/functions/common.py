@@ -47,6 +47,11 @@ def strip(c) -> Column:
     return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")
 
 
+def bind(value, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(as_col(value)), fn), F.lit(0))
+
+
 def lookup(mapping: dict[str, str], key: Column, default: Column | None = None) -> Column:
     """``mapping[key]`` as a CASE expression (for tables of a few dozen entries)."""
     out = None

@@ -5,7 +5,7 @@ import functools
 
 from pyspark.sql import Column, functions as F
 
-from spanquarry.functions.common import as_col, lookup, strip
+from spanquarry.functions.common import as_col, bind, lookup, strip
 
 # Tag shape and number of tags kept per trace.
 TAG_PATTERN = r"^[a-z0-9][a-z0-9._\-/]{0,62}$"
@@ -54,8 +54,8 @@ def json_field(event, path: str, kind: str = "string", default=None) -> Column:
 
 def preview(text, limit: int) -> Column:
     """Stripped text, cut with an ellipsis; null when blank."""
-    s = F.nullif(strip(text), F.lit(""))
-    return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit(ELLIPSIS))).otherwise(s)
+    cut = lambda s: F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit(ELLIPSIS))).when(F.length(s) > 0, s)
+    return bind(strip(text), cut)
 
 
 def normalize_metric(metric) -> Column:
@@ -209,15 +209,16 @@ def question_of(event) -> Column:
 
 def text_of(value) -> Column:
     """A variant as text: strings as they are, anything else as JSON."""
-    v = as_col(value)
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).when(
-        F.schema_of_variant(v) != "VOID", F.to_json(v))
+    def text(v: Column) -> Column:
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).when(
+            F.schema_of_variant(v) != "VOID", F.to_json(v))
+
+    return bind(value, text)
 
 
 def truthy(value) -> Column:
     """Null for the values a "first of" chain skips: null, empty text, list, object, zero, false."""
-    t = text_of(value)
-    return F.when(~t.isin("", "[]", "{}", "0", "0.0", "false", "null"), t)
+    return bind(text_of(value), lambda t: F.when(~t.isin("", "[]", "{}", "0", "0.0", "false", "null"), t))
 
 
 def event_input(event) -> Column:
