@@ -4,12 +4,17 @@ from __future__ import annotations
 import datetime as dt
 from typing import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # No list page is longer than this, which is what makes a page safe to broadcast.
 MAX_PAGE = 1000
 
 
+def texts_of(*names: str) -> T.ArrayType:
+    """Type of a list of structs with text fields."""
+    return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+
 def as_col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 

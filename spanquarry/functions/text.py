@@ -7,7 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanquarry.functions.common import as_col, settle
 
@@ -27,7 +27,7 @@ WORD = r"\p{L}\p{N}_"
 SEPARATOR = "\u0001"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

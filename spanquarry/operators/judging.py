@@ -82,7 +82,7 @@ def run_chain(df: DataFrame, steps: Sequence[str], model: Callable[[str], str],
     return rows
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters of two texts, 0..1."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

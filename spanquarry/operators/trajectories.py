@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanquarry.functions.common import as_col, bind, first_non_empty
+from spanquarry.functions.common import as_col, bind, first_non_empty, texts_of
 from spanquarry.functions.scalars import event_input, event_output, preview, step_agent, text_of
 from spanquarry.operators.versioned import latest, pick_first
 
@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Grounding blocks and spans kept per run.
 MAX_GROUNDING = 12
 MAX_JOB_SPANS = 500
-MEDIA = "array<struct<kind:string,mime:string,sha256:string>>"
+MEDIA = texts_of("kind", "mime", "sha256")
 CALL = "array<struct<name:string,kind:string,server:string,arguments:string,output:string>>"
 RUN = ["organization_id", "root_trace_id"]
 

@@ -15,8 +15,8 @@ EXPECTED_HINTS = ["expected_output", "expected output", "expected", "output", "a
 
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
-    """No undecodable byte anywhere in the file (Spark replaces those with U+FFFD)."""
-    return spark.read.text(path).filter(F.contains("value", F.lit("\ufffd"))).isEmpty()
+    """No line of the file holds bytes that are not UTF-8."""
+    return spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
 
 
 def read_tabular(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
