@@ -186,11 +186,12 @@ def compare_examples(run: DataFrame, baseline: DataFrame, key="example_id") -> D
     """
     a = run.select(key, F.col("score").alias("score"), F.lit(True).alias("_a"))
     b = baseline.select(key, F.col("score").alias("baseline_score"), F.lit(True).alias("_b"))
-    d = F.col("score") - F.col("baseline_score")
+    # Ties are decided on the decimal value, not on the last bits of a difference of means.
+    d = F.round(F.col("score") - F.col("baseline_score"), 9)
     status = (
         F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "missing")
-        .when(d.isNull(), "pending").when(F.round(d, 9) < -COMPARE_EPSILON, "regressed")
-        .when(F.round(d, 9) > COMPARE_EPSILON, "improved").otherwise("unchanged")
+        .when(d.isNull(), "pending").when(d < -COMPARE_EPSILON, "regressed")
+        .when(d > COMPARE_EPSILON, "improved").otherwise("unchanged")
     )
     return a.join(b, key, "full_outer").select(
         key, "score", "baseline_score", F.round(d, 4).alias("delta"), status.alias("status"))

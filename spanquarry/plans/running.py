@@ -148,7 +148,7 @@ def _side(lake, run):
 EXAMPLES = f"""WITH {PER}, o AS (SELECT run_id, example_id, round(avg(score), 9) AS score FROM per GROUP BY 1, 2),
 a AS (SELECT example_id, CASE WHEN (example_id + 7) % 20 <> 3 THEN score END AS score FROM o WHERE run_id = 'A'),
 b AS (SELECT example_id, CASE WHEN example_id % 20 <> 3 THEN score END AS baseline_score FROM o WHERE run_id = 'R'),
-cmp AS (SELECT coalesce(a.example_id, b.example_id) AS example_id, score, baseline_score, round(score - baseline_score, 4) AS delta,
+cmp AS (SELECT coalesce(a.example_id, b.example_id) AS example_id, score, baseline_score, CAST(round(CAST(round(score - baseline_score, 9) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS delta,
   CASE WHEN b.example_id IS NULL THEN 'added' WHEN a.example_id IS NULL THEN 'missing' WHEN score - baseline_score IS NULL THEN 'pending'
        WHEN round(score - baseline_score, 9) < -0.05 THEN 'regressed' WHEN round(score - baseline_score, 9) > 0.05 THEN 'improved' ELSE 'unchanged' END AS status
   FROM a FULL OUTER JOIN b ON a.example_id = b.example_id)"""
