@@ -17,7 +17,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Zero-width and invisible characters that are dropped.
 ZERO_WIDTH = ("\u200b\u200c\u200d\u2060\ufeff\u180e\u00ad\u034f\u061c"
               "\u115f\u1160\u17b4\u17b5\u3164\uffa0\u200e\u200f")
-CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+CONTROL = r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f"
 # Characters that compatibility normalisation leaves alone: text made of these skips Python.
 STABLE = (r"\x00-\x7f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e"
           r"\u0141-\u0148\u014a-\u017e\u0400-\u0482\u048a-\u04ff\u2010\u2012-\u2016\u2018-\u2023\u20a0-\u20a7"
@@ -45,11 +45,10 @@ def nfkc(text) -> Column:
 def strip_markup(text) -> Column:
     """Drop invisible and control characters, comments and tags."""
     t = as_col(text)
-    t = F.when(is_ascii(t), t).otherwise(F.regexp_replace(t, f"[{ZERO_WIDTH}]", ""))
-    t = F.regexp_replace(t, CONTROL, "")
-    open_ = F.contains(as_col(text), F.lit("<")) | ~is_ascii(text)
-    tags = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"<[^>]+>", " ")
-    return F.when(open_, tags).otherwise(t)
+    plain = F.regexp_replace(t, f"[{CONTROL}]", "")
+    clean = F.when(is_ascii(t), plain).otherwise(F.regexp_replace(t, f"[{CONTROL}{ZERO_WIDTH}]", ""))
+    tags = F.regexp_replace(F.regexp_replace(clean, r"(?s)<!--.*?-->", " "), r"<[^>]+>", " ")
+    return F.when(F.contains(t, F.lit("<")), tags).otherwise(clean)
 
 
 def collapse_space(text) -> Column:
@@ -89,21 +88,26 @@ def folded(text) -> Column:
 
 
 def _trie(words: list[str]) -> str:
-    """One expression for a list of words, sharing prefixes, so each position is tried once."""
+    """One expression for a list of words, sharing prefixes, so each position is tried once.
+
+    A word that ends in NUL must be followed by something other than a letter or digit.
+    """
     heads: dict[str, list[str]] = {}
     for w in words:
         if not w:
             return ""
         heads.setdefault(w[0], []).append(w[1:])
-    parts = [re.escape(c) + _trie(rest) for c, rest in sorted(heads.items())]
+    edge = f"(?![{WORD}])"
+    parts = [edge if c == "\0" else re.escape(c) + _trie(rest) for c, rest in sorted(heads.items())]
     return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
 
 def maybe_phrase(low, phrases) -> Column:
-    """One pass that rules out nearly every text: does any of the phrases start somewhere?"""
+    """One pass that rules out nearly every text: does any of the phrases occur in its folded form?"""
     low = as_col(low)
-    worded = [p.lower() for p in phrases if p[0].isalnum()]
-    other = [p.lower() for p in phrases if not p[0].isalnum()]
+    ended = [p.lower() + ("\0" if p[-1].isalnum() else "") for p in phrases]
+    worded = [p for p in ended if p[0].isalnum()]
+    other = [p for p in ended if not p[0].isalnum()]
     test = low.rlike(f"(?<![{WORD}])" + _trie(worded)) if worded else F.lit(False)
     return test if not other else test | low.rlike(_trie(other))
 
