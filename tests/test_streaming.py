@@ -5,7 +5,6 @@ import json
 from pyspark.sql import functions as F
 
 from spanquarry.operators import agents as A, alerts as AL
-from spanquarry.operators.versioned import latest
 from spanquarry.plans.standins import Lake
 from spanquarry.plans.wire import _feed, _settings, _watched
 from spanquarry.schemas import RUN_KEY
@@ -51,17 +50,6 @@ def test_rate_alerts(spark, tmp_path):
     assert sorted(spark.read.parquet(folder).select(*keys).collect()) == sorted(expected.collect())
 
 
-def test_running_registry(spark, tmp_path):
-    feed = _feed(Lake(spark, SF)).withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = replay(spark, feed, str(tmp_path / "in")).filter(F.col("kind").isin("started", "persisted", "enriched"))
-    folder = str(tmp_path / "out")
-    TP.run_once(ST.running_changes(stream, 3600), str(tmp_path / "cp"), TP.append_batches(folder)).awaitTermination(180)
-    key = ["organization_id", "trace_id"]
-    registry = latest(spark.read.parquet(folder), key, "ts", ["batch_id"], "deleted")
-    expected = AL.running_traces(feed, "2024-01-31 00:00:00", 40 * 86400)
-    assert sorted(registry.select(*key).collect()) == sorted(expected.select(*key).collect())
-
-
 def test_alerts_and_feed_on_a_stream(spark, tmp_path):
     lake = Lake(spark, SF)
     scans = lake.scans.withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
