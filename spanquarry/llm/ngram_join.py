@@ -8,12 +8,13 @@ pairs that stay is counted in full.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanquarry.llm.shared import components, cut
@@ -89,8 +90,17 @@ def block_keys(grams: np.ndarray, share: int, whole: int) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def _signature(grams: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((grams & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1).tobytes()
+def _signature(grams: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams in each of _BITS cells, 64 cells a number."""
+    odd = np.bincount((grams & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(na: str, nb: str, sa: str, sb: str, share: int, whole: int) -> Column:
+    """The size bounds: of the sizes themselves, and of cells whose parity differs, never more than the difference."""
+    a, b = F.col(na), F.col(nb)
+    apart = reduce(add, (F.bit_count(F.get(F.col(sa), i).bitwiseXOR(F.get(F.col(sb), i))) for i in range(_BITS // 64)))
+    return (a * whole >= b * share) & (b * whole >= a * share) & (apart * (whole + share) <= (a + b) * (whole - share))
 
 
 def incidence(docs: DataFrame, width: int, share: int, whole: int) -> DataFrame:
@@ -104,36 +114,24 @@ def incidence(docs: DataFrame, width: int, share: int, whole: int) -> DataFrame:
                 out.append((len(g), xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None, _signature(g), block_keys(g, share, whole).view(np.int64)))
             yield pd.DataFrame({"doc_id": b["doc_id"], **{c: [r[i] for r in out] for i, c in enumerate(("n", "set_key", "signature", "keys"))}})
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, set_key binary, signature binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, set_key binary, signature array<long>, keys array<long>")
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, width: int, share: int, whole: int) -> DataFrame:
-    """Pairs ``a, b`` of rows within the size bounds whose counted overlap reaches the threshold."""
-    left = rows.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-    right = rows.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
-
-    @F.pandas_udf("boolean")
-    def near(sa: pd.Series, sb: pd.Series, n: pd.Series) -> pd.Series:
-        # n-grams of odd count in a cell of one row and even in the other: never more than the symmetric difference
-        x = np.frombuffer(b"".join(sa), np.uint8) ^ np.frombuffer(b"".join(sb), np.uint8)
-        apart = np.unpackbits(x.reshape(len(n), -1), axis=1).sum(1) if len(n) else np.zeros(0)
-        return pd.Series(apart.astype(np.int64) * (whole + share) <= n.to_numpy() * (whole - share))
+def _linked(pairs: DataFrame, texts: DataFrame, width: int, share: int, whole: int) -> DataFrame:
+    """Of the pairs ``a, b`` those whose overlap, counted in full, reaches the threshold."""
 
     @F.pandas_udf("boolean")
     def overlaps(ta: pd.Series, tb: pd.Series) -> pd.Series:
         out, held = [], ("", gram_set("", width))
         for x, y in zip(ta, tb):
-            if held[0] is not x and held[0] != x:
+            if held[0] != x:
                 held = (x, gram_set(x, width))
             g = gram_set(y, width)
             both = len(np.intersect1d(held[1], g, assume_unique=True))
             out.append(whole * both >= share * (len(held[1]) + len(g) - both))
         return pd.Series(out, dtype=bool)
 
-    sized = (pairs.join(left, "a").join(right, "b").where((F.col("na") * whole >= F.col("nb") * share) & (F.col("nb") * whole >= F.col("na") * share))
-             .where(near("sa", "sb", F.col("na") + F.col("nb"))).select("a", "b"))
-    sized = cut(sized)
-    return (sized.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    return (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
             .where(overlaps("ta", "tb")).select("a", "b"))
 
@@ -156,18 +154,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80, whole:
     keyed = rows.select(F.explode("keys").alias("key"), F.col("doc_id").alias("c"))
     pivots = keyed.groupBy("key").agg(F.min("c").alias("pivot"), F.max("c").alias("top")).where("pivot < top")
     blocks = cut(keyed.join(pivots.select("key", "pivot"), "key"))
-    sides = blocks.select("c").distinct()
-    rows = cut(rows.select(F.col("doc_id").alias("c"), "n", "signature").join(sides, "c"))
+    rows = cut(rows.select(F.col("doc_id").alias("c"), "n", "signature").join(blocks.select("c").distinct(), "c"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    first = cut(_linked(blocks.where("c != pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct(), rows, texts, width, share, whole))
+    of = lambda side: rows.toDF(side, f"n{side}", f"s{side}")
+    may = _may_link("na", "nb", "sa", "sb", share, whole)
+    starred = blocks.where("c != pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
+    first = cut(_linked(cut(starred.join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b")), texts, width, share, whole))
     found = components(first)
     grouped = blocks.select("key", "c").join(found.toDF("c", "g"), "c", "left").select("key", "c", F.coalesce("g", "c").alias("g"))
     several = grouped.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
-    open_blocks = cut(grouped.join(several, "key"))
-    if not open_blocks.isEmpty():
-        x, y = open_blocks.toDF("key", "a", "ga"), open_blocks.toDF("key", "b", "gb")
-        more = x.join(y, "key").where("ga < gb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = components(first.unionAll(_linked(more, rows, texts, width, share, whole)))
+    still = cut(grouped.join(several, "key").join(rows, "c"))
+    if not still.isEmpty():
+        x = still.select("key", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("signature").alias("sa"))
+        y = still.select("key", F.col("c").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+        crossed = x.join(y, (x["key"] == y["key"]) & (F.col("ga") < F.col("gb")) & may)
+        more = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = components(first.unionAll(_linked(cut(more), texts, width, share, whole)))
     return (of_doc.join(classes, "set_key", "left").join(found.toDF("c", "g"), "c", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(
                 F.when(F.col("doc_id").isNotNull(), F.coalesce("g", "c"))).alias("component_id")))

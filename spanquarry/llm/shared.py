@@ -16,14 +16,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there: later jobs start from the files."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def folder(spark: SparkSession, name: str) -> str:
     """A new path for a written table below the shared folder."""
     import uuid
@@ -31,33 +23,44 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read from there.
+
+    Later jobs, also those that repeat tasks of a lost executor, start from these files. They stay as long as the
+    shared folder does.
+    """
+    path = folder(df.sparkSession, "llm-table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of an undirected graph given as ``(a, b)`` long pairs; component is the smallest node.
 
-    Each round lets every node take the neighbour (or itself) of least salted hash, contracts the graph to the
-    taken nodes and drops loops and repeats, so the number of edges falls by a constant factor a round, chains and
-    stars included. Nodes, edges and labels stay distributed; a star centre only takes part in sums that combine
-    before the shuffle and in joins on distinct keys. Null ends are dropped. An empty input gives an empty result.
+    Each round lets every node take the node of least salted hash within two steps, contracts the graph to the taken
+    nodes and drops loops and repeats: a star of any size is one node after a round, a chain loses a constant factor.
+    Nodes, edges and labels stay distributed; a star centre only takes part in minima that combine before the shuffle
+    and in joins on distinct keys. Null ends are dropped. An empty input gives an empty result.
     """
     edges = cut(edges.where(F.col("a") != F.col("b")).select(F.col("a").cast("long"), F.col("b").cast("long")).distinct())
-    labels, salt = None, 0
+    rank = lambda c, salt: F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("h"), F.col(c).alias("id"))
+    rounds: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("h"), F.col(c).alias("id"))
-        taken = both.groupBy("a").agg(F.min(rank("b")).alias("near")).select(
-            F.col("a").alias("from"), F.least(rank("a"), F.col("near"))["id"].alias("to"))
-        taken = cut(taken)
+        salt = len(rounds)
+        near = both.groupBy("a").agg(F.least(F.min(rank("b", salt)), F.first(rank("a", salt))).alias("near"))
+        two = both.join(near.toDF("b", "near"), "b").groupBy("a").agg(F.min("near")["id"].alias("to"))
+        taken = cut(two)
         left, right = taken.toDF("a", "a2"), taken.toDF("b", "b2")
         edges = cut(
             edges.join(left, "a").join(right, "b").where("a2 != b2")
             .select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
-        if labels is None:
-            labels = taken.toDF("node", "root")
-        else:
-            step = taken.toDF("root", "next")
-            labels = cut(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
-        salt += 1
-    if labels is None:
+        rounds.append(taken)
+    if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = rounds[0].toDF("node", "root")
+    for step in rounds[1:]:
+        labels = labels.join(step.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    labels = cut(labels)
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
     return labels.join(least, "root").select("node", "component")
