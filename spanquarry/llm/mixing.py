@@ -62,49 +62,48 @@ def mix(docs: DataFrame, tokens: Column, source: str = "source", key: str = "doc
     bisected, and every source gets its share of the budget. Each epoch of a source is a permutation: rows are
     dealt to blocks of about ``block`` rows by a hash of epoch and key, blocks follow each other, rows follow their
     hash within. All rows are read in the whole epochs; of the last, partial one those whose tokens before them stay
-    below the rest of the budget. Only the partial epoch needs positions: they are sums per block plus sums within a
+    below the rest of the budget. Positions are sums per block plus sums within a
     block, so no source, however large, is put in order by one task.
 
     Defined results: null sources form a source of their own; null or negative token counts are 0; rows of a source
-    without tokens are read once; repeated rows are read each by itself, in an order that ties leave open between equal
-    rows only.
+    without tokens are read once; rows that share source and key are read equally often. Columns named ``epoch`` or
+    ``epochs`` are not expected in ``docs``.
     """
-    named = docs.withColumns({"__source": F.coalesce(F.col(source).cast("string"), F.lit("\0null")), "__tokens": F.greatest(F.coalesce(tokens.cast("double"), F.lit(0.0)), F.lit(0.0))})
-    counted = named.groupBy("__source").agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).limit(max_sources + 1).collect()
+    name = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
+    slim = cut(docs.select(name.alias("__source"), F.col(key).alias("__key"), F.greatest(F.coalesce(tokens.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("__tokens")))
+    counted = slim.groupBy("__source").agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).limit(max_sources + 1).collect()
     if len(counted) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     sizes = {r["__source"]: r["tokens"] for r in sorted(counted, key=lambda r: r["__source"])}
     often = epochs(sizes, weights(sizes, bisect_exponent(sizes, entropy, repeats, budget)), budget)
     often |= {s: 1.0 for s, n in sizes.items() if n <= 0}
     blocks = {r["__source"]: max(1, r["rows"] // block) for r in counted}
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(s, float(x), int(x + 1e-9), max(0.0, x - int(x + 1e-9)) * sizes[s], blocks[s]) for s, x in often.items()],
-                                 "__source string, epochs double, __whole int, __rest double, __blocks long")
-    placed = (named.join(F.broadcast(plan), "__source")  # one row a source, at most max_sources
-              .withColumn("__hash", F.xxhash64(F.lit(seed), F.col("__whole"), F.col(key))))
+    plan = docs.sparkSession.createDataFrame([(s, float(x), int(x + 1e-9), max(0.0, x - int(x + 1e-9)) * sizes[s], blocks[s]) for s, x in often.items()],
+                                             "__source string, epochs double, __whole int, __rest double, __blocks long")
+    placed = (slim.join(F.broadcast(plan), "__source")  # one row a source, at most max_sources
+              .withColumn("__hash", F.xxhash64(F.lit(seed), F.col("__whole"), F.col("__key"))))
     placed = placed.withColumn("__block", F.pmod(F.col("__hash"), F.col("__blocks")))
-    slim = cut(placed.where("__rest > 0").select("__source", "__block", "__hash", F.col(key).alias("__key"), "__tokens", "__rest"))
-    sums = slim.groupBy("__source", "__block").agg(F.sum("__tokens").alias("__sum"))
+    sums = placed.groupBy("__source", "__block").agg(F.sum("__tokens").alias("__sum"))
     order = Window.partitionBy("__source").orderBy("__block")  # one row per some thousand documents
     before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("__sum")
     inside = Window.partitionBy("__source", "__block").orderBy("__hash", "__key").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = (slim.join(before, ["__source", "__block"]).where(F.col("__before") < F.col("__rest"))
-              .withColumn("__at", F.col("__before") + F.coalesce(F.sum("__tokens").over(inside), F.lit(0.0)))
-              .where(F.col("__at") < F.col("__rest")).groupBy("__source", "__key").agg(F.count(F.lit(1)).alias("__more")))
-    left = placed.join(chosen, (placed["__source"] == chosen["__source"]) & placed[key].eqNullSafe(chosen["__key"]), "left").drop(chosen["__source"])
-    times = F.col("__whole") + F.when(F.col("__more").isNotNull(), 1).otherwise(0)
-    read = left.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    return read.select(*docs.columns, "epoch", "epochs")
+    more = F.when((F.col("__rest") > 0) & (F.col("__before") + F.coalesce(F.sum("__tokens").over(inside), F.lit(0.0)) < F.col("__rest")), 1).otherwise(0)
+    times = (placed.join(before, ["__source", "__block"]).withColumn("__times", F.col("__whole") + more)
+             .groupBy("__source", "__key").agg(F.max("__times").alias("__times"), F.max("epochs").alias("epochs")).where("__times > 0"))
+    met = docs.withColumn("__name", name).join(times, (F.col("__name") == F.col("__source")) & F.col(key).eqNullSafe(F.col("__key")))
+    read = met.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
+    return read.select(*[docs[c] for c in docs.columns], "epoch", "epochs")
 
 
 def words(text: str = "text") -> Column:
-    """A cheap token count: runs of other than white space."""
-    trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\r"))
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
+    """A cheap token count: blanks and line ends plus one; 0 for null and empty texts."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    blanks = 2 * F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    return F.when(t == "", 0).otherwise(blanks + 1).cast("long")
 
 
 def report(docs: DataFrame, repeats: float = 2.0) -> DataFrame:
     """``doc_id, source, n_words, copies, epochs`` of every document that the mixture reads."""
-    slim = docs.select("doc_id", "source", words().cast("long").alias("n_words"))
+    slim = cut(docs.select("doc_id", "source", words().alias("n_words")))
     mixed = mix(slim, F.col("n_words"), repeats=repeats)
     return mixed.groupBy("doc_id", "source", "n_words").agg(F.count(F.lit(1)).alias("copies"), F.round(F.max("epochs"), 9).alias("epochs"))
