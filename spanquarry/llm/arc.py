@@ -97,7 +97,7 @@ def http_parts(block: bytes) -> tuple[bytes, bytes, dict[str, str]]:
     return head + mark, payload, {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
-_RECORD = "page_id long, url string, ip string, date string, record_id string, digest string, size long, head binary, payload binary"
+_RECORD = "page_id string, url string, ip string, date string, record_id string, digest string, size long, head binary, payload binary"
 
 
 def convert(archives: DataFrame) -> DataFrame:
@@ -111,12 +111,11 @@ def convert(archives: DataFrame) -> DataFrame:
                     head, payload, fields = http_parts(r["body"])
                     key = fields.get("x-page-id", "")
                     date = warc_date(r["Archive-date"])
-                    out.append((int(key) if key.lstrip("-").isdigit() else None, r["URL"], r["IP-address"], date, record_id(r["URL"], date, key), digest_of(payload), len(payload), head, payload))
+                    out.append((key, r["URL"], r["IP-address"], date, record_id(r["URL"], date, key), digest_of(payload), len(payload), head, payload))
                 if out:
-                    frame = pd.DataFrame(out, columns=[c.split()[0] for c in _RECORD.split(", ")])
-                    yield frame.astype({"page_id": "Int64"})
+                    yield pd.DataFrame(out, columns=[c.split()[0] for c in _RECORD.split(", ")])
 
-    return archives.select("content").mapInPandas(rows, _RECORD)
+    return archives.select("content").mapInPandas(rows, _RECORD).withColumn("page_id", F.expr("try_cast(page_id as bigint)"))
 
 
 def with_types(records: DataFrame, least: int = 0) -> DataFrame:
@@ -189,14 +188,15 @@ def read_warc(spark, path: str) -> DataFrame:
                         continue
                     _, payload, http = http_parts(block)
                     revisit, key = fields["warc-type"] == "revisit", http.get("x-page-id", "")
-                    out.append((int(key) if key.lstrip("-").isdigit() else None, int(http.get("content-length", "0")) if revisit else len(payload),
+                    out.append((key, int(http.get("content-length", "0")) if revisit else len(payload),
                                 fields["warc-payload-digest"].removeprefix("sha1:") if revisit else digest_of(payload), "revisit" if revisit else "response",
                                 fields["warc-record-id"], fields.get("warc-refers-to")))
                 if out:
-                    yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "origin_id"]).astype({"page_id": "Int64"})
+                    yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "origin_id"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, origin_id string")
+    return files.mapInPandas(rows, "page_id string, payload_bytes long, payload_digest string, record_type string, record_id string, origin_id string").withColumn(
+        "page_id", F.expr("try_cast(page_id as bigint)"))
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:

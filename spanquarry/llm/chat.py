@@ -97,7 +97,9 @@ def format_chats(turns: DataFrame, path: str | None = None) -> DataFrame:
                 loss.append([{"token": k, "start": s, "end": e} for k, s, e in mask(own, at[:, 0], at[:, 1])])
             yield pd.DataFrame({"conv_id": b["conv_id"], "formatted": texts, "tokens": tokens, "loss": loss})
 
-    return grouped.mapInPandas(formatted, "conv_id long, formatted string, tokens array<int>, loss array<struct<token:int,start:int,end:int>>")
+    named = grouped.withColumn("conv_id", F.col("conv_id").cast("string"))  # a null would make the batch's ids floats
+    chats = named.mapInPandas(formatted, "conv_id string, formatted string, tokens array<int>, loss array<struct<token:int,start:int,end:int>>")
+    return chats.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -114,5 +116,6 @@ def read_back(chats: DataFrame) -> DataFrame:
                 rows.append((conv, len(turns), sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(under), sha256(under.encode()).hexdigest(), len(text)))
             yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return chats.select("conv_id", "formatted", "loss").mapInPandas(
-        digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    named = chats.select(F.col("conv_id").cast("string").alias("conv_id"), "formatted", "loss")
+    return named.mapInPandas(
+        digests, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumn("conv_id", F.col("conv_id").cast("long"))

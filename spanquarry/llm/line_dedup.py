@@ -60,7 +60,8 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
                     words.append(w)
                     marks.append(np.array([m for _, m in found], np.uint64).view(np.int64))
                     at.append([p for p, _ in found])
-            yield pd.DataFrame({"doc_id": ids, "hashes": hashes, "words": words, "marks": marks, "at": at})
+            if ids:
+                yield pd.DataFrame({"doc_id": ids, "hashes": hashes, "words": words, "marks": marks, "at": at})
 
     lined = cut(docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(
         positions, "doc_id long, hashes array<long>, words array<long>, marks array<long>, at array<int>"))

@@ -112,9 +112,12 @@ def incidence(docs: DataFrame, width: int, share: int, whole: int) -> DataFrame:
             for text in b["text"]:
                 g = gram_set(text, width)
                 out.append((len(g), xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None, _signature(g), block_keys(g, share, whole).view(np.int64)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], **{c: [r[i] for r in out] for i, c in enumerate(("n", "set_key", "signature", "keys"))}})
+            if out:
+                yield pd.DataFrame({"doc_id": b["doc_id"], **{c: [r[i] for r in out] for i, c in enumerate(("n", "set_key", "signature", "keys"))}})
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, set_key binary, signature array<long>, keys array<long>")
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # a null would make the batch's ids floats
+    found = named.mapInPandas(rows, "doc_id string, n long, set_key binary, signature array<long>, keys array<long>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, share: int, whole: int) -> DataFrame:
