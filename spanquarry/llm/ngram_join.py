@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanquarry.llm.shared import components, cut
@@ -103,21 +104,34 @@ def _may_link(na: str, nb: str, sa: str, sb: str, share: int, whole: int) -> Col
     return (a * whole >= b * share) & (b * whole >= a * share) & (apart * (whole + share) <= (a + b) * (whole - share))
 
 
-def incidence(docs: DataFrame, width: int, share: int, whole: int) -> DataFrame:
-    """``doc_id, n, set_key, signature, keys`` of every document, from its whole text."""
+def _per_text(docs: DataFrame, row, schema: str) -> DataFrame:
+    """``doc_id`` and the columns of ``schema`` that ``row`` makes of each whole text."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for text in b["text"]:
-                g = gram_set(text, width)
-                out.append((len(g), xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None, _signature(g), block_keys(g, share, whole).view(np.int64)))
+            out = [row(text) for text in b["text"]]
             if out:
-                yield pd.DataFrame({"doc_id": b["doc_id"], **{c: [r[i] for r in out] for i, c in enumerate(("n", "set_key", "signature", "keys"))}})
+                yield pd.DataFrame({"doc_id": b["doc_id"], **{c: [r[i] for r in out] for i, c in enumerate(names)}})
 
     named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # a null would make the batch's ids floats
-    found = named.mapInPandas(rows, "doc_id string, n long, set_key binary, signature array<long>, keys array<long>")
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return named.mapInPandas(rows, f"doc_id string, {schema}").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def incidence(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, n, set_key, signature`` of every document, from its whole text."""
+
+    def row(text):
+        g = gram_set(text, width)
+        return len(g), xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None, _signature(g)
+
+    return _per_text(docs, row, "n long, set_key binary, signature array<long>")
+
+
+def blocked(docs: DataFrame, width: int, share: int, whole: int) -> DataFrame:
+    """``doc_id, key`` for every column block that a document is joined on."""
+    keys = _per_text(docs, lambda text: (block_keys(gram_set(text, width), share, whole).view(np.int64),), "keys array<long>")
+    return keys.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, share: int, whole: int) -> DataFrame:
@@ -147,16 +161,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80, whole:
     are still in different components are then compared with each other, so no link between different texts is lost.
 
     Defined results: null and blank texts have no n-grams and stand alone; a text of fewer words than ``width`` is one
-    n-gram; rows of one doc_id are one node; rows without a doc_id are listed with a null component. An empty table
+    n-gram; rows of one doc_id are one node, and one of them meets the others; rows without a doc_id are listed with a null component. An empty table
     gives an empty result.
     """
-    base = cut(incidence(docs, width, share, whole))
+    base = cut(incidence(docs, width))
     classes = base.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("c"))
     of_doc = base.select("doc_id", "n", "set_key")
-    rows = base.join(classes.select(F.col("c").alias("doc_id"), "set_key"), ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"])
-    keyed = rows.select(F.explode("keys").alias("key"), F.col("doc_id").alias("c"))
-    pivots = keyed.groupBy("key").agg(F.min("c").alias("pivot"), F.max("c").alias("top")).where("pivot < top")
-    blocks = cut(keyed.join(pivots.select("key", "pivot"), "key"))
+    # one shuffle of slim rows; a key has one row a document, so even a group of copies of a third of all rows is spread
+    # over the many keys that each of its documents has
+    same = Window.partitionBy("key")
+    met = blocked(docs, width, share, whole).select("key", "doc_id", F.min("doc_id").over(same).alias("pivot"), F.max("doc_id").over(same).alias("top"))
+    met = cut(met.where("pivot < top").select("key", "doc_id", "pivot"))
+    class_of = of_doc.join(classes, "set_key").select("doc_id", "c").dropDuplicates(["doc_id"])
+    blocks = cut(met.join(class_of, "doc_id").select("key", "c", "pivot").distinct())
+    rows = base.join(classes.select(F.col("c").alias("doc_id"), "set_key"), ["doc_id", "set_key"]).dropDuplicates(["doc_id"])
     rows = cut(rows.select(F.col("doc_id").alias("c"), "n", "signature").join(blocks.select("c").distinct(), "c"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     of = lambda side: rows.toDF(side, f"n{side}", f"s{side}")
