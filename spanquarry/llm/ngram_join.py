@@ -91,12 +91,18 @@ def block_keys(grams: np.ndarray, share: int, whole: int) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def _signature(grams: np.ndarray) -> np.ndarray:
-    """Parity of the n-grams in each of _BITS cells, 64 cells a number."""
-    odd = np.bincount((grams & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
+def _parity(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the n-grams in each of ``bits`` cells, 64 cells a number."""
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _signatures(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities in _BITS cells, and for larger sets in as many cells as the next power of two has."""
+    bits = 1 << max(len(grams) - 1, 1).bit_length()
+    return _parity(grams, _BITS), _parity(grams, bits) if bits > _BITS else np.zeros(0, np.int64)
+
+
 def _may_link(na: str, nb: str, sa: str, sb: str, share: int, whole: int) -> Column:
     """The size bounds: of the sizes themselves, and of cells whose parity differs, never more than the difference."""
     a, b = F.col(na), F.col(nb)
@@ -104,6 +110,15 @@ def _may_link(na: str, nb: str, sa: str, sb: str, share: int, whole: int) -> Col
     return (a * whole >= b * share) & (b * whole >= a * share) & (apart * (whole + share) <= (a + b) * (whole - share))
 
 
+def _may_link_wide(na: str, nb: str, wa: str, wb: str, share: int, whole: int) -> Column:
+    """The parity bound on the wide signatures; the longer is folded to the shorter, whose cells are sums of its own."""
+    least = F.least(F.size(wa), F.size(wb))
+    fold = lambda c: F.when(F.size(c) == least * 2, F.zip_with(F.slice(c, F.lit(1), least), F.slice(c, least + 1, least), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with(fold(wa), fold(wb), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = apart * (whole + share) <= (F.col(na) + F.col(nb)) * (whole - share)
+    return (least == 0) | (F.greatest(F.size(wa), F.size(wb)) > least * 2) | near
+
+
 def _per_text(docs: DataFrame, row, schema: str) -> DataFrame:
     """``doc_id`` and the columns of ``schema`` that ``row`` makes of each whole text."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -119,13 +134,13 @@ def _per_text(docs: DataFrame, row, schema: str) -> DataFrame:
 
 
 def incidence(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, set_key, signature`` of every document, from its whole text."""
+    """``doc_id, n, set_key, signature, wide`` of every document, from its whole text."""
 
     def row(text):
         g = gram_set(text, width)
-        return len(g), xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None, _signature(g)
+        return len(g), xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None, *_signatures(g)
 
-    return _per_text(docs, row, "n long, set_key binary, signature array<long>")
+    return _per_text(docs, row, "n long, set_key binary, signature array<long>, wide array<long>")
 
 
 def blocked(docs: DataFrame, width: int, share: int, whole: int) -> DataFrame:
@@ -175,22 +190,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80, whole:
     class_of = of_doc.join(classes, "set_key").select("doc_id", "c").dropDuplicates(["doc_id"])
     blocks = cut(met.join(class_of, "doc_id").select("key", "c", "pivot").distinct())
     rows = base.join(classes.select(F.col("c").alias("doc_id"), "set_key"), ["doc_id", "set_key"]).dropDuplicates(["doc_id"])
-    rows = cut(rows.select(F.col("doc_id").alias("c"), "n", "signature").join(blocks.select("c").distinct(), "c"))
+    rows = cut(rows.select(F.col("doc_id").alias("c"), "n", "signature", "wide").join(blocks.select("c").distinct(), "c"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    of = lambda side: rows.toDF(side, f"n{side}", f"s{side}")
-    may = _may_link("na", "nb", "sa", "sb", share, whole)
+    of = lambda side: rows.toDF(side, f"n{side}", f"s{side}", f"w{side}")
+    may, wide = _may_link("na", "nb", "sa", "sb", share, whole), _may_link_wide("na", "nb", "wa", "wb", share, whole)
+    narrowed = lambda pairs: cut(pairs.join(of("a"), "a").join(of("b"), "b").where(may & wide).select("a", "b"))
     starred = blocks.where("c != pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
-    first = cut(_linked(cut(starred.join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b")), texts, width, share, whole))
+    first = cut(_linked(narrowed(starred), texts, width, share, whole))
     found = components(first)
     grouped = blocks.select("key", "c").join(found.toDF("c", "g"), "c", "left").select("key", "c", F.coalesce("g", "c").alias("g"))
     several = grouped.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
-    still = cut(grouped.join(several, "key").join(rows, "c"))
+    still = cut(grouped.join(several, "key").join(rows.drop("wide"), "c"))
     if not still.isEmpty():
         x = still.select("key", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("signature").alias("sa"))
         y = still.select("key", F.col("c").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
         crossed = x.join(y, (x["key"] == y["key"]) & (F.col("ga") < F.col("gb")) & may)
         more = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = components(first.unionAll(_linked(cut(more), texts, width, share, whole)))
+        found = components(first.unionAll(_linked(narrowed(more), texts, width, share, whole)))
     return (of_doc.join(classes, "set_key", "left").join(found.toDF("c", "g"), "c", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(
                 F.when(F.col("doc_id").isNotNull(), F.coalesce("g", "c"))).alias("component_id")))
