@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern by which the public vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEGMENT = 1 << 16  # characters split at once
-CACHE = 1 << 19  # words a Python worker remembers
+CACHE = 1 << 17  # words a Python worker remembers
 _TOKEN = 24
 _MADE = (1 << _TOKEN) - 1
 
