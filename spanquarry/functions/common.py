@@ -31,7 +31,7 @@ def moment(value: str | dt.datetime | Column) -> Column:
 def trailing(ts, as_of, *, days=0, hours=0, minutes=0) -> Column:
     """``ts`` lies in the window of the given length that ends at ``as_of``."""
     span = F.make_dt_interval(F.lit(days), F.lit(hours), F.lit(minutes))
-    return as_col(ts) >= moment(as_of) - span
+    return (as_col(ts) >= moment(as_of) - span) & (as_col(ts) <= moment(as_of))
 
 
 def blank(c) -> Column:

@@ -62,7 +62,7 @@ def normalize_metric(metric) -> Column:
     m = F.lower(F.coalesce(as_col(metric), F.lit("")))
     out = None
     for p in METRIC_PREFIXES:
-        rest = F.substring(m, len(p) + 1, 1 << 20)
+        rest = F.substring(m, F.lit(len(p) + 1), F.length(m))
         out = F.when(m.startswith(p), rest) if out is None else out.when(m.startswith(p), rest)
     return out.otherwise(m)
 

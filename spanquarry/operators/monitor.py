@@ -134,16 +134,18 @@ def tag_counts(live_tags: DataFrame, limit: int = 100) -> DataFrame:
     return page_of(n, [F.col("n").desc(), F.col("organization_id"), F.col("tag")], limit)
 
 
+def _this_month(as_of) -> Column:
+    return (F.col("ingested_at") >= F.date_trunc("month", moment(as_of))) & (F.col("ingested_at") <= moment(as_of))
+
+
 def month_usage(df: DataFrame, as_of, name: str) -> DataFrame:
-    """Rows of each organization since the start of ``as_of``'s calendar month."""
-    start = F.date_trunc("month", moment(as_of))
-    return df.filter(F.col("ingested_at") >= start).groupBy("organization_id").agg(F.count("*").alias(name))
+    """Rows of each organization from the start of ``as_of``'s calendar month to ``as_of``."""
+    return df.filter(_this_month(as_of)).groupBy("organization_id").agg(F.count("*").alias(name))
 
 
 def usage(traces: DataFrame, evals: DataFrame, scans: DataFrame, as_of) -> DataFrame:
     """The three monthly counts of every organization, in one aggregation."""
-    start = F.date_trunc("month", moment(as_of))
-    parts = [d.filter(F.col("ingested_at") >= start).select("organization_id", F.lit(n).alias("kind"))
+    parts = [d.filter(_this_month(as_of)).select("organization_id", F.lit(n).alias("kind"))
              for n, d in (("traces", traces), ("evals", evals), ("scans", scans))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rows.groupBy("organization_id").agg(

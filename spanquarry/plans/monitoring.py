@@ -135,12 +135,12 @@ def _(lake):
 
 
 @query("d01_month_usage", """SELECT organization_id, count(*) AS evaluations FROM v_evals
-WHERE ingested_at >= date_trunc('month', TIMESTAMP '2024-01-20 12:00:00') GROUP BY 1""")
+WHERE ingested_at >= date_trunc('month', TIMESTAMP '2024-01-20 12:00:00') AND ingested_at <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1""")
 def _(lake):
     return M.month_usage(lake.evals, "2024-01-20 12:00:00", "evaluations")
 
 
-@query("d02_quota_status", """WITH u AS (SELECT organization_id, count(*) AS n FROM v_evals GROUP BY 1),
+@query("d02_quota_status", """WITH u AS (SELECT organization_id, count(*) AS n FROM v_evals WHERE ingested_at >= TIMESTAMP '2024-01-01 00:00:00' AND ingested_at <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1),
 o AS (SELECT DISTINCT organization_id FROM v_traces),
 t AS (SELECT organization_id, CASE organization_id WHEN 'org0' THEN 'Free' WHEN 'org1' THEN 'Starter' WHEN 'org2' THEN 'Enterprise' WHEN 'org3' THEN 'Unknown' END AS tier,
   CASE organization_id WHEN 'org0' THEN 150 WHEN 'org3' THEN -500 ELSE 0 END AS bonus FROM o)

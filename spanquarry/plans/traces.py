@@ -112,8 +112,8 @@ def _(lake):
 
 
 for _status, _pred in (("blocked", BLOCKED), ("failed", FAILED)):
-    @query(f"b07_runs_{_status}", f"""SELECT organization_id, trace_id FROM v_traces t WHERE {ROOT}
-      AND (organization_id, root_trace_id) IN (SELECT (organization_id, root_trace_id) FROM v_traces WHERE {_pred})""")
+    @query(f"b07_runs_{_status}", f"""WITH hit AS (SELECT DISTINCT organization_id AS o, root_trace_id AS r FROM v_traces WHERE {_pred})
+      SELECT organization_id, trace_id FROM v_traces t JOIN hit ON o = organization_id AND r = root_trace_id WHERE {ROOT}""")
     def _(lake, status=_status):
         return P.by_status(lake.traces.filter(P.is_root()), status, lake.traces, True).select(*TRACE_KEY)
 
@@ -165,9 +165,9 @@ def _(lake):
 
 
 @query("b13_windows", """SELECT organization_id,
-  count(*) FILTER (WHERE ingested_at >= TIMESTAMP '2001-08-01 00:00:00' - INTERVAL 90 MINUTE) AS last_minutes,
-  count(*) FILTER (WHERE ingested_at >= TIMESTAMP '2001-08-01 00:00:00' - INTERVAL 48 HOUR) AS last_hours,
-  count(*) FILTER (WHERE ingested_at >= TIMESTAMP '2001-08-01 00:00:00' - INTERVAL 30 DAY) AS last_days,
+  count(*) FILTER (WHERE ingested_at >= TIMESTAMP '2001-08-01 00:00:00' - INTERVAL 90 MINUTE AND ingested_at <= TIMESTAMP '2001-08-01 00:00:00') AS last_minutes,
+  count(*) FILTER (WHERE ingested_at >= TIMESTAMP '2001-08-01 00:00:00' - INTERVAL 48 HOUR AND ingested_at <= TIMESTAMP '2001-08-01 00:00:00') AS last_hours,
+  count(*) FILTER (WHERE ingested_at >= TIMESTAMP '2001-08-01 00:00:00' - INTERVAL 30 DAY AND ingested_at <= TIMESTAMP '2001-08-01 00:00:00') AS last_days,
   count(*) FILTER (WHERE ingested_at >= date_trunc('month', TIMESTAMP '2001-07-20 00:00:00')) AS month
 FROM v_traces GROUP BY 1""")
 def _(lake):

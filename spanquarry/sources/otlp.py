@@ -75,7 +75,7 @@ def _indexed(attrs: Column, prefix: str) -> Column:
     """Entries under ``prefix.<n>.`` as (index, tail, value)."""
     entries = F.filter(F.map_entries(attrs), lambda e: e.key.rlike("^" + prefix.replace(".", r"\.") + r"\.\d+\."))
     return F.transform(entries, lambda e: F.struct(
-        F.regexp_extract(e.key, prefix.replace(".", r"\.") + r"\.(\d+)\.", 1).cast("int").alias("i"),
+        F.regexp_extract(e.key, prefix.replace(".", r"\.") + r"\.(\d+)\.", 1).try_cast("int").alias("i"),
         F.regexp_replace(e.key, "^" + prefix.replace(".", r"\.") + r"\.\d+\.", "").alias("tail"), e.value.alias("value")))
 
 
@@ -93,7 +93,7 @@ def media_part(url: Column) -> Column:
 def _parts(entries: Column) -> Column:
     """Content parts of one message as JSON texts, in index order."""
     rows = F.transform(F.filter(entries, lambda e: e.tail.rlike(PART)), lambda e: F.struct(
-        F.regexp_extract(e.tail, PART, 1).cast("int").alias("j"), F.regexp_extract(e.tail, PART, 2).alias("tail"), text_of(e.value).alias("value")))
+        F.regexp_extract(e.tail, PART, 1).try_cast("int").alias("j"), F.regexp_extract(e.tail, PART, 2).alias("tail"), text_of(e.value).alias("value")))
     index = F.array_sort(F.array_distinct(F.transform(rows, lambda r: r.j)))
 
     def part(j: Column) -> Column:

@@ -13,7 +13,7 @@ def read_topic(spark: SparkSession, schema: T.StructType, *, servers: str | None
     if path is not None:
         return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
     raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-           .option("failOnDataLoss", "false").load())
+           .option("failOnDataLoss", "true").load())
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
 
 
