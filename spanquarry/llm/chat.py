@@ -76,7 +76,7 @@ def default_path() -> str:
 
 
 def format_chats(turns: DataFrame, path: str | None = None) -> DataFrame:
-    """One row a conversation: ``conv_id, formatted, tokens array<int>, loss array<struct<token, start, end>>``.
+    """One row a conversation: ``conv_id, formatted, tokens`` and, aligned, ``loss_token, loss_start, loss_end``.
 
     The whole conversation is rendered, encoded once with offsets, and the assistant spans are intersected with the
     token spans. Turns follow ``turn`` (nulls first), ties follow role and text; null roles and texts count as empty;
@@ -88,17 +88,18 @@ def format_chats(turns: DataFrame, path: str | None = None) -> DataFrame:
     def formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _tokenizer(path or default_path())
         for b in batches:
-            texts, spans = zip(*(render([(t["role"], t["text"]) for t in ts]) for ts in b["turns"])) if len(b) else ((), ())
-            tokens, loss = [], []
-            for text, own in zip(texts, spans):
-                coded = coder.encode(text, add_special_tokens=False)
-                at = np.array(coded.offsets, np.int64).reshape(-1, 2)
-                tokens.append(coded.ids)
-                loss.append([{"token": k, "start": s, "end": e} for k, s, e in mask(own, at[:, 0], at[:, 1])])
-            yield pd.DataFrame({"conv_id": b["conv_id"], "formatted": texts, "tokens": tokens, "loss": loss})
+            for lo in range(0, len(b), 64):  # tokens of a few conversations at a time
+                rows = []
+                for conv, ts in b.iloc[lo:lo + 64].itertuples(index=False):
+                    text, own = render([(t["role"], t["text"]) for t in ts])
+                    coded = coder.encode(text, add_special_tokens=False)
+                    at = np.array(coded.offsets, np.int64).reshape(-1, 2)
+                    kept = np.array(mask(own, at[:, 0], at[:, 1]), np.int32).reshape(-1, 3)
+                    rows.append((conv, text, np.array(coded.ids, np.int32), *kept.T))
+                yield pd.DataFrame(rows, columns=["conv_id", "formatted", "tokens", "loss_token", "loss_start", "loss_end"])
 
     named = grouped.withColumn("conv_id", F.col("conv_id").cast("string"))  # a null would make the batch's ids floats
-    chats = named.mapInPandas(formatted, "conv_id string, formatted string, tokens array<int>, loss array<struct<token:int,start:int,end:int>>")
+    chats = named.mapInPandas(formatted, "conv_id string, formatted string, tokens array<int>, loss_token array<int>, loss_start array<int>, loss_end array<int>")
     return chats.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
@@ -110,12 +111,12 @@ def read_back(chats: DataFrame) -> DataFrame:
 
         for b in batches:
             rows = []
-            for conv, text, loss in zip(b["conv_id"], b["formatted"], b["loss"]):
+            for conv, text, starts, ends in b.itertuples(index=False):
                 turns = parse(text)
-                under = unescape("".join(text[m["start"]:m["end"]] for m in loss))
+                under = unescape("".join(text[x:y] for x, y in zip(starts, ends)))
                 rows.append((conv, len(turns), sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(under), sha256(under.encode()).hexdigest(), len(text)))
             yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    named = chats.select(F.col("conv_id").cast("string").alias("conv_id"), "formatted", "loss")
+    named = chats.select(F.col("conv_id").cast("string").alias("conv_id"), "formatted", "loss_start", "loss_end")
     return named.mapInPandas(
         digests, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumn("conv_id", F.col("conv_id").cast("long"))
