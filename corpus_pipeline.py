@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that the mixture reads, and digests of the ids and of what they decode to."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text")))
+    coded = bpe.transcode(docs.select("doc_id", "source", "text"))
     return coded.select("doc_id", "source", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

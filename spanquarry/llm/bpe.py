@@ -233,11 +233,29 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     return df.withColumn(out, decoded(F.col(ids)))
 
 
+def transcode(df: DataFrame, text: str = "text", ids: str = "ids", out: str = "decoded", path: str | None = None, rows: int = 256) -> DataFrame:
+    """Add ``ids`` and ``out`` as :func:`encode` and then :func:`decode` do, in one Python worker a task.
+
+    Results leave ``rows`` at a time, so a worker holds one input batch and the coded form of few texts.
+    """
+
+    @F.pandas_udf("ids binary, decoded string")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        coder, reader = encoder(path or default_path()), Decoder(path or default_path())
+        for texts in batches:
+            for lo in range(0, len(texts), rows):
+                packed = [b"".join(coder.encode(t or "")) for t in texts.iloc[lo:lo + rows]]
+                yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series(["".join(reader.decode(p)) for p in packed], dtype=object)})
+
+    both = df.withColumn("__coded", coded(F.coalesce(F.col(text), F.lit(""))))
+    return both.withColumns({ids: F.col("__coded.ids"), out: F.col("__coded.decoded")}).drop("__coded")
+
+
 def n_tokens(ids: str = "ids") -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
-    coded = decode(encode(docs.select("doc_id", "text"), path=path), path=path)
+    coded = transcode(docs.select("doc_id", "text"), path=path)
     return coded.select("doc_id", n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
