@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 PASSAGE = 512  # bytes of UTF-8 in a passage
 HIDDEN, GATE = 24, 12
-_SLICE = 1 << 21  # bytes that are encoded at once
+_SLICE = 1 << 18  # bytes that are encoded at once
 
 _CLASSES = 20
 _CLASS_OF = np.full(256, 1, np.int64)
