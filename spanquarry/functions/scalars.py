@@ -7,9 +7,8 @@ from pyspark.sql import Column, functions as F
 
 from spanquarry.functions.common import as_col, bind, lookup, strip
 
-# Tag shape and number of tags kept per trace.
+# Tag shape.
 TAG_PATTERN = r"^[a-z0-9][a-z0-9._\-/]{0,62}$"
-MAX_TAGS = 25
 # Prefixes that producers put before a metric name.
 METRIC_PREFIXES = ["ragas.", "auto.", "ragas_"]
 # Fixed values: {{name}}, ${name} and $name.
@@ -52,8 +51,10 @@ def json_field(event, path: str, kind: str = "string", default=None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
-def preview(text, limit: int) -> Column:
-    """Stripped text, cut with an ellipsis; null when blank."""
+def preview(text, limit: int | None = None) -> Column:
+    """Stripped text, whole unless a ``limit`` is given, then cut with an ellipsis; null when blank."""
+    if limit is None:
+        return F.nullif(strip(text), F.lit(""))
     cut = lambda s: F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit(ELLIPSIS))).when(F.length(s) > 0, s)
     return bind(strip(text), cut)
 
@@ -67,11 +68,12 @@ def normalize_metric(metric) -> Column:
     return out.otherwise(m)
 
 
-def normalize_tags(tags) -> Column:
-    """Lower-case, trimmed, well-formed, distinct in order, the first 25."""
+def normalize_tags(tags, most: int | None = None) -> Column:
+    """Lower-case, trimmed, well-formed, distinct in order; all of them, or the first ``most``."""
     clean = F.transform(F.coalesce(as_col(tags), F.array().cast("array<string>")),
                         lambda t: F.lower(strip(F.coalesce(t, F.lit("")))))
-    return F.slice(F.array_distinct(F.filter(clean, lambda t: t.rlike(TAG_PATTERN))), 1, MAX_TAGS)
+    kept = F.array_distinct(F.filter(clean, lambda t: t.rlike(TAG_PATTERN)))
+    return kept if most is None else F.slice(kept, 1, most)
 
 
 def placeholders(template) -> Column:
@@ -255,9 +257,11 @@ def step_agent(event) -> Column:
                       F.when(get("$.type") == "agent", own))
 
 
-def slug(name) -> Column:
+def slug(name, most: int | None = None) -> Column:
+    """Lower-case letters and digits with hyphens between; whole, so that long names stay apart, or the first ``most``."""
     s = F.regexp_replace(F.lower(strip(name)), "[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, 63)
+    whole = F.regexp_replace(s, "^-+|-+$", "")
+    return whole if most is None else F.substring(whole, 1, most)
 
 
 def any_of(conditions: list[Column]) -> Column:

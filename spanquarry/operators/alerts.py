@@ -17,7 +17,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 RATE_WINDOW = 30
 RATE_MINIMUM = 10
 COOLDOWN_SECONDS = 600
-DIGEST_LINES = 40
 FLAG_CATEGORIES = {
     "injection_detected": "prompt_injection", "jailbreak_detected": "jailbreak",
     "secrets_detected": "secrets_detected", "indirect_injection_detected": "indirect_injection",
@@ -136,17 +135,17 @@ def security_alerts(scans: DataFrame, settings: DataFrame) -> DataFrame:
     }).drop("_block", "security_alert_on", "security_categories", "security_blocked_only")
 
 
-def alert_digest(alerts: DataFrame, digest: str, ts: str = "ingested_at", tie: Sequence[str] = ("summary",)) -> DataFrame:
-    """Alerts per organization and clock-aligned window: the first 40 lines and how many more."""
+def alert_digest(alerts: DataFrame, digest: str, ts: str = "ingested_at", tie: Sequence[str] = ("summary",), *, most: int) -> DataFrame:
+    """Alerts per organization and clock-aligned window: the first ``most`` lines and how many more (a top-k report)."""
     rows = alerts.filter(F.col("digest") == digest).withColumn("window_start", F.window(ts, DIGEST_WINDOWS[digest])["start"])
     keys = ["organization_id", "window_start"]
     total = rows.groupBy(*keys).agg(F.count("*").alias("events"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(ts, *tie))
-    kept = rows.withColumn("_n", rank).filter(F.col("_n") <= DIGEST_LINES)
+    kept = rows.withColumn("_n", rank).filter(F.col("_n") <= most)
     lines = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", "summary"))).alias("_l"))
     return total.join(lines, keys).select(
         *keys, "events", F.transform("_l", lambda x: x.summary).alias("lines"),
-        F.greatest(F.col("events") - DIGEST_LINES, F.lit(0)).alias("more"))
+        F.greatest(F.col("events") - most, F.lit(0)).alias("more"))
 
 
 def running_traces(events: DataFrame, as_of, ttl_seconds: int = COOLDOWN_SECONDS) -> DataFrame:

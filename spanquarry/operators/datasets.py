@@ -11,8 +11,6 @@ from spanquarry.operators.versioned import latest
 from spanquarry.schemas import THREATS
 
 # Fixed values.
-IMPORT_CAP = 2000
-MAX_FEW_SHOT = 10
 DEFAULT_METRICS = ["hallucination", "relevance"]
 LOCAL_METRICS = ["relevance"]
 OWN_NAMES = ["input", "expected", "expected_output", "few_shot"]
@@ -25,10 +23,11 @@ def new_runs(runs: DataFrame, examples: DataFrame, run_id: str = "trace_id", imp
 
 
 def import_runs(roots: DataFrame, examples: DataFrame, run_io: DataFrame, order: Sequence[Column],
-                cap: int = IMPORT_CAP) -> DataFrame:
+                cap: int | None = None) -> DataFrame:
     """Past runs as examples: own input and output, else the run's; runs with neither are dropped.
 
     ``roots`` carries a variant ``event``; ``run_io`` has ``input`` and ``output`` per run.
+    With a ``cap`` only the first in ``order`` are taken, by default all and without a sort.
     """
     keys = ["organization_id", "root_trace_id"]
     rows = new_runs(roots, examples).join(
@@ -39,8 +38,8 @@ def import_runs(roots: DataFrame, examples: DataFrame, run_io: DataFrame, order:
         "expected_output": F.coalesce(event_output("event"), F.when(own.isNull(), F.col("_out"))),
         "metadata": event_metadata("event")})
     text = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0
-    return page_of(rows.filter(text("input") | text("expected_output")), order, cap).select(
-        *keys, "input", "expected_output", "metadata")
+    filled = rows.filter(text("input") | text("expected_output"))
+    return (filled if cap is None else page_of(filled, order, cap)).select(*keys, "input", "expected_output", "metadata")
 
 
 def route_runs(runs: DataFrame, links: DataFrame) -> DataFrame:
@@ -59,18 +58,22 @@ def synthetic_event(text: Column, response: Column, trace_id: Column) -> Column:
         F.coalesce(response, F.lit("")).alias("response"), messages.alias("messages")))
 
 
-def few_shot_text(shots: Column) -> Column:
-    """Examples (``array<struct<input, output>>``) as prompt text; the first ten."""
+def _first(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
+def few_shot_text(shots: Column, most: int | None = None) -> Column:
+    """Examples (``array<struct<input, output>>``) as prompt text; of those that are not blank all, or the first ``most``."""
     line = lambda s: F.concat(F.lit("Input: "), F.coalesce(strip(s.input), F.lit("")), F.lit("\nOutput: "), F.coalesce(strip(s.output), F.lit("")))
-    kept = F.filter(F.slice(shots, 1, MAX_FEW_SHOT), lambda s: F.length(F.concat_ws("", strip(s.input), strip(s.output))) > 0)
-    return F.coalesce(F.array_join(F.transform(kept, line), "\n\n"), F.lit(""))
+    kept = F.filter(shots, lambda s: F.length(F.concat_ws("", strip(s.input), strip(s.output))) > 0)
+    return F.coalesce(F.array_join(F.transform(_first(kept, most), line), "\n\n"), F.lit(""))
 
 
-def few_shot_of(metadata) -> Column:
+def few_shot_of(metadata, most: int | None = None) -> Column:
     """Few-shot text of a variant metadata object: a list of pairs or strings, or ready text."""
     raw = F.coalesce(*[F.try_variant_get(as_col(metadata), f"$.{k}", "variant") for k in ("few_shot", "examples")])
     kind = F.schema_of_variant(raw)
-    shots = F.slice(F.try_variant_get(raw, "$", "array<variant>"), 1, MAX_FEW_SHOT)
+    shots = F.try_variant_get(raw, "$", "array<variant>")
     get = lambda v, names: F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in names], F.lit(""))
 
     def block(v: Column) -> Column:
@@ -79,7 +82,7 @@ def few_shot_of(metadata) -> Column:
         return F.when(F.schema_of_variant(v) == "STRING", strip(F.try_variant_get(v, "$", "string"))).when(
             F.schema_of_variant(v).startswith("OBJECT") & (F.length(F.concat(question, answer)) > 0), pair)
 
-    listed = F.array_join(F.array_compact(F.transform(shots, block)), "\n\n")
+    listed = F.array_join(_first(F.array_compact(F.transform(shots, block)), most), "\n\n")
     return F.coalesce(F.when(kind == "STRING", strip(F.try_variant_get(raw, "$", "string"))).when(
         kind.startswith("ARRAY"), listed), F.lit(""))
 

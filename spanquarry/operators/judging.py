@@ -31,7 +31,7 @@ def _call(df: DataFrame, prompt: str, fn: Callable[[str], str], out: str, error:
                     errors.append(None)
                 except Exception as exc:  # noqa: BLE001 - one failed call must not end the job
                     replies.append(None)
-                    errors.append(str(exc)[:300] or type(exc).__name__)
+                    errors.append(str(exc) or type(exc).__name__)
             yield pdf.assign(**{out: pd.Series(replies, index=pdf.index, dtype=object), error: pd.Series(errors, index=pdf.index, dtype=object)})
 
     return df.mapInPandas(run, schema)

@@ -124,12 +124,12 @@ def model_breakdown(costs: DataFrame, as_of, hours: int) -> DataFrame:
           F.sum("total_cost").alias("cost"))
 
 
-def top_models(breakdown: DataFrame, limit: int = 8) -> DataFrame:
+def top_models(breakdown: DataFrame, limit: int) -> DataFrame:
     return page_of(breakdown, [F.col("cost").desc_nulls_last(), F.col("organization_id"), F.col("model"),
                                F.col("provider")], limit)
 
 
-def tag_counts(live_tags: DataFrame, limit: int = 100) -> DataFrame:
+def tag_counts(live_tags: DataFrame, limit: int) -> DataFrame:
     n = live_tags.groupBy("organization_id", "tag").agg(F.count("*").alias("n"))
     return page_of(n, [F.col("n").desc(), F.col("organization_id"), F.col("tag")], limit)
 

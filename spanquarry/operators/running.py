@@ -12,8 +12,6 @@ from spanquarry.schemas import AUTO_EVAL, RUN_LAYER, THREATS, TRACE_KEY
 # Fixed values.
 COMPARE_EPSILON = 0.05
 DEFAULT_THRESHOLD = 0.7
-MAX_TRIALS = 10
-MAX_TASK_EXAMPLES = 500
 STATUS_ORDER = ["regressed", "improved", "unchanged", "added", "pending"]
 
 
@@ -262,10 +260,10 @@ def composites(scores: DataFrame, components: DataFrame, keys: Sequence[str]) ->
 
 
 def expand_trials(examples: DataFrame, trials: int, run_id: str, order: Sequence[Column],
-                  cap: int = MAX_TASK_EXAMPLES) -> DataFrame:
-    """Each example ``trials`` times with its own id; the cap bounds calls, so trials share it."""
-    n = max(1, min(int(trials), MAX_TRIALS))
-    rows = page_of(examples, order, cap // n)
+                  cap: int | None = None) -> DataFrame:
+    """Each example ``trials`` times with its own id; a ``cap`` bounds calls, so trials share it (by default none)."""
+    n = max(1, int(trials))
+    rows = examples if cap is None else page_of(examples, order, cap // n)
     ids = F.sha2(F.concat_ws(":", F.lit(run_id), F.col("example_id"), F.col("trial")), 256)
     return rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("trace_id", ids)
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import json
 import sys
+import tempfile
 from typing import Callable
 
 import pandas as pd
@@ -15,8 +16,7 @@ from spanquarry.operators.versioned import latest, pick_first
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Grounding blocks and spans kept per run.
-MAX_GROUNDING = 12
+# Fixed value: spans a job carries.
 MAX_JOB_SPANS = 500
 MEDIA = texts_of("kind", "mime", "sha256")
 CALL = "array<struct<name:string,kind:string,server:string,arguments:string,output:string>>"
@@ -67,32 +67,31 @@ def link_spans(spans: DataFrame, seq: str = "seq") -> DataFrame:
     return linked.withColumn("parent", F.when(F.col("_known"), F.col("_parent"))).drop("_parent", "_known")
 
 
-def trajectory_steps(spans: DataFrame, seq: str = "seq", max_rounds: int = 20,
+def trajectory_steps(spans: DataFrame, seq: str = "seq",
                      cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Depth and path of every span; sorting a run by ``path`` lists it depth first.
 
     Paths are found by pointer doubling: each round joins a span with the ancestor it
     knows and takes over that ancestor's knowledge, so a tree of depth d needs log2(d)
-    rounds, and a run may be of any size because it is never gathered.  Spans that
-    still have an ancestor after the last useful round hang in a cycle; they are listed
-    once each, at depth 0, after the tree.
+    rounds, and a run may be of any size because it is never gathered.  A span whose
+    path is longer than its run has spans hangs in a cycle; such spans are listed once
+    each, at depth 0, after the tree.  There is no limit on depth.
 
-    ``cut`` stores an intermediate result (by default a reliable checkpoint, when the
-    session has a checkpoint directory) so that a lost executor does not replay every
-    round.
+    ``cut`` stores an intermediate result (by default a reliable checkpoint) so that a
+    lost executor does not replay every round.
     """
     cut = cut or _cut
     linked = link_spans(spans, seq)
     key = F.col(seq).cast("string") if dict(spans.dtypes)[seq] == "string" else F.lpad(F.col(seq).cast("string"), 20, "0")
-    state = cut(linked.select(*RUN, "span_id", F.col("parent").alias("up"), F.array(key).alias("path")))
-    for _ in range(max_rounds):
-        if state.filter(F.col("up").isNotNull()).isEmpty():
-            break
+    sizes = linked.groupBy(*[F.col(c).alias(f"_{c}") for c in RUN]).agg(F.count("*").alias("_spans"))
+    same_run = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in RUN]
+    state = cut(linked.join(sizes, same_run).select(*RUN, "_spans", "span_id", F.col("parent").alias("up"), F.array(key).alias("path")))
+    while not state.filter(F.col("up").isNotNull()).isEmpty():
         above = state.select(*RUN, F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
         moved = state.join(above, [*RUN, "up"], "left").select(
-            *RUN, "span_id", F.col("_up").alias("up"),
+            *RUN, "_spans", "span_id", F.col("_up").alias("up"),
             F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"),
-            (F.col("up").isNotNull() & (F.size("path") > MAX_DEPTH)).alias("_loop"))
+            (F.col("up").isNotNull() & (F.size("path") > F.col("_spans"))).alias("_loop"))
         state = cut(moved.withColumn("up", F.when(~F.col("_loop"), F.col("up"))).withColumn(
             "path", F.when(F.col("_loop"), F.lit(None)).otherwise(F.col("path"))).drop("_loop"))
     looped = F.col("up").isNotNull() | F.col("path").isNull()
@@ -104,15 +103,9 @@ def trajectory_steps(spans: DataFrame, seq: str = "seq", max_rounds: int = 20,
         F.when(F.col("_loop"), F.array(F.lit("~"), F.col("_key"))).otherwise(F.col("path")).alias("path"))
 
 
-# A path longer than this is a loop: no agent nests its calls this deep.
-MAX_DEPTH = 4096
-
-
 def _cut(df: DataFrame) -> DataFrame:
-    """Store a round's result in the session's checkpoint directory, when it has one."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
-    if not folder:
-        return df
+    """Store a round's result in the session's checkpoint directory; a folder of this machine only where none is set (tests)."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
@@ -133,7 +126,7 @@ def tool_calls(event) -> Column:
     def call(name, kind, server, arguments, output):
         return F.struct(
             name.alias("name"), F.lit(kind).alias("kind"), server.alias("server"),
-            preview(text_of(arguments), 300).alias("arguments"), preview(text_of(output), 300).alias("output"))
+            preview(text_of(arguments)).alias("arguments"), preview(text_of(output)).alias("output"))
 
     none = F.lit(None).cast("string")
     nothing = F.parse_json(F.lit("null"))
@@ -157,7 +150,7 @@ def _block(name: Column, given: Column, output: Column) -> Column:
         args = F.coalesce(F.concat(F.lit(" (input: "), x["args"], F.lit(")")), F.lit(""))
         return F.concat(head, args, F.lit(" returned:\n"), x["out"])
 
-    return bind(F.struct(name.alias("name"), preview(given, 400).alias("args"), preview(output, 1000).alias("out")), text)
+    return bind(F.struct(name.alias("name"), preview(given).alias("args"), preview(output).alias("out")), text)
 
 
 def grounding_blocks(event) -> Column:
@@ -195,13 +188,19 @@ def grounding_blocks(event) -> Column:
     return F.array_compact(F.concat(own, F.transform(rows(e, "$.mcp_calls"), mcp), F.flatten(F.transform(messages, from_message))))
 
 
-def grounding(spans: DataFrame, event: str = "event", seq: str = "seq") -> DataFrame:
-    """Distinct grounding blocks of each run in order of appearance, the first twelve."""
+def grounding_rows(spans: DataFrame, event: str = "event", seq: str = "seq") -> DataFrame:
+    """Distinct grounding blocks of each run, one row each, with ``at``: the span and place where they first appear."""
     rows = spans.select(*RUN, F.col(seq).alias("_s"), F.posexplode(grounding_blocks(event)).alias("_i", "block"))
-    once = rows.groupBy(*RUN, "block").agg(F.min(F.struct("_s", "_i")).alias("_at"))
-    rank = F.row_number().over(Window.partitionBy(*RUN).orderBy("_at"))
-    kept = once.withColumn("_n", rank).filter(F.col("_n") <= MAX_GROUNDING)
-    ordered = F.array_sort(F.collect_list(F.struct("_n", "block")))
+    return rows.groupBy(*RUN, "block").agg(F.min(F.struct("_s", "_i")).alias("at"))
+
+
+def grounding(spans: DataFrame, event: str = "event", seq: str = "seq", most: int | None = None) -> DataFrame:
+    """The blocks of each run as one list in order of appearance, all or the first ``most``; use rows where runs are long."""
+    kept = grounding_rows(spans, event, seq)
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy(*RUN).orderBy("at"))
+        kept = kept.withColumn("_n", rank).filter(F.col("_n") <= most)
+    ordered = F.array_sort(F.collect_list(F.struct("at", "block")))
     return kept.groupBy(*RUN).agg(F.transform(ordered, lambda x: x.block).alias("grounding"))
 
 
@@ -227,14 +226,14 @@ def media_refs(event_json) -> Column:
     return F.coalesce(_media(F.when(F.contains(e, F.lit("_media_ref")), e)), F.array().cast(MEDIA))
 
 
-def display_steps(spans: DataFrame, event: str = "event") -> DataFrame:
-    """Display columns of each span: name, agent, model, previews, calls."""
+def display_steps(spans: DataFrame, event: str = "event", most: int | None = None) -> DataFrame:
+    """Display columns of each span: name, agent, model, texts (whole or the first ``most`` characters), calls."""
     e = F.col(event)
     get = lambda p: F.try_variant_get(e, p, "string")
     return spans.withColumns({
         "type": F.coalesce(get("$.type"), F.lit("llm")), "name": first_non_empty(get("$.function"), get("$.name"), get("$.api")),
         "agent": step_agent(event), "model": F.nullif(get("$.model"), F.lit("")),
-        "input": preview(event_input(event), 600), "output": preview(event_output(event), 600), "calls": tool_calls(event)})
+        "input": preview(event_input(event), most), "output": preview(event_output(event), most), "calls": tool_calls(event)})
 
 
 def trajectory_stats(steps: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def _(lake):
 
 @query("k06_grounding")
 def _(lake):
-    return TJ.grounding(_events(lake)).select("root_trace_id", F.explode("grounding").alias("block"))
+    return TJ.grounding_rows(_events(lake)).select("root_trace_id", "block")
 
 
 @query("c20_call_results", f"""SELECT conv_id, count(*) AS tool_spans FROM conversations WHERE role = 'system' AND {STRIPPED} <> '' GROUP BY 1""")
@@ -216,8 +216,7 @@ def _(lake):
 
 
 @query("k01_import_runs", f"""SELECT organization_id, root_trace_id, coalesce(input, '') AS input, output AS expected_output FROM ({RUN_IO}) io JOIN v_traces t USING (organization_id, root_trace_id)
-WHERE t.is_root = 1 AND agent_key = '2-high' AND NOT EXISTS (SELECT 1 FROM v_examples e WHERE e.source_trace_id = t.trace_id) AND (trim(coalesce(input, '')) <> '' OR trim(coalesce(output, '')) <> '')
-ORDER BY ingested_at DESC, organization_id, trace_id LIMIT 2000""")
+WHERE t.is_root = 1 AND agent_key = '2-high' AND NOT EXISTS (SELECT 1 FROM v_examples e WHERE e.source_trace_id = t.trace_id) AND (trim(coalesce(input, '')) <> '' OR trim(coalesce(output, '')) <> '')""")
 def _(lake):
     roots = lake.traces.filter(is_root() & (F.col("agent_key") == "2-high")).withColumn("event", F.parse_json(F.to_json(F.struct("trace_id", "model"))))
     order = [F.col("ingested_at").desc(), F.col("organization_id"), F.col("trace_id")]

@@ -126,12 +126,12 @@ def _(lake):
   round(CAST(sum(total_cost) AS DOUBLE), 6) AS cost FROM v_costs WHERE model <> '' GROUP BY 1, 2, 3
 ORDER BY sum(total_cost) DESC, organization_id, model, provider LIMIT 8""")
 def _(lake):
-    return _round(M.top_models(M.model_breakdown(lake.costs, AT_TRACES, ALL_HOURS)), cost=1)
+    return _round(M.top_models(M.model_breakdown(lake.costs, AT_TRACES, ALL_HOURS), 8), cost=1)
 
 
 @query("d14_tag_counts", f"SELECT organization_id, tag, count(*) AS n FROM ({LIVE_TAGS}) t GROUP BY 1, 2 ORDER BY n DESC, organization_id, tag LIMIT 100")
 def _(lake):
-    return M.tag_counts(V.latest(lake.tag_log, [*TRACE_KEY, "tag"], "updated_at", ["event_id"], "deleted"))
+    return M.tag_counts(V.latest(lake.tag_log, [*TRACE_KEY, "tag"], "updated_at", ["event_id"], "deleted"), 100)
 
 
 @query("d01_month_usage", """SELECT organization_id, count(*) AS evaluations FROM v_evals

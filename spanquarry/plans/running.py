@@ -255,7 +255,7 @@ def _(lake):
 
 
 @query("k12_expand_trials", """SELECT example_id, trial, sha256(concat('run1', ':', example_id, ':', trial)) AS trace_id
-FROM (SELECT example_id FROM v_examples ORDER BY example_id LIMIT 166) e, (SELECT unnest(range(1, 4)) AS trial) t""")
+FROM (SELECT example_id FROM v_examples) e, (SELECT unnest(range(1, 4)) AS trial) t""")
 def _(lake):
     return R.expand_trials(lake.examples.select("example_id"), 3, "run1", [F.col("example_id")])
 

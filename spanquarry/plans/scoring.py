@@ -224,12 +224,12 @@ def _(lake):
                                         F.array_join(S.placeholders(t), ",").alias("names"))
 
 
-@query("h12_normalize_tags", """SELECT doc_id, concat(lower(source), ',', lang, '-x') AS tags FROM documents WHERE regexp_matches(lower(source), '^[a-z0-9][a-z0-9._\\-/]{0,62}$')""")
+@query("h12_normalize_tags", """SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(lower(trim(source)), '^[a-z0-9][a-z0-9._\\-/]{0,62}$') THEN lower(trim(source)) END,
+  CASE WHEN regexp_matches(lower(trim(lang)) || '-x', '^[a-z0-9][a-z0-9._\\-/]{0,62}$') THEN lower(trim(lang)) || '-x' END) AS tags FROM documents""")
 def _(lake):
     raw = F.array(F.concat(F.lit("  "), F.upper("source")), F.lit("bad tag!"), F.lit(None), F.lit("-lead"),
                   F.concat(F.col("lang"), F.lit("-X ")), F.col("source"))
-    d = lake.raw("documents").filter(F.lower("source").rlike(S.TAG_PATTERN))
-    return d.select("doc_id", F.array_join(S.normalize_tags(raw), ",").alias("tags"))
+    return lake.raw("documents").select("doc_id", F.array_join(S.normalize_tags(raw), ",").alias("tags"))
 
 
 OPTIONS = "array(named_struct('label', 'Good', 'score', 1.0D), named_struct('label', ' OK ', 'score', 0.5D), named_struct('label', 'Bad', 'score', 0.0D))"
@@ -274,7 +274,7 @@ def _(lake):
     return lake.raw("pages").select("page_id", F.round(S.entropy("url"), 6).alias("entropy"), S.redact("url").alias("redacted"))
 
 
-@query("h22_slugs", """SELECT page_id, substr(trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 63) AS slug FROM pages""")
+@query("h22_slugs", """SELECT page_id, trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages""")
 def _(lake):
     return lake.raw("pages").select("page_id", S.slug("url").alias("slug"))
 

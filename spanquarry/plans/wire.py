@@ -310,7 +310,7 @@ def _(lake):
 
 @query("j07_alert_digest", f"""SELECT organization_id, time_bucket(INTERVAL 1 HOUR, ingested_at) AS window_start, count(*) AS events, arg_min(summary, (ingested_at, event_id)) AS first_line FROM ({SEC}) s WHERE organization_id = 'org0' GROUP BY 1, 2""")
 def _(lake):
-    d = AL.alert_digest(AL.security_alerts(lake.scans, _settings(lake)), "hourly", tie=["event_id"])
+    d = AL.alert_digest(AL.security_alerts(lake.scans, _settings(lake)), "hourly", tie=["event_id"], most=40)
     return d.select("organization_id", "window_start", "events", F.get("lines", F.lit(0)).alias("first_line"))
 
 

@@ -11,7 +11,6 @@ from spanquarry.schemas import AUTO_EVAL, HUMAN_ANNOTATION
 # Fixed values.
 FEEDBACK_NAME = r"^[a-z][a-z0-9_\-]{0,63}$"
 DEFAULT_FEEDBACK = "user_feedback"
-COMMENT_CAP = 2000
 AUDIT_YEARS = 10
 AUDIT_EVENTS = [
     ("POST", "/auth/login", "auth_login"), ("POST", "/auth/register", "auth_register"), ("POST", "/auth/logout", "auth_logout"),
@@ -36,13 +35,14 @@ def human_score_rows(df: DataFrame, evaluator: str = HUMAN_ANNOTATION) -> DataFr
                      F.lit("").alias("judge_model"), "details")
 
 
-def coerce_feedback(df: DataFrame) -> DataFrame:
-    """Feedback as scores: true / false to 1 / 0, numbers clamped, names checked, comments cut."""
+def coerce_feedback(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Feedback as scores: true / false to 1 / 0, numbers clamped, names checked, comments whole or cut at ``most``."""
     raw = F.lower(strip(F.col("value").cast("string")))
     number = raw.try_cast("double")
     score = F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
     name = F.lower(strip(F.coalesce(F.nullif("name", F.lit("")), F.lit(DEFAULT_FEEDBACK))))
-    comment = F.nullif(F.substring(strip("comment"), 1, COMMENT_CAP), F.lit(""))
+    whole = strip("comment")
+    comment = F.nullif(whole if most is None else F.substring(whole, 1, most), F.lit(""))
     return df.withColumns({
         "score": F.when(number.isNull() & ~raw.isin("true", "false"), None).otherwise(score), "name": name, "comment": comment,
         "valid": name.rlike(FEEDBACK_NAME) & (raw.isin("true", "false") | number.isNotNull())})

@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanquarry.functions.common import strip
 
-# Columns read, and header names that suggest a role.
-MAX_COLUMNS = 60
+# Header names that suggest a role.
 INPUT_HINTS = ["input", "question", "prompt", "query", "user", "text", "message"]
 EXPECTED_HINTS = ["expected_output", "expected output", "expected", "output", "answer", "response", "target", "label",
                   "gold", "reference", "ideal"]
@@ -19,12 +18,15 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
     return spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
 
 
-def read_tabular(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """CSV or TSV with a header: byte-order mark and blank rows dropped, headers trimmed, 60 columns."""
+def read_tabular(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool = True, most: int | None = None) -> DataFrame:
+    """CSV or TSV with a header: byte-order mark and blank rows dropped, headers trimmed, all columns or the first ``most``.
+
+    Quoted fields may hold line ends, so a file is one split; ``multiline=False`` splits large files that hold none.
+    """
     encoding = encoding or ("UTF-8" if is_utf8(spark, path) else "ISO-8859-1")
     raw = spark.read.csv(path, header=True, sep="\t" if path.lower().endswith(".tsv") else ",", encoding=encoding,
-                         quote='"', escape='"', multiLine=True)
-    names = [c.replace("\ufeff", "").strip() for c in raw.columns[:MAX_COLUMNS]]
+                         quote='"', escape='"', multiLine=multiline)
+    names = [c.replace("\ufeff", "").strip() for c in raw.columns[:most]]
     df = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, names)])
     return df.filter(F.length(strip(F.concat_ws("", *[F.col(f"`{n}`") for n in names]))) > 0)
 

@@ -136,7 +136,7 @@ def test_cooldown(spark):
 def test_digest_counts_what_it_leaves_out(spark):
     df = spark.range(50).select(F.lit("o").alias("organization_id"), F.lit("hourly").alias("digest"), F.format_string("line %02d", "id").alias("summary"),
                                 F.lit(T0).cast("timestamp_ntz").alias("ingested_at"))
-    r = AL.alert_digest(df, "hourly").first()
+    r = AL.alert_digest(df, "hourly", most=40).first()
     assert (r["events"], len(r["lines"]), r["lines"][0], r["more"]) == (50, 40, "line 00", 10)
 
 
