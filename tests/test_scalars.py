@@ -90,8 +90,9 @@ def test_provider_names(spark):
 def test_tags(spark):
     raw = ["Prompt-A", " prompt-a ", "bad tag", "", "x" * 64, "ok/1.0_b"] + [f"t{i}" for i in range(40)]
     df = spark.createDataFrame([(raw,), (None,)], "t array<string>")
-    got = [r["x"] for r in df.select(S.normalize_tags("t").alias("x")).collect()]
+    got = [r["x"] for r in df.select(S.normalize_tags("t", most=25).alias("x")).collect()]
     assert got[0] == ["prompt-a", "ok/1.0_b", *[f"t{i}" for i in range(23)]] and got[1] == []
+    assert one(spark, S.normalize_tags("t"), t=raw) == ["prompt-a", "ok/1.0_b", *[f"t{i}" for i in range(40)]]
 
 
 def test_buckets_grow_with_the_window():
