@@ -18,9 +18,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line runs of 50 words that stand earlier in the corpus go; so do documents of which nothing is left."""
+    """Runs of 50 words or more that stand earlier in the corpus go; so do documents of which nothing is left."""
     cleaned = line_dedup.drop_repeats(docs)
-    return cleaned.where("n_deleted = 0 or n_deleted < n_lines").select(*docs.columns)
+    return cleaned.where("n_deleted = 0 or n_deleted < n_words").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,13 @@
-"""Removal of line runs that repeat an earlier place, found by winnowing over line hashes."""
+"""Removal of runs of words that repeat an earlier place, found by winnowing over the hashes of rolled lines.
+
+Repeated passages stand inside the lines of a text as often as on lines of their own, so a line break is not taken as
+the border of a line: every word starts a line of ``LINE`` words, and runs begin and end at any word.
+"""
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -11,110 +17,159 @@ from pyspark.sql import functions as F
 
 from spanquarry.llm.shared import cut
 
-_M = (1 << 64) - 1
+LINE = 25  # words of a rolled line
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of every word (parted by ASCII white space); a null or blank text has none."""
+    words = (text or "").encode("utf-8", "replace").split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash and the number of words of every line; a null or empty text has no lines."""
-    lines = text.split("\n") if text else []
-    return (np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in lines), np.uint64, len(lines)),
-            np.fromiter((len(x.split()) for x in lines), np.int64, len(lines)))
+def line_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words that begin at each word, from differences of one running polynomial."""
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    power = lambda base, k: np.concatenate([[np.uint64(1)], np.cumprod(np.full(k - 1, base))])
+    total = np.concatenate([[np.uint64(0)], np.cumsum(words * power(_BASE, len(words)))])
+    h = (total[size:] - total[:n]) * power(_BACK, n)
+    h = (h ^ (h >> np.uint64(31))) * _BASE
+    return h ^ (h >> np.uint64(29))
 
 
-def winnow(hashes: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """``(position, window hash)`` fingerprints: of every window its minimum.
+def winnow(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the fingerprints: the least line hash of every ``least`` consecutive words.
 
-    A window is the shortest run of lines from a line on that holds ``least`` words. Every run of lines with so many
-    words contains a whole window, so the minimum of one of its windows is a guaranteed fingerprint. The fingerprint
-    carries the hash of its window: a line that stands in other company elsewhere is not joined to it.
+    Two texts that share ``least`` consecutive words share the fingerprint of that window, wherever it stands.
     """
-    total = np.concatenate([[0], np.cumsum(words)])
-    ends = np.searchsorted(total, total[:-1] + least)
-    out = []
-    for start, end in enumerate(ends.tolist()):
-        if end > len(hashes):
-            break
-        window = hashes[start:end]
-        out.append((start + int(window.argmin()), xxhash.xxh3_64_intdigest(window.tobytes())))
-    return out
+    size = min(LINE, least)
+    h = line_hashes(words, size)
+    if len(words) < least:
+        return np.zeros(0, np.int64), h[:0]
+    windows = np.lib.stride_tricks.sliding_window_view(h, least - size + 1)
+    at = np.unique(np.arange(len(windows)) + windows.argmin(1))
+    return at, h[at]
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading items of ``a`` and ``b`` are equal."""
+    n, lo, step = min(len(a), len(b)), 0, 64
+    while lo < n:
+        differs = a[lo:lo + step][:n - lo] != b[lo:lo + step][:n - lo]
+        if differs.any():
+            return lo + int(differs.argmax())
+        lo, step = min(n, lo + step), step * 2
+    return n
+
+
+def runs_of_pair(own: np.ndarray, other: np.ndarray, seeds: list[tuple[int, int]], same: bool, least: int) -> list[tuple[int, int]]:
+    """``(first, last)`` runs of ``own`` that contain a seed ``(place, place in other)`` and agree with ``other``.
+
+    In the same text a run may not overlap the place it repeats. A seed is passed over once every window of ``least``
+    words around it is in a run, so periodic texts cost a few extensions.
+    """
+    covered, size, runs = np.zeros(len(own), bool), min(LINE, least), []
+    for at, origin in sorted(seeds):
+        if covered[max(0, at + size - least):at + least].all():
+            continue
+        most = at - origin if same else len(own)
+        ahead = min(_agree(own[at:], other[origin:]), most)
+        behind = min(_agree(own[:at][::-1], other[:origin][::-1]), most - ahead)
+        if ahead + behind >= least:
+            covered[at - behind:at + ahead] = True
+            runs.append((at - behind, at + ahead - 1))
+    return runs
 
 
 def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
-    """``doc_id, first, last``: line runs (from 0, both ends included) of ``least`` words that repeat an earlier place.
+    """``doc_id, first, last``: runs of ``least`` words or more (from 0, both ends included) that repeat an earlier place.
 
-    Places are ordered by (doc_id, line). Every fingerprint is joined with the first place that has it, and the match
-    is extended both ways as long as lines agree. A run in the same document may not overlap its first place. One row
-    a fingerprint and one hash array a document are shuffled, no text; a passage that is shared by any number of
-    documents is compared with its first place only.
+    Places are ordered by (doc_id, word). Every fingerprint is joined with the first place that has it, and the match
+    is extended both ways as long as words agree. A deleted word always has an equal one at an earlier place, so the
+    first of all stays. One row a fingerprint and four bytes a word are shuffled, no text; a passage that any number of
+    documents share is compared with its first place only.
     """
 
     def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, hashes, words, marks, at = [], [], [], [], []
+            out = []
             for doc, text in zip(b["doc_id"], b["text"]):
-                h, w = line_hashes(text)
-                found = winnow(h, w, least)
-                if found:
-                    ids.append(doc)
-                    hashes.append(h.view(np.int64))
-                    words.append(w)
-                    marks.append(np.array([m for _, m in found], np.uint64).view(np.int64))
-                    at.append([p for p, _ in found])
-            if ids:
-                yield pd.DataFrame({"doc_id": ids, "hashes": hashes, "words": words, "marks": marks, "at": at})
-
-    lined = cut(docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(
-        positions, "doc_id long, hashes array<long>, words array<long>, marks array<long>, at array<int>"))
-    marks = lined.select("doc_id", F.explode(F.arrays_zip("marks", "at")).alias("m")).select("doc_id", F.col("m.marks").alias("mark"), F.col("m.at").alias("at"))
+                words = word_hashes(text)
+                at, marks = winnow(words, least)
+                if len(at):
+                    out.append((doc, words.astype("<u4").tobytes(), marks.view(np.int64), at.astype(np.int32)))
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "words", "marks", "at"])
+
+    read = cut(docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(
+        positions, "doc_id long, words binary, marks array<long>, at array<int>"))
+    marks = read.select("doc_id", F.explode(F.arrays_zip("marks", "at")).alias("m")).select("doc_id", F.col("m.marks").alias("mark"), F.col("m.at").alias("at"))
     place = F.struct("doc_id", "at")
     firsts = marks.groupBy("mark").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin < end").select("mark", "origin")
     later = marks.join(firsts, "mark").where(place > F.col("origin"))
     pairs = (later.select("doc_id", "at", F.col("origin.doc_id").alias("origin"), F.col("origin.at").alias("origin_at"))
-             .groupBy("doc_id", "origin").agg(F.collect_set(F.struct("at", "origin_at")).alias("seeds")))
-    both = (pairs.join(lined.select("doc_id", F.col("hashes").alias("h"), F.col("words").alias("w")), "doc_id")
-            .join(lined.select(F.col("doc_id").alias("origin"), F.col("hashes").alias("g")), "origin"))
+             .groupBy("doc_id", "origin").agg(F.collect_list("at").alias("at"), F.collect_list("origin_at").alias("origin_at")))
+    both = (pairs.join(read.select("doc_id", F.col("words").alias("own")), "doc_id")
+            .join(read.select(F.col("doc_id").alias("origin"), F.col("words").alias("other")), "origin"))
+    # only the part of the first place's text that the own text can reach from a seed
+    start = F.greatest(F.lit(0), F.array_min("origin_at") - F.array_max("at"))
+    length = F.array_max("origin_at") + F.length("own") / 4 - start
+    part = F.col("other").substr(start * 4 + 1, (length * 4).cast("int"))
+    both = both.select("doc_id", (F.col("doc_id") == F.col("origin")).alias("same"), "own", part.alias("other"), "at", "origin_at", start.alias("start"))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for r in b.itertuples():
-                h, g, w = np.asarray(r.h), np.asarray(r.g), np.concatenate([[0], np.cumsum(r.w)])
-                runs = set()
-                for s in r.seeds:
-                    lo, shift = s["at"], s["at"] - s["origin_at"]
-                    hi = lo
-                    near = shift if r.doc_id == r.origin else len(h) + len(g)  # lines a run in the same document may span
-                    while hi + 1 < len(h) and hi + 1 - shift < len(g) and hi + 1 - lo < near and h[hi + 1] == g[hi + 1 - shift]:
-                        hi += 1
-                    while lo > 0 and lo - shift > 0 and hi - lo + 1 < near and h[lo - 1] == g[lo - 1 - shift]:
-                        lo -= 1
-                    if w[hi + 1] - w[lo] >= least:
-                        runs.add((lo, hi))
-                rows += [(r.doc_id, lo, hi) for lo, hi in runs]
-            yield pd.DataFrame(rows, columns=["doc_id", "first", "last"])
-
-    return both.select("doc_id", "origin", "h", "w", "g", "seeds").mapInPandas(extend, "doc_id long, first int, last int")
+            found = chain.from_iterable(
+                ((r.doc_id, *run) for run in runs_of_pair(np.frombuffer(r.own, "<u4"), np.frombuffer(r.other, "<u4"),
+                                                          list(zip(r.at.tolist(), (r.origin_at - r.start).tolist())), r.same, least))
+                for r in b.itertuples())
+            yield pd.DataFrame(list(found), columns=["doc_id", "first", "last"])
+
+    return both.mapInPandas(extend, "doc_id long, first int, last int")
+
+
+def without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    """The texts without the words of their runs; white space before what follows a run goes with it."""
+    out = []
+    for text, found in zip(texts, runs):
+        if text is None or found is None:
+            out.append((None, 0))
+            continue
+        raw = text.encode("utf-8", "replace")
+        starts = [m.start() for m in _WORD.finditer(raw)] + [len(raw)]
+        parts, at, gone = [], 0, 0
+        for first, last in sorted((r["first"], r["last"]) for r in found):
+            first, end = max(first, at), min(last + 1, len(starts) - 1)
+            if first < end:
+                parts.append(raw[starts[at] if at else 0:starts[first]])
+                at, gone = end, gone + end - first
+        parts.append(raw[starts[at] if at else 0:])
+        kept = b"".join(parts)
+        out.append(((kept.rstrip(b" \t\n\v\f\r") if at == len(starts) - 1 else kept).decode("utf-8"), gone))
+    return pd.DataFrame(out, columns=["text", "n_deleted"])
 
 
 def drop_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
-    """``docs`` without the repeated runs; adds ``n_lines`` and ``n_deleted``. ``n_chars``, if there, follows the text.
+    """``docs`` without the repeated runs; adds ``n_words`` (before) and ``n_deleted``. ``n_chars``, if there, follows the text.
 
-    Defined results: null texts stay null, a text whose lines all go becomes empty, rows of one doc_id lose the same
-    line numbers, rows without a doc_id are left alone, other columns pass through.
+    Defined results: null texts stay null, a text whose words all go becomes empty, rows of one doc_id lose the same
+    word numbers, rows without a doc_id are left alone, other columns pass through.
     """
     runs = repeated_runs(docs, least).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("first", "last")).alias("__runs"))
     joined = docs.join(runs, docs["doc_id"] == runs["__doc"], "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(F.col("__lines"), lambda x, i: ~F.exists(F.col("__runs"), lambda r: (r["first"] <= i) & (i <= r["last"])))
-    out = joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__runs").isNotNull(), kept).otherwise(F.col("__lines")))
-    text = F.when(F.col("__runs").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text"))
-    size = lambda c: F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(c))
-    changed = {"text": text, "n_lines": size("__lines"), "n_deleted": size("__lines") - size("__kept")}
+    has = F.col("__runs").isNotNull() & F.col("text").isNotNull()
+    out = joined.withColumn("__cut", F.pandas_udf(without, "text string, n_deleted long")(F.when(has, F.col("text")), "__runs"))
+    text = F.when(has, F.col("__cut.text")).otherwise(F.col("text"))
+    changed = {"text": text, "n_words": F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long"), "n_deleted": F.col("__cut.n_deleted")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__runs").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).drop("__doc", "__runs", "__lines", "__kept")
+        changed["n_chars"] = F.when(has, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).drop("__doc", "__runs", "__cut")
 
 
 def report(docs: DataFrame, least: int = 50) -> DataFrame:
-    """``doc_id, n_lines, n_deleted, text_sha256`` (of what stays) of every document."""
-    return drop_repeats(docs.select("doc_id", "text"), least).select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    """``doc_id, n_words, n_deleted, text_sha256`` (of what stays) of every document."""
+    return drop_repeats(docs.select("doc_id", "text"), least).select("doc_id", "n_words", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

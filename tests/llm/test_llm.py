@@ -206,40 +206,35 @@ def test_licenses(spark):
 
 
 def test_repeated_runs_match_brute_force(spark):
+    """Every later window of 50 words goes, wherever in a line it stands; what goes has an earlier equal; the rest stays."""
     from spanquarry.llm.line_dedup import drop_repeats
 
     rng = random.Random(8)
-    passages = ["\n".join(" ".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n)) for n in (6, 9, 14)] + [" ".join(str(rng.random()) for _ in range(60))]
+    passages = [" ".join(rng.choice(["ab", "cd\n", "ef", "gé"]) + str(rng.randint(0, 99)) for _ in range(n)) for n in (50, 51, 68, 140)] + ["in " * 130, "ja nein " * 45]
     texts = []
-    for i in range(40):
-        own = [f"own {i} {k} " + "x " * rng.randint(0, 20) for k in range(rng.randint(0, 8))]
-        for p in rng.sample(passages, rng.randint(0, 2)):
+    for i in range(60):
+        own = [f"own{i}x{k}" for k in range(rng.randint(0, 90))]
+        for p in rng.choices(passages, k=rng.randint(0, 3)):
             own.insert(rng.randint(0, len(own)), p)
-        texts.append("\n".join(own))
-    lines = [t.split("\n") if t else [] for t in texts]
-    size = lambda ls: sum(len(x.split()) for x in ls)
-
-    def window(i, a):
-        b = a
-        while b < len(lines[i]) and size(lines[i][a:b]) < 50:
-            b += 1
-        return tuple(lines[i][a:b]) if size(lines[i][a:b]) >= 50 else None
-
-    must = {i: set() for i in range(len(texts))}
-    first = {}
-    for i, ls in enumerate(lines):
-        for a in range(len(ls)):
-            w = window(i, a)
-            if w and first.setdefault(w, (i, a)) != (i, a):
-                must[i] |= set(range(a, a + len(w)))  # a repeated window goes
+        texts.append(rng.choice([" ", "\n"]).join(own))
+    texts += [texts[3], texts[7] + " end", "short text"]
+    words = [t.split() for t in texts]
+    must, first = [set() for _ in texts], {}
+    for i, ws in enumerate(words):
+        for a in range(len(ws) - 49):
+            j, b = first.setdefault(tuple(ws[a:a + 50]), (i, a))
+            if (j, b) != (i, a) and (j != i or a - b >= 50):
+                must[i] |= set(range(a, a + 50))
     got = {r.doc_id: r for r in drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    shared = {x for p in passages for x in p.split("\n")}
-    for i, ls in enumerate(lines):
-        kept = got[i].text.split("\n") if got[i].text else []
-        gone = len(ls) - len(kept) if ls else 0
-        assert got[i].n_deleted >= len(must[i]) and gone == got[i].n_deleted or not ls
-        assert [x for x in ls if x not in shared] == [x for x in kept if x not in shared]  # own lines stay
-        assert [ls[k] for k in range(len(ls)) if k not in must[i] and ls[k] not in shared] == [x for x in kept if x not in shared]
+    assert sum(map(len, must)) > 2000
+    for i, ws in enumerate(words):
+        kept = got[i].text.split()
+        assert got[i].n_words == len(ws) and got[i].n_deleted == len(ws) - len(kept)
+        assert i >= 60 or [w for w in kept if w.startswith("own")] == [w for w in ws if w.startswith("own")]
+        plain = [k for k, w in enumerate(ws) if w not in ("in", "ja", "nein")]
+        assert [w for w in kept if w not in ("in", "ja", "nein")] == [ws[k] for k in plain if k not in must[i]]
+    seen = {w for r in got.values() for w in r.text.split()}
+    assert seen == {w for ws in words for w in ws}
 
 
 def test_chats(spark):
