@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spanquarry.llm.shared import cut
 
-LINE = 25  # words of a rolled line
+LINE = 16  # words of a rolled line
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -109,12 +109,14 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
         positions, "doc_id long, words binary, marks array<long>, at array<int>"))
     marks = read.select("doc_id", F.explode(F.arrays_zip("marks", "at")).alias("m")).select("doc_id", F.col("m.marks").alias("mark"), F.col("m.at").alias("at"))
     place = F.struct("doc_id", "at")
-    firsts = marks.groupBy("mark").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin < end").select("mark", "origin")
+    # tables of their own: their sizes are known to the planner, and a hot mark's join is split as a skewed one
+    firsts = cut(marks.groupBy("mark").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "origin"))
     later = marks.join(firsts, "mark").where(place > F.col("origin"))
-    pairs = (later.select("doc_id", "at", F.col("origin.doc_id").alias("origin"), F.col("origin.at").alias("origin_at"))
-             .groupBy("doc_id", "origin").agg(F.collect_list("at").alias("at"), F.collect_list("origin_at").alias("origin_at")))
-    both = (pairs.join(read.select("doc_id", F.col("words").alias("own")), "doc_id")
-            .join(read.select(F.col("doc_id").alias("origin"), F.col("words").alias("other")), "origin"))
+    pairs = cut(later.select("doc_id", "at", F.col("origin.doc_id").alias("origin"), F.col("origin.at").alias("origin_at"))
+                .groupBy("doc_id", "origin").agg(F.collect_list("at").alias("at"), F.collect_list("origin_at").alias("origin_at")))
+    ids = cut(pairs.select("doc_id").unionAll(pairs.select("origin")).distinct())
+    words = read.select("doc_id", "words").join(ids, "doc_id", "left_semi")
+    both = pairs.join(words.toDF("doc_id", "own"), "doc_id").join(words.toDF("origin", "other"), "origin")
     # only the part of the first place's text that the own text can reach from a seed
     start = F.greatest(F.lit(0), F.array_min("origin_at") - F.array_max("at"))
     length = F.array_max("origin_at") + F.length("own") / 4 - start
@@ -159,7 +161,7 @@ def drop_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     Defined results: null texts stay null, a text whose words all go becomes empty, rows of one doc_id lose the same
     word numbers, rows without a doc_id are left alone, other columns pass through.
     """
-    runs = repeated_runs(docs, least).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("first", "last")).alias("__runs"))
+    runs = cut(repeated_runs(docs, least).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("first", "last")).alias("__runs")))
     joined = docs.join(runs, docs["doc_id"] == runs["__doc"], "left")
     has = F.col("__runs").isNotNull() & F.col("text").isNotNull()
     out = joined.withColumn("__cut", F.pandas_udf(without, "text string, n_deleted long")(F.when(has, F.col("text")), "__runs"))
