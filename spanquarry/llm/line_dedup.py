@@ -41,18 +41,19 @@ def line_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def winnow(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the fingerprints: the least line hash of every ``least`` consecutive words.
+def winnow(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints: the least line hash of every ``least`` consecutive words, as its positions, hashes, and the first and
+    last of the windows it is the least of.
 
     Two texts that share ``least`` consecutive words share the fingerprint of that window, wherever it stands.
     """
     size = min(LINE, least)
     h = line_hashes(words, size)
     if len(words) < least:
-        return np.zeros(0, np.int64), h[:0]
+        return np.zeros(0, np.int64), h[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(h, least - size + 1)
-    at = np.unique(np.arange(len(windows)) + windows.argmin(1))
-    return at, h[at]
+    at, since = np.unique(np.arange(len(windows)) + windows.argmin(1), return_index=True)  # never decreases from window to window
+    return at, h[at], since, np.append(since[1:], len(windows)) - 1
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> int:
@@ -66,72 +67,112 @@ def _agree(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def runs_of_pair(own: np.ndarray, other: np.ndarray, seeds: list[tuple[int, int]], same: bool, least: int) -> list[tuple[int, int]]:
-    """``(first, last)`` runs of ``own`` that contain a seed ``(place, place in other)`` and agree with ``other``.
+def runs_of_pair(own: np.ndarray, other: np.ndarray, seeds: list[tuple[int, int]], same: bool, least: int,
+                 size: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """``(first, last)`` runs of ``own`` that contain a seed ``(place, place in other)`` and agree with ``other``, and all
+    stretches ``(start, end)`` of ``least`` words or more that agree.
 
-    In the same text a run may not overlap the place it repeats. A seed is passed over once every window of ``least``
-    words around it is in a run, so periodic texts cost a few extensions.
+    In the same text no window of a run may overlap the window it repeats, so seeds nearer than ``least`` give no run.
+    A seed of ``size`` words is passed over once every window of ``least`` words around it is in a run, so periodic
+    texts cost a few extensions.
     """
-    covered, size, runs = np.zeros(len(own), bool), min(LINE, least), []
+    covered, runs, met = np.zeros(len(own), bool), [], []
     for at, origin in sorted(seeds):
         if covered[max(0, at + size - least):at + least].all():
             continue
-        most = at - origin if same else len(own)
-        ahead = min(_agree(own[at:], other[origin:]), most)
-        behind = min(_agree(own[:at][::-1], other[:origin][::-1]), most - ahead)
-        if ahead + behind >= least:
-            covered[at - behind:at + ahead] = True
-            runs.append((at - behind, at + ahead - 1))
-    return runs
+        start, end = at - _agree(own[:at][::-1], other[:origin][::-1]), at + _agree(own[at:], other[origin:])
+        if end - start < least:
+            continue
+        met.append((start, end))
+        if not same or at - origin >= least:
+            covered[start:end] = True
+            runs.append((start, end - 1))
+    return runs, met
 
 
-def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
-    """``doc_id, first, last``: runs of ``least`` words or more (from 0, both ends included) that repeat an earlier place.
+def unmet(windows: Iterator[tuple[int, int]], met: list[tuple[int, int]], least: int) -> np.ndarray:
+    """Starts of the windows, given as ranges ``(first, last)``, that lie in none of the stretches ``(start, end)``."""
+    starts = np.concatenate([np.arange(a, b + 1) for a, b in windows])
+    if not met:
+        return starts
+    begin, end = np.array(sorted(met)).T
+    k = np.searchsorted(begin, starts, "right") - 1
+    return starts[(k < 0) | (np.maximum.accumulate(end)[k] < starts + least)]
 
-    Places are ordered by (doc_id, word). Every fingerprint is joined with the first place that has it, and the match
-    is extended both ways as long as words agree. A deleted word always has an equal one at an earlier place, so the
-    first of all stays. One row a fingerprint and four bytes a word are shuffled, no text; a passage that any number of
-    documents share is compared with its first place only.
-    """
 
-    def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                words = word_hashes(text)
-                at, marks = winnow(words, least)
-                if len(at):
-                    out.append((doc, words.astype("<u4").tobytes(), marks.view(np.int64), at.astype(np.int32)))
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "words", "marks", "at"])
-
-    read = cut(docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(
-        positions, "doc_id long, words binary, marks array<long>, at array<int>"))
-    marks = read.select("doc_id", F.explode(F.arrays_zip("marks", "at")).alias("m")).select("doc_id", F.col("m.marks").alias("mark"), F.col("m.at").alias("at"))
+def _first_places(marks: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, origin`` pairs with the places of their common marks, of which those in ``origin`` are the first."""
     place = F.struct("doc_id", "at")
     # tables of their own: their sizes are known to the planner, and a hot mark's join is split as a skewed one
     firsts = cut(marks.groupBy("mark").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "origin"))
     later = marks.join(firsts, "mark").where(place > F.col("origin"))
-    pairs = cut(later.select("doc_id", "at", F.col("origin.doc_id").alias("origin"), F.col("origin.at").alias("origin_at"))
-                .groupBy("doc_id", "origin").agg(F.collect_list("at").alias("at"), F.collect_list("origin_at").alias("origin_at")))
+    return cut(later.select("doc_id", "at", *more, F.col("origin.doc_id").alias("origin"), F.col("origin.at").alias("origin_at"))
+               .groupBy("doc_id", "origin").agg(*[F.collect_list(c).alias(c) for c in ("at", "origin_at", *more)]))
+
+
+def _with_words(pairs: DataFrame, read: DataFrame) -> DataFrame:
+    """The pairs with the words of both texts; of the other only the part that the own text can reach from a seed."""
     ids = cut(pairs.select("doc_id").unionAll(pairs.select("origin")).distinct())
     words = read.select("doc_id", "words").join(ids, "doc_id", "left_semi")
     both = pairs.join(words.toDF("doc_id", "own"), "doc_id").join(words.toDF("origin", "other"), "origin")
-    # only the part of the first place's text that the own text can reach from a seed
     start = F.greatest(F.lit(0), F.array_min("origin_at") - F.array_max("at"))
     length = F.array_max("origin_at") + F.length("own") / 4 - start
     part = F.col("other").substr(start * 4 + 1, (length * 4).cast("int"))
-    both = both.select("doc_id", (F.col("doc_id") == F.col("origin")).alias("same"), "own", part.alias("other"), "at", "origin_at", start.alias("start"))
+    return both.withColumns({"same": F.col("doc_id") == F.col("origin"), "other": part, "start": start}).drop("origin")
+
+
+def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
+    """``doc_id, first, last``: runs of words (from 0, both ends included) that repeat an earlier place.
+
+    Places are ordered by (doc_id, word). The runs are exactly the windows of ``least`` words whose first place is in an
+    earlier text, or in the same text without overlap. Every fingerprint is joined with the first place that has it, and
+    the match is extended both ways as long as words agree. The first place of a fingerprint may share less than a
+    window: windows of a fingerprint that do not lie in such a match are joined a second time, by the hash of all their
+    words, with the first place of that window. This first place is always among them, as it does not lie in a match
+    either. A deleted word always has an equal one at an earlier place, so the first of all stays. One row a fingerprint,
+    one a window without a match of a repeated fingerprint and four bytes a word are shuffled, no text; a passage that
+    any number of documents share is compared with its first place only.
+    """
+
+    def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, text in zip(b["doc_id"], b["text"]):
+                words = word_hashes(text)
+                at, marks, *windows = winnow(words, least)
+                if len(at):
+                    out.append((doc, words.astype("<u4").tobytes(), marks.view(np.int64), *(x.astype(np.int32) for x in (at, *windows))))
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "words", "marks", "at", "since", "until"])
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                own = np.frombuffer(r.own, "<u4")
+                runs, met = runs_of_pair(own, np.frombuffer(r.other, "<u4"), list(zip(r.at.tolist(), (r.origin_at - r.start).tolist())),
+                                         r.same, least, min(LINE, least))
+                starts = unmet(zip(r.since.tolist(), r.until.tolist()), met, least)
+                lo = starts.min(initial=len(own))
+                h = line_hashes(own[lo:starts.max(initial=0) + least].astype(np.uint64), least)
+                out.append((r.doc_id, [x for x, _ in runs], [x for _, x in runs], h[starts - lo].view(np.int64), starts.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["doc_id", "first", "last", "marks", "at"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = chain.from_iterable(
                 ((r.doc_id, *run) for run in runs_of_pair(np.frombuffer(r.own, "<u4"), np.frombuffer(r.other, "<u4"),
-                                                          list(zip(r.at.tolist(), (r.origin_at - r.start).tolist())), r.same, least))
+                                                          list(zip(r.at.tolist(), (r.origin_at - r.start).tolist())), r.same, least, least)[0])
                 for r in b.itertuples())
             yield pd.DataFrame(list(found), columns=["doc_id", "first", "last"])
 
-    return both.mapInPandas(extend, "doc_id long, first int, last int")
+    each = lambda df, *names: df.select("doc_id", F.explode(F.arrays_zip(*names)).alias("m")).select("doc_id", *[F.col(f"m.{c}").alias("mark" if c == "marks" else c) for c in names])
+    read = cut(docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(
+        positions, "doc_id long, words binary, marks array<long>, at array<int>, since array<int>, until array<int>"))
+    pairs = _first_places(each(read, "marks", "at", "since", "until"), "since", "until")
+    matches = cut(_with_words(pairs, read).mapInPandas(extend, "doc_id long, first array<int>, last array<int>, marks array<long>, at array<int>"))
+    rest = _with_words(_first_places(each(matches, "marks", "at")), read).mapInPandas(verify, "doc_id long, first int, last int")
+    return each(matches, "first", "last").unionAll(rest)
 
 
 def without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:

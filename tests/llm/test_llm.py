@@ -237,6 +237,37 @@ def test_repeated_runs_match_brute_force(spark):
     assert seen == {w for ws in words for w in ws}
 
 
+def test_line_dedup_with_a_shorter_first_place(spark):
+    """The first text with a fingerprint shares too little, or only a part of what later texts share."""
+    from spanquarry.llm.line_dedup import drop_repeats
+
+    rng = random.Random(21)
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    p, q, loop = words("p", 130), words("q", 120), words("r", 12) * 14
+    texts = [words("a", 20) + p[20:60] + words("b", 20), words("c", 9) + p + words("d", 9), words("e", 30) + p[5:] + words("f", 3),
+             words("g", 5) + q[:75], words("h", 8) + q[30:] + words("i", 8), words("j", 4) + q, loop[:40] + words("k", 7), loop + words("l", 3) + loop[5:],
+             words("m", 2) + loop[7:]]
+    for i in range(60):
+        own = words(f"x{i}y", rng.randint(0, 40))
+        for _ in range(rng.randint(1, 3)):
+            source, a = rng.choice([p, q, loop]), rng.randint(0, 70)
+            k = rng.randint(0, len(own))
+            own[k:k] = source[a:a + rng.randint(17, 90)]
+        texts.insert(rng.randint(0, len(texts)), own)
+    must, first = [set() for _ in texts], {}
+    for i, ws in enumerate(texts):
+        for a in range(len(ws) - 49):
+            j, b = first.setdefault(tuple(ws[a:a + 50]), (i, a))
+            if j != i or a - b >= 50:
+                must[i] |= set(range(a, a + 50))
+    assert sum(map(len, must)) > 1000
+    data = [(i, " ".join(ws)) for i, ws in enumerate(texts)]
+    got = {r.doc_id: r for r in drop_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i, ws in enumerate(texts):
+        assert got[i].text.split() == [w for k, w in enumerate(ws) if k not in must[i]]
+        assert got[i].n_deleted == len(must[i])
+
+
 def test_chats(spark):
     from spanquarry.llm.chat import escape, format_chats, parse, read_back, render, unescape
 
