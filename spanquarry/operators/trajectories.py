@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanquarry.functions.common import as_col, bind, first_non_empty, texts_of
 from spanquarry.functions.scalars import event_input, event_output, preview, step_agent, text_of
+from spanquarry.operators.alerts import positions
 from spanquarry.operators.versioned import latest, pick_first
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Fixed value: spans a job carries.
-MAX_JOB_SPANS = 500
 MEDIA = texts_of("kind", "mime", "sha256")
 CALL = "array<struct<name:string,kind:string,server:string,arguments:string,output:string>>"
 RUN = ["organization_id", "root_trace_id"]
@@ -256,16 +255,23 @@ def trajectory_stats(steps: DataFrame) -> DataFrame:
     return heads.join(lists, RUN, "left")
 
 
-def agentic_jobs(traces: DataFrame, roots: DataFrame, event: Column, options: dict[str, str] | None = None,
-                 limit: int = MAX_JOB_SPANS) -> DataFrame:
-    """One agentic-evaluation job per run with its spans (at most 500) in time order.
+def agentic_job_rows(traces: DataFrame, roots: DataFrame, event: Column) -> DataFrame:
+    """The spans of each agentic-evaluation job, one row each: ``position`` (from 0, in time order) and ``event``.
 
-    The cap is applied while ranking, before spans are gathered.
+    Spans without a time come first. A run of any size is neither sorted in one task nor gathered.
     """
-    rows = traces.join(roots.select(*RUN).distinct(), RUN, "left_semi").withColumn("_event", event)
-    rank = F.row_number().over(Window.partitionBy(*RUN).orderBy("ingested_at", "trace_id"))
-    kept = rows.withColumn("_n", rank).filter(F.col("_n") <= limit)
-    ordered = F.array_sort(F.collect_list(F.struct("_n", "_event")))
-    jobs = kept.groupBy(*RUN).agg(F.transform(ordered, lambda x: x["_event"]).alias("events"))
+    ts = F.coalesce(F.col("ingested_at").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz"))
+    rows = traces.join(roots.select(*RUN).distinct(), RUN, "left_semi").select(*RUN, "trace_id", ts.alias("_ts"), event.alias("event"))
+    return positions(rows, RUN, "_ts", "trace_id", bucket="second").select(*RUN, F.col("pos").alias("position"), "event")
+
+
+def agentic_jobs(traces: DataFrame, roots: DataFrame, event: Column, options: dict[str, str] | None = None,
+                 limit: int | None = None) -> DataFrame:
+    """One agentic-evaluation job per run with its spans in time order, all or the first ``limit``; use rows where runs are long."""
+    kept = agentic_job_rows(traces, roots, event)
+    if limit is not None:
+        kept = kept.filter(F.col("position") < limit)
+    ordered = F.array_sort(F.collect_list(F.struct("position", "event")))
+    jobs = kept.groupBy(*RUN).agg(F.transform(ordered, lambda x: x["event"]).alias("events"))
     return jobs.select(*RUN, F.lit("agent_eval").alias("operation"), "events",
                        *[F.lit(v).alias(k) for k, v in (options or {}).items()])

@@ -211,8 +211,8 @@ def _(lake):
 @query("k21_agentic_jobs", """SELECT organization_id, root_trace_id, count(*) AS n, arg_min(trace_id, (ingested_at, trace_id)) AS first_span FROM v_traces
 WHERE (organization_id, root_trace_id) IN (SELECT (organization_id, root_trace_id) FROM v_evals) GROUP BY 1, 2""")
 def _(lake):
-    jobs = TJ.agentic_jobs(lake.traces, lake.evals, F.col("trace_id"), {"depth": "fast"})
-    return jobs.select(*RUN, F.size("events").cast("bigint").alias("n"), F.get("events", F.lit(0)).alias("first_span"))
+    spans = TJ.agentic_job_rows(lake.traces, lake.evals, F.col("trace_id"))
+    return spans.groupBy(*RUN).agg(F.count("*").alias("n"), F.max(F.when(F.col("position") == 0, F.col("event"))).alias("first_span"))
 
 
 @query("k01_import_runs", f"""SELECT organization_id, root_trace_id, coalesce(input, '') AS input, output AS expected_output FROM ({RUN_IO}) io JOIN v_traces t USING (organization_id, root_trace_id)

@@ -169,3 +169,17 @@ def test_judge_rows(spark):
     df = spark.createDataFrame([(1, "q", "fine", ""), (2, "q", "bad", "")], "k int, question string, answer string, context string")
     got = {(r["k"], r["metric"]): (r["score"], r["error"], r["reason"]) for r in J.judge(df, {"relevance": "score {{answer}}", "odd": "score {{answer}}"}, scorer, ["k"], J.SUPPORTED_METRICS).collect()}
     assert got == {(1, "relevance"): (1.0, False, "r"), (2, "relevance"): (0.0, True, "judge error: down")}
+
+
+def test_agentic_jobs_carry_every_span(spark):
+    at = lambda i: T0 + dt.timedelta(milliseconds=37 * (i // 3))
+    data = [("o", "long", f"t{i:05d}", at(i)) for i in range(1300)] + [("o", "long", "none", None), ("o", "short", "s", T0), ("o", "other", "x", T0)]
+    random.Random(4).shuffle(data)
+    df = spark.createDataFrame(data, "organization_id string, root_trace_id string, trace_id string, ingested_at timestamp_ntz")
+    roots = spark.createDataFrame([("o", "long"), ("o", "long"), ("o", "short")], "organization_id string, root_trace_id string")
+    want = {"long": ["none"] + [f"t{i:05d}" for i in range(1300)], "short": ["s"]}
+    assert {r["root_trace_id"]: r["events"] for r in TJ.agentic_jobs(df, roots, F.col("trace_id")).collect()} == want
+    cut = TJ.agentic_jobs(df, roots, F.col("trace_id"), {"depth": "fast"}, limit=7).collect()
+    assert {r["root_trace_id"]: (r["events"], r["depth"]) for r in cut} == {k: (v[:7], "fast") for k, v in want.items()}
+    got = sorted((r["root_trace_id"], r["position"], r["event"]) for r in TJ.agentic_job_rows(df, roots, F.col("trace_id")).collect())
+    assert got == [(k, i, e) for k, v in want.items() for i, e in enumerate(v)]
