@@ -111,12 +111,21 @@ def _(lake):
     return _events(lake).select("conv_id", "seq", S.question_of("event").alias("question"))
 
 
+def _examples(rows):
+    return rows.select("conv_id", "seq", S.event_input("event").alias("input"), S.event_output("event").alias("expected"),
+                       S.event_metadata("event")["model"].alias("model"))
+
+
+@query("h20_event_to_example_all", """SELECT conv_id, turn AS seq, concat('[{"content":', to_json(text), ',"role":"', role, '"}]') AS input, CASE WHEN role IN ('system', 'assistant') THEN text END AS expected,
+  concat('model-', conv_id % 3) AS model FROM conversations""")
+def _(lake):
+    return _examples(_events(lake))
+
+
 @query("h20_event_to_example", """SELECT conv_id, turn AS seq, concat('[{"content":', to_json(text), ',"role":"', role, '"}]') AS input, CASE WHEN role IN ('system', 'assistant') THEN text END AS expected,
   concat('model-', conv_id % 3) AS model FROM conversations WHERE NOT regexp_matches(text, '[^ -~]')""")
 def _(lake):
-    rows = _events(lake).filter(~F.col("text").rlike("[^ -~]"))
-    return rows.select("conv_id", "seq", S.event_input("event").alias("input"), S.event_output("event").alias("expected"),
-                       S.event_metadata("event")["model"].alias("model"))
+    return _examples(_events(lake).filter(~F.col("text").rlike("[^ -~]")))
 
 
 @query("h21_step_agent", "SELECT conv_id, turn AS seq, CASE WHEN conv_id % 3 = 0 THEN concat('planner-', conv_id % 2) END AS agent FROM conversations")

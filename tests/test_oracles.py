@@ -21,3 +21,10 @@ def test_matches_sql(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_examples_of_every_turn(spark):
+    name = "h20_event_to_example_all"
+    problems, n, *_ = compare(spark, SF, name, queries()[name], oracle_sql()[name])
+    texts = spark.read.parquet(f"{SF}/conversations.parquet")
+    assert not problems and n == texts.count() and texts.filter("text rlike '[^ -~]'").count() > 0
