@@ -56,7 +56,8 @@ def epochs(sizes: dict[str, float], weight: dict[str, float], budget: float | No
 
 def mix(docs: DataFrame, tokens: Column, source: str = "source", key: str = "doc_id", entropy: float | None = None, repeats: float | None = None,
         budget: float | None = None, block: int = 4096, seed: int = 17, max_sources: int = 100_000) -> DataFrame:
-    """Rows of ``docs`` as often as the mixture reads them, with ``epoch`` (from 0) and ``epochs`` of the source.
+    """Rows of ``docs`` as often as the mixture reads them, with ``epoch``, ``block`` and ``rank`` in the block (from 0), and
+    ``epochs`` of the source.
 
     Token counts are summed per source (one row a source reaches the driver, at most ``max_sources``), the exponent is
     bisected, and every source gets its share of the budget. Each epoch of a source is a permutation: rows are
@@ -66,12 +67,13 @@ def mix(docs: DataFrame, tokens: Column, source: str = "source", key: str = "doc
     block, so no source, however large, is put in order by one task.
 
     Defined results: null sources form a source of their own; null or negative token counts are 0; rows of a source
-    without tokens are read once; rows that share source and key are read equally often. Columns named ``epoch`` or
-    ``epochs`` are not expected in ``docs``.
+    without tokens are read once; rows that share source and key are read equally often, at the same
+    ranks. Columns named ``epoch``, ``block``, ``rank`` or ``epochs`` are not expected in ``docs``.
     """
     name = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
-    slim = cut(docs.select(name.alias("__source"), F.col(key).alias("__key"), F.greatest(F.coalesce(tokens.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("__tokens")))
-    counted = slim.groupBy("__source").agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).limit(max_sources + 1).collect()
+    slim = cut(docs.select(name.alias("__source"), F.col(key).alias("__key"), F.greatest(F.coalesce(tokens.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("__tokens"))
+               .groupBy("__source", "__key").agg(F.sum("__tokens").alias("__tokens"), F.count(F.lit(1)).alias("__rows")))
+    counted = slim.groupBy("__source").agg(F.sum("__tokens").alias("tokens"), F.sum("__rows").alias("rows")).limit(max_sources + 1).collect()
     if len(counted) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     sizes = {r["__source"]: r["tokens"] for r in sorted(counted, key=lambda r: r["__source"])}
@@ -80,30 +82,38 @@ def mix(docs: DataFrame, tokens: Column, source: str = "source", key: str = "doc
     blocks = {r["__source"]: max(1, r["rows"] // block) for r in counted}
     plan = docs.sparkSession.createDataFrame([(s, float(x), int(x + 1e-9), max(0.0, x - int(x + 1e-9)) * sizes[s], blocks[s]) for s, x in often.items()],
                                              "__source string, epochs double, __whole int, __rest double, __blocks long")
-    placed = (slim.join(F.broadcast(plan), "__source")  # one row a source, at most max_sources
-              .withColumn("__hash", F.xxhash64(F.lit(seed), F.col("__whole"), F.col("__key"))))
-    placed = placed.withColumn("__block", F.pmod(F.col("__hash"), F.col("__blocks")))
-    sums = placed.groupBy("__source", "__block").agg(F.sum("__tokens").alias("__sum"))
-    order = Window.partitionBy("__source").orderBy("__block")  # one row per some thousand documents
+    last = F.when(F.col("__rest") > 0, F.col("__whole")).otherwise(F.col("__whole") - 1)
+    dealt = (slim.join(F.broadcast(plan.where("__whole > 0 or __rest > 0")), "__source")  # one row a source, at most max_sources
+             .withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
+             .withColumn("__hash", F.xxhash64(F.lit(seed), F.col("epoch"), F.col("__key")))
+             .withColumn("block", F.pmod(F.col("__hash"), F.col("__blocks"))))
+    partial = dealt.where(F.col("epoch") == F.col("__whole"))
+    sums = partial.groupBy("__source", "epoch", "block").agg(F.sum("__tokens").alias("__sum"))
+    order = Window.partitionBy("__source").orderBy("block")  # one row per some thousand documents
     before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("__sum")
-    inside = Window.partitionBy("__source", "__block").orderBy("__hash", "__key").rowsBetween(Window.unboundedPreceding, -1)
-    more = F.when((F.col("__rest") > 0) & (F.col("__before") + F.coalesce(F.sum("__tokens").over(inside), F.lit(0.0)) < F.col("__rest")), 1).otherwise(0)
-    times = (placed.join(before, ["__source", "__block"]).withColumn("__times", F.col("__whole") + more)
-             .groupBy("__source", "__key").agg(F.max("__times").alias("__times"), F.max("epochs").alias("epochs")).where("__times > 0"))
-    met = docs.withColumn("__name", name).join(times, (F.col("__name") == F.col("__source")) & F.col(key).eqNullSafe(F.col("__key")))
-    read = met.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    return read.select(*[docs[c] for c in docs.columns], "epoch", "epochs")
+    inside = Window.partitionBy("__source", "epoch", "block").orderBy("__hash", "__key")
+    ahead = F.coalesce(F.sum("__tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = (dealt.withColumns({"rank": F.row_number().over(inside) - 1, "__ahead": ahead})
+              .join(before, ["__source", "epoch", "block"], "left")
+              .where((F.col("epoch") < F.col("__whole")) | (F.col("__before") + F.col("__ahead") < F.col("__rest")))
+              .select("__source", "__key", "epoch", "block", "rank", "epochs"))
+    read = docs.withColumn("__name", name).join(placed, (F.col("__name") == F.col("__source")) & F.col(key).eqNullSafe(F.col("__key")))
+    return read.select(*[docs[c] for c in docs.columns], "epoch", "block", "rank", "epochs")
 
 
 def words(text: str = "text") -> Column:
-    """A cheap token count: blanks and line ends plus one; 0 for null and empty texts."""
+    """A stand-in for a token count: blanks and line ends plus one; 0 for null and empty texts.
+
+    Indented text counts once a blank and text without spaces counts 1.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     blanks = 2 * F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
     return F.when(t == "", 0).otherwise(blanks + 1).cast("long")
 
 
 def report(docs: DataFrame, repeats: float = 2.0) -> DataFrame:
-    """``doc_id, source, n_words, copies, epochs`` of every document that the mixture reads."""
+    """``doc_id, source, n_words, copies, epochs, places`` (epoch, block and rank of each copy) of every document that the mixture reads."""
     slim = cut(docs.select("doc_id", "source", words().alias("n_words")))
     mixed = mix(slim, F.col("n_words"), repeats=repeats)
-    return mixed.groupBy("doc_id", "source", "n_words").agg(F.count(F.lit(1)).alias("copies"), F.round(F.max("epochs"), 9).alias("epochs"))
+    return mixed.groupBy("doc_id", "source", "n_words").agg(F.count(F.lit(1)).alias("copies"), F.round(F.max("epochs"), 9).alias("epochs"),
+                                                            F.array_sort(F.collect_list(F.struct("epoch", "block", "rank"))).alias("places"))

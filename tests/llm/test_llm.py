@@ -142,6 +142,27 @@ def test_jaccard_components_match_all_pairs(spark, width, share):
     assert sorted(got) == [(i, len(s), r) for i, (s, r) in enumerate(zip(sets, root))]
 
 
+def test_mixture_gives_every_epoch_its_own_order(spark):
+    from spanquarry.llm.mixing import mix
+
+    docs = spark.createDataFrame([(i, "big" if i < 900 else "small", i % 7 + 1) for i in range(1000)], "doc_id long, source string, n long")
+    read = mix(docs, F.col("n"), repeats=2.6, block=40)
+    got = sorted((r.source, r.epoch, r.block, r.rank, r.h, r.doc_id, r.n, r.epochs) for r in read.withColumn("h", F.xxhash64(F.lit(17), "epoch", "doc_id")).collect())
+    orders = {}
+    for r in got:
+        orders.setdefault(r[:2], []).append(r)
+    assert {e for s, e in orders if s == "small"} == {0, 1, 2}
+    for (source, epoch), rs in orders.items():
+        size = 22 if source == "big" else 2
+        assert [r[5] for r in rs] == [r[5] for r in sorted(rs, key=lambda r: (r[4] % size, r[4], r[5]))]
+        assert all(r[2] == r[4] % size and (r[3] == 0 or r[3] == q[3] + 1) for q, r in zip([rs[0]] + rs, rs))
+        whole = docs.where(F.col("source") == source).agg(F.sum("n"), F.count("n")).first()
+        rest = (rs[0][7] - epoch) * whole[0]
+        assert len({r[5] for r in rs}) == len(rs) and (len(rs) == whole[1] or sum(r[6] for r in rs[:-1]) < rest <= sum(r[6] for r in rs))
+    first, second = ([r[5] for r in orders["small", e]] for e in (0, 1))
+    assert sorted(first) == sorted(second) and first != second
+
+
 def test_mixture_meets_its_target(spark):
     from spanquarry.llm.mixing import bisect_exponent, epochs, mix, weights, words
 
