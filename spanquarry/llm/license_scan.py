@@ -82,8 +82,8 @@ def blocks(scanned: DataFrame, templates: list[tuple[str, str]], threshold: floa
     A block is any run of twice as many words as the template has distinct ones; its containment is the share of the
     template's words in it. Template words are ordered by how many documents of the corpus have them, rarest first
     (ties by the word). A block that reaches the threshold must have one of the first |T| - ceil(threshold |T|) + 1
-    (prefix filter), and the blocks to test are those around such a word whose rank still leaves enough words behind it
-    (positional filter). Texts were already held to the length bound.
+    (prefix filter); the blocks to test are those around such a word. No position in the text is used to rule blocks out.
+    Texts were already held to the length bound.
     """
     spark = scanned.sparkSession
     rows = [(n, x, w, len(set(t.split())), math.ceil(threshold * len(set(t.split())))) for n, (t, x) in enumerate(templates) for w in sorted(set(t.split()))]
