@@ -73,10 +73,30 @@ def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(probe)))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanquarry.llm.merkle import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanquarry.llm.token_cache import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
+def op13_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanquarry.llm.orchard import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    from spanquarry.llm import merkle, orchard
+
+    return {"op11_merkle_manifest": merkle.ORACLE, "op13_orchard_clusters": orchard.oracle()}
