@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import components, cut
+from spanquarry.llm.shared import by_text, components, cut, slices
 
 _BITS = 1024  # of the parity signature
 _GROWTH = 1.5  # size classes
@@ -124,7 +124,7 @@ def _per_text(docs: DataFrame, row, schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             out = [row(text) for text in b["text"]]
             if out:
                 yield pd.DataFrame({"doc_id": b["doc_id"], **{c: [r[i] for r in out] for i, c in enumerate(names)}})
@@ -176,9 +176,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80, whole:
     are still in different components are then compared with each other, so no link between different texts is lost.
 
     Defined results: null and blank texts have no n-grams and stand alone; a text of fewer words than ``width`` is one
-    n-gram; rows of one doc_id are one node, and one of them meets the others; rows without a doc_id are listed with a null component. An empty table
-    gives an empty result.
+    n-gram; rows of one doc_id are one node, linked by what any of their texts links to, also where the texts differ;
+    rows without a doc_id are listed with a null component. An empty table gives an empty result.
     """
+    named, split = by_text(docs.select("doc_id", "text"))
+    found = _components(named.select(F.col("__node").alias("doc_id"), "text"), width, share, whole, split)
+    if split is None:
+        return found
+    # every text of a split id is a node below all ids: a component is named after the least id of its rows
+    of_node = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__node")).agg(F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("g"))
+    rows = cut(named.select("doc_id", "__node").join(of_node, "__node"))
+    least = rows.groupBy("g").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "g").select("doc_id", "n_shingles", "component_id").unionByName(found.where("doc_id is null"))
+
+
+def _components(docs: DataFrame, width: int, share: int, whole: int, split: DataFrame | None) -> DataFrame:
+    """As :func:`jaccard_components` for ids that have one text each; the nodes ``split`` from one id are linked as well."""
     base = cut(incidence(docs, width))
     classes = base.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("c"))
     of_doc = base.select("doc_id", "n", "set_key")
@@ -196,7 +209,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80, whole:
     may, wide = _may_link("na", "nb", "sa", "sb", share, whole), _may_link_wide("na", "nb", "wa", "wb", share, whole)
     narrowed = lambda pairs: cut(pairs.join(of("a"), "a").join(of("b"), "b").where(may & wide).select("a", "b"))
     starred = blocks.where("c != pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
-    first = cut(_linked(narrowed(starred), texts, width, share, whole))
+    first = _linked(narrowed(starred), texts, width, share, whole)
+    if split is not None:
+        star = split.join(split.groupBy("__doc").agg(F.min("__node").alias("a")), "__doc").select("a", F.col("__node").alias("doc_id"))
+        named = class_of.join(star, "doc_id", "right").select(F.col("a").alias("doc_id"), F.coalesce("c", "doc_id").alias("b"))
+        first = first.unionAll(class_of.join(named, "doc_id", "right").select(F.coalesce("c", "doc_id").alias("a"), "b"))
+    first = cut(first)
     found = components(first)
     grouped = blocks.select("key", "c").join(found.toDF("c", "g"), "c", "left").select("key", "c", F.coalesce("g", "c").alias("g"))
     several = grouped.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
@@ -207,6 +225,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80, whole:
         crossed = x.join(y, (x["key"] == y["key"]) & (F.col("ga") < F.col("gb")) & may)
         more = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = components(first.unionAll(_linked(narrowed(more), texts, width, share, whole)))
-    return (of_doc.join(classes, "set_key", "left").join(found.toDF("c", "g"), "c", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(
-                F.when(F.col("doc_id").isNotNull(), F.coalesce("g", "c"))).alias("component_id")))
+    return (of_doc.join(classes, "set_key", "left").withColumn("c", F.coalesce("c", F.when(F.col("set_key").isNull(), F.col("doc_id"))))
+            .join(found.toDF("c", "g"), "c", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("g", "c")).alias("component_id")))

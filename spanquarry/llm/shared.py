@@ -1,14 +1,19 @@
-"""Lineage cuts, run ids and connected components used by several operators."""
+"""Lineage cuts, ids of distinct texts and connected components used by several operators."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one of this machine only where the session names none (tests)."""
+    """The folder all executors share; a temporary one only for a local session that names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="llm-checkpoint-")
@@ -34,6 +39,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """The batches in pieces of few rows, so that a Python worker holds little beside the batch it was given."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.iloc[lo:lo + rows]
+
+
+def by_text(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with ``__node``, a number that rows share only if they share doc_id and text, and the numbers of split ids.
+
+    An id with one text is its own number. Where an id has several, each of its texts gets a number below all ids; the
+    second result lists them as ``__doc, __node`` (None if no id is split). Two hashes an id are compared, no texts.
+    """
+    h = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    keyed = docs.select(F.col("doc_id").alias("__doc"), h.alias("__h")).where("__doc is not null")
+    several = cut(keyed.groupBy("__doc").agg(F.min("__h").alias("low"), F.max("__h").alias("high")).where("low < high").select("__doc"))
+    if several.isEmpty():
+        return docs.withColumn("__node", F.col("doc_id").cast("long")), None
+    least = min(0, docs.agg(F.min("doc_id")).first()[0])
+    split = cut(keyed.join(several, "__doc").distinct().withColumn("__node", F.lit(least) - 1 - F.monotonically_increasing_id()))
+    named = docs.withColumns({"__doc": F.col("doc_id"), "__h": h}).join(split, ["__doc", "__h"], "left")
+    return named.withColumn("__node", F.coalesce("__node", F.col("doc_id").cast("long"))).drop("__doc", "__h"), split.drop("__h")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of an undirected graph given as ``(a, b)`` long pairs; component is the smallest node.
 
