@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import cut
+from spanquarry.llm.shared import by_text, cut, slices
 
 LINE = 16  # words of a rolled line
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -29,18 +30,46 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+@lru_cache(maxsize=8)
+def _powers(base: np.uint64, bits: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full((1 << bits) - 1, base))])
+
+
+def _power(base: np.uint64, k: int) -> np.ndarray:
+    """The first ``k`` powers; those of short texts are kept by the worker."""
+    bits = max(k - 1, 1).bit_length()
+    return (_powers(base, 16) if bits <= 16 else _powers.__wrapped__(base, bits))[:k]
+
+
 def line_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of the ``size`` words that begin at each word, from differences of one running polynomial."""
     n = len(words) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    power = lambda base, k: np.concatenate([[np.uint64(1)], np.cumprod(np.full(k - 1, base))])
-    total = np.concatenate([[np.uint64(0)], np.cumsum(words * power(_BASE, len(words)))])
-    h = (total[size:] - total[:n]) * power(_BACK, n)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _power(_BASE, len(words)), out=total[1:])
+    h = (total[size:] - total[:n]) * _power(_BACK, n)
     h = (h ^ (h >> np.uint64(31))) * _BASE
     return h ^ (h >> np.uint64(29))
 
 
+def least_places(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first least item in every ``width`` consecutive ones, from minima over spans that double."""
+    value, place, span = h, np.arange(len(h)), 1
+
+    def both(step: int) -> None:
+        nonlocal value, place
+        first = value[:len(value) - step] <= value[step:]
+        value, place = np.where(first, value[:-step], value[step:]), np.where(first, place[:-step], place[step:])
+
+    while span * 2 <= width:
+        both(span)
+        span *= 2
+    if width > span:
+        both(width - span)
+    return place
+
+
 def winnow(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprints: the least line hash of every ``least`` consecutive words, as its positions, hashes, and the first and
     last of the windows it is the least of.
@@ -51,9 +80,9 @@ def winnow(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.nd
     h = line_hashes(words, size)
     if len(words) < least:
         return np.zeros(0, np.int64), h[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(h, least - size + 1)
-    at, since = np.unique(np.arange(len(windows)) + windows.argmin(1), return_index=True)  # never decreases from window to window
-    return at, h[at], since, np.append(since[1:], len(windows)) - 1
+    places = least_places(h, least - size + 1)
+    since = np.flatnonzero(np.diff(places, prepend=-1))  # places never decrease from window to window
+    return places[since], h[places[since]], since, np.append(since[1:], len(places)) - 1
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> int:
@@ -135,7 +164,7 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
     """
 
     def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 words = word_hashes(text)
@@ -199,18 +228,20 @@ def without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
 def drop_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """``docs`` without the repeated runs; adds ``n_words`` (before) and ``n_deleted``. ``n_chars``, if there, follows the text.
 
-    Defined results: null texts stay null, a text whose words all go becomes empty, rows of one doc_id lose the same
-    word numbers, rows without a doc_id are left alone, other columns pass through.
+    Defined results: null texts stay null, a text whose words all go becomes empty, rows without a doc_id are left
+    alone, other columns pass through. Rows that share doc_id and text are one text and lose the same words, none for
+    the other's sake; different texts of one doc_id are texts of their own, which stand before those of other ids.
     """
-    runs = cut(repeated_runs(docs, least).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("first", "last")).alias("__runs")))
-    joined = docs.join(runs, docs["doc_id"] == runs["__doc"], "left")
+    named, _ = by_text(docs)
+    runs = cut(repeated_runs(named.select(F.col("__node").alias("doc_id"), "text"), least).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("first", "last")).alias("__runs")))
+    joined = named.join(runs, F.col("__node") == F.col("__doc"), "left")
     has = F.col("__runs").isNotNull() & F.col("text").isNotNull()
     out = joined.withColumn("__cut", F.pandas_udf(without, "text string, n_deleted long")(F.when(has, F.col("text")), "__runs"))
     text = F.when(has, F.col("__cut.text")).otherwise(F.col("text"))
     changed = {"text": text, "n_words": F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long"), "n_deleted": F.col("__cut.n_deleted")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(has, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).drop("__doc", "__runs", "__cut")
+    return out.withColumns(changed).drop("__node", "__doc", "__runs", "__cut")
 
 
 def report(docs: DataFrame, least: int = 50) -> DataFrame:
