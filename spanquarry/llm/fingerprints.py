@@ -11,6 +11,8 @@ from spanquarry.llm.shared import cut
 _POS = 30
 _HASH = (1 << 33) - 1
 _PLACE = (1 << _POS) - 1
+#: Words end at white space; scripts that write without it have a word a character.
+_PARTED = r"\s+|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])(?=\S)"
 
 
 def _pack(hashed: Column, place: Column) -> Column:
@@ -25,7 +27,7 @@ def _range(n: Column) -> Column:
 def order_minhash(df: DataFrame, text: str, out: str, k: int = 3, ell: int = 2, lanes: int = 32) -> DataFrame:
     """Add ``out``: array<int> of ``lanes`` order-sensitive minima of the text's word k-mers.
 
-    A text's words are its runs of non-space characters. Every k-mer of words is numbered by its occurrence (first,
+    A text's words are its runs of non-space characters, or the single characters of scripts without spaces. Every k-mer of words is numbered by its occurrence (first,
     second, ...), and each (k-mer, number) is hashed. The hash picks one of ``lanes`` equal lanes and the rank within
     it (one permutation cut in lanes). Of every lane the ``ell`` least entries are selected, put back into the order in
     which they stand in the text, and hashed as a tuple. Two texts agree in a lane if they share the selected
@@ -44,7 +46,7 @@ def order_minhash(df: DataFrame, text: str, out: str, k: int = 3, ell: int = 2,
     at = lambda arr, i: F.get(F.col(arr), i)
     size = lambda arr: F.size(F.col(arr))
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    df = df.withColumn(w, F.when(trimmed != "", F.split(trimmed, r"\s+")).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn(w, F.when(trimmed != "", F.split(trimmed, _PARTED)).otherwise(F.array().cast("array<string>")))
     whole = F.array(F.shiftleft(F.xxhash64(F.array_join(F.col(w), " ")).bitwiseAND(F.lit(_HASH)), _POS))
     df = df.withColumn(g, F.sort_array(
         F.when(size(w) >= k, F.transform(_range(size(w) - (k - 1)), lambda i: _pack(F.xxhash64(*[at(w, i + j) for j in range(k)]), i)))
@@ -111,14 +113,16 @@ def edited_with_next(docs: DataFrame) -> DataFrame:
     Rows without a doc_id have no next document: they keep three quarters of their text.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = base.where("doc_id is not null").repartition("doc_id")  # the same rows and columns in both joins: one exchange
     sizes = base.select("doc_id", F.length("text").cast("long").alias("n"))
     order = cut(next_ids(sizes, "doc_id"))
     longest = sizes.groupBy("doc_id").agg(F.max("n").alias("n"))
-    wanted = order.join(longest, "doc_id").select(F.col("next_key").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("n") / 4).cast("int").alias("take"))
-    heads = (base.join(wanted, "doc_id").select(F.col("before").alias("doc_id"), F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"))
+    wanted = cut(order.join(longest, "doc_id").select(F.col("next_key").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("n") / 4).cast("int").alias("take")))
+    heads = (known.join(wanted, "doc_id").select(F.col("before").alias("doc_id"), F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"))
              .groupBy("doc_id").agg(F.min("next_id").alias("next_id"), F.min("head").alias("head")))
+    without_id = base.where("doc_id is null").selectExpr("doc_id", "text", "cast(null as bigint) as next_id", "'' as head")
     n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
-    return base.join(heads, "doc_id", "left").select(
+    return known.join(heads, "doc_id", "left").unionByName(without_id).select(
         "doc_id", n.cast("long").alias("n_chars"), "text", "next_id",
         F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter)).alias("edited"))
 
