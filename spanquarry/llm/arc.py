@@ -7,6 +7,7 @@ import uuid
 from base64 import b32encode
 from collections.abc import Iterator
 from hashlib import sha1
+from typing import IO
 from urllib.parse import quote
 
 import pandas as pd
@@ -19,6 +20,7 @@ _URL_SAFE = "".join(chr(c) for c in range(33, 127))
 #: The field lines of the two ARC versions.
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length",
           2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
+HELD = 1 << 23  # bytes of payload that a worker gathers before it hands them on
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -32,25 +34,37 @@ def arc_record(version: int, url: str, date: str, kind: str, body: bytes, ip: st
 
 
 def pages_to_arc(pages: DataFrame, records: int = 256, date: str = "20000101000000") -> DataFrame:
-    """``name, content``: ARC archives of ``records`` pages each, version 1 and 2 in turn, in the layout of Spark's binary
-    file source. The page's id travels as an HTTP header. Null html is an empty payload."""
+    """``name, content``: ARC archives, version 1 and 2 in turn, in the layout of Spark's binary file source.
+
+    An archive ends after ``records`` pages, or sooner with the page that brings it to ``HELD`` bytes. The page's id
+    travels as an HTTP header. Null html is an empty payload, a null url ``-``, a null id an empty header."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
+        n, parts, held = 0, [], 0
         for b in batches:
-            for lo in range(0, len(b), records):
-                version, name, n = 1 + n % 2, f"part-{n}.arc", n + 1
-                head = f"{version} 0 spanquarry\n{FIELDS[version]}\n".encode()
-                parts = [arc_record(1, f"filedesc://{name}", date, "text/plain", head)]
-                for page, url, html in b.iloc[lo:lo + records].itertuples(index=False):
-                    payload = (html or "").encode("utf-8", "replace")
-                    http = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if pd.isna(page) else int(page)}\r\nContent-Length: {len(payload)}\r\n\r\n"
-                    parts.append(arc_record(version, url or "", date, "text/html", http.encode() + payload, name=name))
-                yield pd.DataFrame({"name": [name], "content": [b"".join(parts)]})
+            for page, url, html in b.itertuples(index=False):
+                version, name = 1 + n % 2, f"part-{n}.arc"
+                if not parts:
+                    head = f"{version} 0 spanquarry\n{FIELDS[version]}\n".encode()
+                    parts = [arc_record(1, f"filedesc://{name}", date, "text/plain", head)]
+                payload = (html or "").encode("utf-8", "replace")
+                http = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if pd.isna(page) else int(page)}\r\nContent-Length: {len(payload)}\r\n\r\n"
+                parts.append(arc_record(version, url or "", date, "text/html", http.encode() + payload, name=name))
+                held += len(payload)
+                if len(parts) > records or held > HELD:
+                    yield pd.DataFrame({"name": [name], "content": [b"".join(parts)]})
+                    n, parts, held = n + 1, [], 0
+        if parts:
+            yield pd.DataFrame({"name": [f"part-{n}.arc"], "content": [b"".join(parts)]})
 
     return pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(build, "name string, content binary")
 
 
+def _opened(content: bytes) -> IO[bytes]:
+    """A plain or gzip file, inflated as it is read."""
+    return gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+
+
 def parse_arc(content: bytes) -> Iterator[dict]:
     """Records of an ARC file (plain or gzip), by its version's header lines and the declared lengths.
 
@@ -58,7 +72,7 @@ def parse_arc(content: bytes) -> Iterator[dict]:
     skipped; a line that is no header (other number of fields, no length) is skipped as well, a record that the file
     ends in is dropped.
     """
-    data = io.BytesIO(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
+    data = _opened(content)
     fields = FIELDS[1].split()
     while line := data.readline():
         parts = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
@@ -84,8 +98,9 @@ def warc_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(url: str, date: str, key: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {key}')}>"
+def record_id(url: str, date: str, key: str, digest: str = "") -> str:
+    """Records that differ in url, time, key or payload have ids of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {key} {digest}')}>"
 
 
 def http_parts(block: bytes) -> tuple[bytes, bytes, dict[str, str]]:
@@ -102,18 +117,23 @@ _RECORD = "page_id string, url string, ip string, date string, record_id string,
 
 def convert(archives: DataFrame) -> DataFrame:
     """One row a record of the archives (``content``), with its synthetic WARC id, time and payload digest."""
+    names = [c.split()[0] for c in _RECORD.split(", ")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                out = []
+                out, held = [], 0
                 for r in parse_arc(content):
                     head, payload, fields = http_parts(r["body"])
-                    key = fields.get("x-page-id", "")
+                    key, digest = fields.get("x-page-id", ""), digest_of(payload)
                     date = warc_date(r["Archive-date"])
-                    out.append((key, r["URL"], r["IP-address"], date, record_id(r["URL"], date, key), digest_of(payload), len(payload), head, payload))
+                    out.append((key, r["URL"], r["IP-address"], date, record_id(r["URL"], date, key, digest), digest, len(payload), head, payload))
+                    held += len(payload)
+                    if held > HELD:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
                 if out:
-                    yield pd.DataFrame(out, columns=[c.split()[0] for c in _RECORD.split(", ")])
+                    yield pd.DataFrame(out, columns=names)
 
     return archives.select("content").mapInPandas(rows, _RECORD).withColumn("page_id", F.expr("try_cast(page_id as bigint)"))
 
@@ -121,12 +141,14 @@ def convert(archives: DataFrame) -> DataFrame:
 def with_types(records: DataFrame, least: int = 0) -> DataFrame:
     """Add ``origin_id, origin_url``: of the record that this one revisits; null for responses.
 
-    Of records with equal payloads of at least ``least`` bytes the one with the largest page_id is the response.
+    Of records with equal payloads of at least ``least`` bytes the one with the largest page_id is the response (ties:
+    the largest record id; null ids come last, so one of them is the response where no other is). Rows alike in url,
+    page_id and payload are one record: they have one id and one type.
     Only digests and ids are grouped; payloads travel once, to meet the type of their record.
     """
     slim = records.where(F.col("size") >= least).select("digest", "page_id", "record_id", "url")
     origins = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "record_id", "url")).alias("o")).where("n > 1").select("digest", "o")
-    types = (slim.join(origins, "digest").where(~F.col("page_id").eqNullSafe(F.col("o.page_id")))
+    types = (slim.join(origins, "digest").where(F.col("record_id") != F.col("o.record_id"))
              .select("record_id", F.col("o.record_id").alias("origin_id"), F.col("o.url").alias("origin_url")).dropDuplicates(["record_id"]))
     return records.join(types, "record_id", "left")
 
@@ -165,7 +187,7 @@ def write_warc(records: DataFrame, path: str, per_file: int = 1000) -> None:
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    data = io.BytesIO(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
+    data = _opened(content)
     while line := data.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -200,7 +222,13 @@ def read_warc(spark, path: str) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Pages as ARC archives, converted, written as WARC to the shared folder and read back."""
+    """Pages as ARC archives, converted, written as WARC to the shared folder and read back: ``page_id, payload_bytes,
+    payload_digest, record_type, refers_to``, one row a page.
+
+    Defined results: null html is an empty payload, which empty pages share; a null page_id stays null, and a revisit of
+    such a response refers to null; rows that share a page_id but not url or payload are records of their own; rows that
+    repeat are read back as often, with one type. Other columns are ignored; an empty table gives no rows.
+    """
     spark = pages.sparkSession
     path = folder(spark, "warc")
     write_warc(with_types(convert(pages_to_arc(pages)), least), path)
