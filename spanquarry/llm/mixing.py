@@ -55,9 +55,9 @@ def epochs(sizes: dict[str, float], weight: dict[str, float], budget: float | No
 
 
 def mix(docs: DataFrame, tokens: Column, source: str = "source", key: str = "doc_id", entropy: float | None = None, repeats: float | None = None,
-        budget: float | None = None, block: int = 4096, seed: int = 17, max_sources: int = 100_000) -> DataFrame:
+        budget: float | None = None, block: int = 4096, seed: int = 17, max_sources: int = 100_000, prefix: str = "") -> DataFrame:
     """Rows of ``docs`` as often as the mixture reads them, with ``epoch``, ``block`` and ``rank`` in the block (from 0), and
-    ``epochs`` of the source.
+    ``epochs`` of the source; ``prefix`` stands before these four names.
 
     Token counts are summed per source (one row a source reaches the driver, at most ``max_sources``), the exponent is
     bisected, and every source gets its share of the budget. Each epoch of a source is a permutation: rows are
@@ -68,8 +68,9 @@ def mix(docs: DataFrame, tokens: Column, source: str = "source", key: str = "doc
 
     Defined results: null sources form a source of their own; null or negative token counts are 0; rows of a source
     without tokens are read once; rows that share source and key are read equally often, at the same
-    ranks. Columns named ``epoch``, ``block``, ``rank`` or ``epochs`` are not expected in ``docs``.
+    ranks. A column of ``docs`` that has one of the four names gives way to the mixture's; a prefix keeps both.
     """
+    added = ("epoch", "block", "rank", "epochs")
     name = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
     slim = cut(docs.select(name.alias("__source"), F.col(key).alias("__key"), F.greatest(F.coalesce(tokens.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("__tokens"))
                .groupBy("__source", "__key").agg(F.sum("__tokens").alias("__tokens"), F.count(F.lit(1)).alias("__rows")))
@@ -96,9 +97,10 @@ def mix(docs: DataFrame, tokens: Column, source: str = "source", key: str = "doc
     placed = (dealt.withColumns({"rank": F.row_number().over(inside) - 1, "__ahead": ahead})
               .join(before, ["__source", "epoch", "block"], "left")
               .where((F.col("epoch") < F.col("__whole")) | (F.col("__before") + F.col("__ahead") < F.col("__rest")))
-              .select("__source", "__key", "epoch", "block", "rank", "epochs"))
+              .select("__source", "__key", *[F.col(c).alias(f"__placed_{c}") for c in added]))
     read = docs.withColumn("__name", name).join(placed, (F.col("__name") == F.col("__source")) & F.col(key).eqNullSafe(F.col("__key")))
-    return read.select(*[docs[c] for c in docs.columns], "epoch", "block", "rank", "epochs")
+    own = [c for c in docs.columns if c not in [prefix + x for x in added]]
+    return read.select(*own, *[F.col(f"__placed_{c}").alias(prefix + c) for c in added])
 
 
 def words(text: str = "text") -> Column:
