@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanquarry.llm.shared import slices
+
 PASSAGE = 512  # bytes of UTF-8 in a passage
 HIDDEN, GATE = 24, 12
 _SLICE = 1 << 18  # bytes that are encoded at once
@@ -134,25 +136,35 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, passage_limit: int = 64, epochs: int = 25, seed: int = 7) -> GatedAttention | float:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, budget: int = 60_000, epochs: int = 25, seed: int = 7) -> GatedAttention | float:
     """Fit on at most ``sample`` labelled documents outside the held-out fold (least hashes of their ids).
 
-    ``sample`` bounds what reaches the driver; of a training document ``passage_limit`` evenly spaced passages are used
-    (scoring uses all). With labels of one class only, or none, the result is their mean, or 0.5.
+    Of every one of them all passages are used; documents are taken in the order of their hashes as long as the passages
+    stay within ``budget`` (one is always taken), and a document that is too long for what is left is passed over whole.
+    ``sample`` and ``budget`` bound what reaches the driver. Rows that share doc_id and text are one document; of a
+    doc_id with several labels the lower one holds. With labels of one class only, or none, the result is their mean,
+    or 0.5.
     """
     known = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    bags = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__h", F.xxhash64("text"))
+    sizes = (texts.join(F.broadcast(known), "doc_id").select("doc_id", "__h", "quality", F.ceil(F.octet_length("text") / PASSAGE).alias("n"))
+             .distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "__h").limit(sample).collect())
+    taken, used = [], 0
+    for r in sizes:
+        if not taken or used + max(r["n"], 1) <= budget:
+            taken.append((r["doc_id"], r["__h"], r["quality"]))
+            used += max(r["n"], 1)
+    taken = docs.sparkSession.createDataFrame(taken, "doc_id long, __h long, quality int")
+    bags = texts.join(F.broadcast(taken), ["doc_id", "__h"]).groupBy("doc_id", "__h", "quality").agg(F.first("text").alias("text")).select("quality", "text")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches, 64):
             out = []
             for text in b["text"]:
                 raw = text.encode("utf-8", "replace")
-                n = max(1, -(-len(raw) // PASSAGE))
-                keep = range(n) if n <= passage_limit else sorted({i * n // passage_limit for i in range(passage_limit)})
-                x = np.concatenate([passages([raw[i * PASSAGE:(i + 1) * PASSAGE]])[0] for i in keep]) if n > passage_limit else passages([raw])[0]
-                out.append(x.astype(np.float16).tobytes())
+                parts = [passages([raw[lo:lo + _SLICE]])[0].astype(np.float16).tobytes() for lo in range(0, max(len(raw), 1), _SLICE)]
+                out.append(b"".join(parts))
             yield pd.DataFrame({"quality": b["quality"], "x": out})
 
     found = bags.mapInPandas(encode, "quality int, x binary").toPandas()
@@ -177,12 +189,17 @@ def score(docs: DataFrame, model: GatedAttention | float, text: str = "text", ou
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         net = GatedAttention(weights)
-        return pd.Series(net.scores([(t or "").encode("utf-8", "replace") for t in texts]))
+        parts = [net.scores([(t or "").encode("utf-8", "replace") for t in texts.iloc[lo:lo + 512]]) for lo in range(0, len(texts), 512)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(out, scored(F.col(text)))
 
 
 def assess(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every document."""
+    """``doc_id, held_out, score, predicted`` for every document.
+
+    Defined results: null and empty texts get the score of a text without words, rows without a doc_id are scored and not
+    held out, rows that repeat are scored each, other columns are ignored, an empty table gives no rows.
+    """
     scored = score(docs.select("doc_id", "text"), train(docs, labels, **how))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
