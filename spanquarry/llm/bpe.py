@@ -11,6 +11,7 @@ import json
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern by which the public vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEGMENT = 1 << 16  # characters split at once
-CACHE = 1 << 17  # words a Python worker remembers
+CACHE = 1 << 22  # bytes of words and ids a coder remembers
 _TOKEN = 24
 _MADE = (1 << _TOKEN) - 1
 
@@ -116,18 +117,20 @@ def merges(path: str) -> Merges:
 
 
 class _Known(dict):
-    """Packed ids of words seen; starts anew when full, so that it stays bounded."""
+    """Packed ids of words seen; starts anew when it holds ``CACHE`` bytes, so that it stays bounded."""
 
     def __init__(self, coder: Encoder):
         super().__init__()
-        self.coder = coder
+        self.coder, self.held = coder, 0
 
     def __missing__(self, word: str) -> bytes:
         packed = self.coder.word(word)
         if len(word) <= 64:
-            if len(self) >= CACHE:
+            if self.held >= CACHE:
                 self.clear()
+                self.held = 0
             self[word] = packed
+            self.held += 4 * len(word) + len(packed)
         return packed
 
 
@@ -142,11 +145,7 @@ class Encoder:
         self.known = _Known(self)
 
     def word(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "replace")
-        if len(raw) > 4 * self.m.lookahead:
-            return b"".join(self.stream([raw]))
-        ids = self.m.merge(raw)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(self.stream([word.encode("utf-8", "replace")]))
 
     def stream(self, pieces: Iterable[bytes]) -> Iterator[bytes]:
         """Ids of one unsplit stretch of bytes that comes in pieces; a token leaves when the lookahead has passed it."""
@@ -162,8 +161,9 @@ class Encoder:
                         ids.append(t)
                         done += len(self.m.bytes_of[t])
                     held = held[done:]
-                    yield np.array(ids, "<u4").tobytes()
-        yield np.array(self.m.merge(held), "<u4").tobytes()
+                    yield struct.pack(f"<{len(ids)}I", *ids)
+        ids = self.m.merge(held)
+        yield struct.pack(f"<{len(ids)}I", *ids)
 
     def segments(self, text: str) -> Iterator[str]:
         """Cut before white space that follows something else, where the pattern always ends a word."""
@@ -185,23 +185,23 @@ class Encoder:
                 at = stop.end()
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process, so that tasks find the words of those before them."""
-    return Encoder(path)
-
-
 class Decoder:
     """Packed ids in, text out; a character that is split over tokens waits for its last byte, wrong bytes give U+FFFD."""
 
     def __init__(self, path: str):
         self.get = merges(path).bytes_of.get
 
+    def start(self) -> codecs.IncrementalDecoder:
+        return codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, state: codecs.IncrementalDecoder, packed: bytes) -> str:
+        """What is certain of the text after the next ids."""
+        return state.decode(b"".join([self.get(i, b"") for i in np.frombuffer(packed, "<u4").tolist()]))
+
     def decode(self, packed: bytes, step: int = 1 << 16) -> Iterator[str]:
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        ids = np.frombuffer(packed, "<u4")
-        for lo in range(0, len(ids), step):
-            yield state.decode(b"".join([self.get(i, b"") for i in ids[lo:lo + step].tolist()]))
+        state = self.start()
+        for lo in range(0, len(packed), 4 * step):
+            yield self.feed(state, packed[lo:lo + 4 * step])
         yield state.decode(b"", True)
 
 
@@ -214,7 +214,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
 
     @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = encoder(path or default_path())
+        coder = Encoder(path or default_path())
         for texts in batches:
             yield pd.Series([b"".join(coder.encode(t or "")) for t in texts], dtype=object)
 
@@ -241,7 +241,7 @@ def transcode(df: DataFrame, text: str = "text", ids: str = "ids", out: str = "d
 
     @F.pandas_udf("ids binary, decoded string")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder, reader = encoder(path or default_path()), Decoder(path or default_path())
+        coder, reader = Encoder(path or default_path()), Decoder(path or default_path())
         for texts in batches:
             for lo in range(0, len(texts), rows):
                 packed = [b"".join(coder.encode(t or "")) for t in texts.iloc[lo:lo + rows]]
@@ -251,11 +251,38 @@ def transcode(df: DataFrame, text: str = "text", ids: str = "ids", out: str = "d
     return both.withColumns({ids: F.col("__coded.ids"), out: F.col("__coded.decoded")}).drop("__coded")
 
 
+def digests(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """Add ``n_tokens, ids_sha256, decoded_sha256`` of every whole text, coded and decoded in one pass.
+
+    Tokens leave the transducer as soon as they are stable, go into the digest of the ids and through the decoder into
+    the digest of the decoded text, and are forgotten: beside the text, memory does not grow with it. Null texts count
+    as empty ones.
+    """
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        coder, reader = Encoder(path or default_path()), Decoder(path or default_path())
+
+        def row(text: str) -> tuple[int, str, str]:
+            n, ids, out, state = 0, sha256(), sha256(), reader.start()
+            for packed in coder.encode(text):
+                n += len(packed) // 4
+                ids.update(packed)
+                out.update(reader.feed(state, packed).encode())
+            out.update(state.decode(b"", True).encode())
+            return n, ids.hexdigest(), out.hexdigest()
+
+        for texts in batches:
+            yield pd.DataFrame([row(t or "") for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    both = df.withColumn("__coded", coded(F.coalesce(F.col(text), F.lit(""))))
+    return both.withColumns({c: F.col(f"__coded.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("__coded")
+
+
 def n_tokens(ids: str = "ids") -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
-    coded = transcode(docs.select("doc_id", "text"), path=path)
-    return coded.select("doc_id", n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(docs.select("doc_id", "text"), path=path).drop("text")
