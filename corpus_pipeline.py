@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanquarry.llm import bpe, line_dedup, mixing, ngram_join, quality
 from spanquarry.llm.shared import folder
@@ -32,13 +31,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources are read up to twice, every document once at least."""
-    return mixing.mix(docs, mixing.words(), repeats=2.0).select(*docs.columns)
+    return mixing.mix(docs, mixing.words(), repeats=2.0, prefix="__mix_").select(*docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that the mixture reads, and digests of the ids and of what they decode to."""
-    coded = bpe.transcode(docs.select("doc_id", "source", "text"))
-    return coded.select("doc_id", "source", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(docs.select("doc_id", "source", "text")).drop("text")
 
 
 STAGES = [
