@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import folder
+from spanquarry.llm.shared import folder, small_batches
 
 _URL_SAFE = "".join(chr(c) for c in range(33, 127))
 #: The field lines of the two ARC versions.
@@ -230,6 +230,7 @@ def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     repeat are read back as often, with one type. Other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     path = folder(spark, "warc")
     write_warc(with_types(convert(pages_to_arc(pages)), least), path)
     back = read_warc(spark, path)

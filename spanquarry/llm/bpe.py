@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanquarry.llm.shared import small_batches
+
 #: Fixed value: the pattern by which the public vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEGMENT = 1 << 16  # characters split at once
@@ -247,6 +249,7 @@ def transcode(df: DataFrame, text: str = "text", ids: str = "ids", out: str = "d
                 packed = [b"".join(coder.encode(t or "")) for t in texts.iloc[lo:lo + rows]]
                 yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series(["".join(reader.decode(p)) for p in packed], dtype=object)})
 
+    small_batches(df.sparkSession)
     both = df.withColumn("__coded", coded(F.coalesce(F.col(text), F.lit(""))))
     return both.withColumns({ids: F.col("__coded.ids"), out: F.col("__coded.decoded")}).drop("__coded")
 
@@ -275,6 +278,7 @@ def digests(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
         for texts in batches:
             yield pd.DataFrame([row(t or "") for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(df.sparkSession)
     both = df.withColumn("__coded", coded(F.coalesce(F.col(text), F.lit(""))))
     return both.withColumns({c: F.col(f"__coded.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("__coded")
 

@@ -8,15 +8,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import by_text, cut, slices
+from spanquarry.llm.shared import by_text, cut, slices, small_batches
 
 LINE = 16  # words of a rolled line
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -24,10 +23,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of every word (parted by ASCII white space); a null or blank text has none."""
-    words = (text or "").encode("utf-8", "replace").split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+_PIECE = 1 << 18  # bytes or words worked on at once, a longer text alone
 
 
 @lru_cache(maxsize=8)
@@ -36,9 +32,46 @@ def _powers(base: np.uint64, bits: int) -> np.ndarray:
 
 
 def _power(base: np.uint64, k: int) -> np.ndarray:
-    """The first ``k`` powers; those of short texts are kept by the worker."""
+    """The first ``k`` powers; those of usual lengths are kept by the worker."""
     bits = max(k - 1, 1).bit_length()
-    return (_powers(base, 16) if bits <= 16 else _powers.__wrapped__(base, bits))[:k]
+    return (_powers(base, 19) if bits <= 19 else _powers.__wrapped__(base, bits))[:k]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _BASE
+    return h ^ (h >> np.uint64(29))
+
+
+def _bytes_hashed(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of some bytes, from differences of one running polynomial over them."""
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(raw)), out=total[1:])
+    return _mixed((total[ends] - total[starts]) * _power(_BACK, len(raw))[starts]), starts
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (parted by ASCII white space) of the texts, one after the other, and how many each has.
+
+    Texts are joined by a blank; long ones are cut at blanks, so that little more than the text is held.
+    """
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    offsets = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    whole = np.frombuffer(b" ".join(raw), np.uint8)
+    hashes, starts, lo = [], [], 0
+    while lo < len(whole):
+        hi = lo + _PIECE
+        while hi < len(whole) and whole[hi] not in b" \t\n\v\f\r":
+            hi += 1
+        h, at = _bytes_hashed(whole[lo:hi])
+        hashes.append(h)
+        starts.append(at + lo)
+        lo = hi
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), offsets))
 
 
 def line_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -48,9 +81,7 @@ def line_hashes(words: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * _power(_BASE, len(words)), out=total[1:])
-    h = (total[size:] - total[:n]) * _power(_BACK, n)
-    h = (h ^ (h >> np.uint64(31))) * _BASE
-    return h ^ (h >> np.uint64(29))
+    return _mixed((total[size:] - total[:n]) * _power(_BACK, n))
 
 
 def least_places(h: np.ndarray, width: int) -> np.ndarray:
@@ -70,19 +101,32 @@ def least_places(h: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def winnow(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints: the least line hash of every ``least`` consecutive words, as its positions, hashes, and the first and
-    last of the windows it is the least of.
+def winnow(words: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Fingerprints of each of the texts whose words stand in a row: hashes and places.
 
-    Two texts that share ``least`` consecutive words share the fingerprint of that window, wherever it stands.
+    A fingerprint is the least line hash of some of the windows of ``least`` consecutive words of a text. Two texts that
+    share ``least`` consecutive words share the fingerprint of that window, wherever it stands. A place is one number:
+    the position of the line, how far before it the first window starts that it is the least of, and how many more there are.
     """
-    size = min(LINE, least)
+    size, ends = min(LINE, least), np.cumsum(counts)
     h = line_hashes(words, size)
-    if len(words) < least:
-        return np.zeros(0, np.int64), h[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    places = least_places(h, least - size + 1)
-    since = np.flatnonzero(np.diff(places, prepend=-1))  # places never decrease from window to window
-    return places[since], h[places[since]], since, np.append(since[1:], len(places)) - 1
+    lines = least_places(h, least - size + 1) if len(words) >= least else np.zeros(0, np.int64)
+    for end, n in zip(ends.tolist(), counts.tolist()):
+        lo = end - n
+        own = lines[lo:max(lo, end - least + 1)]  # windows that lie in this text
+        since = np.flatnonzero(np.diff(own, prepend=-1))  # the least line never moves back from window to window
+        last = np.append(since[1:], len(own))[:len(since)] - 1
+        yield h[own[since]], packed(own[since] - lo, since, last)
+
+
+def packed(at: np.ndarray, since: np.ndarray, until: np.ndarray) -> np.ndarray:
+    return at.astype(np.int64) << 32 | (at - since) << 16 | (until - since)
+
+
+def unpacked(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = places >> 32
+    since = at - (places >> 16 & 0xFFFF)
+    return at, since, since + (places & 0xFFFF)
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> int:
@@ -119,24 +163,31 @@ def runs_of_pair(own: np.ndarray, other: np.ndarray, seeds: list[tuple[int, int]
     return runs, met
 
 
-def unmet(windows: Iterator[tuple[int, int]], met: list[tuple[int, int]], least: int) -> np.ndarray:
-    """Starts of the windows, given as ranges ``(first, last)``, that lie in none of the stretches ``(start, end)``."""
-    starts = np.concatenate([np.arange(a, b + 1) for a, b in windows])
+def unmet(since: np.ndarray, until: np.ndarray, met: list[tuple[int, int]], least: int) -> np.ndarray:
+    """Starts of the windows, given as ranges ``since`` to ``until``, that lie in none of the stretches ``(start, end)``."""
+    starts = lambda a, b: np.repeat(a - np.cumsum(n := b - a + 1) + n, n) + np.arange(n.sum())
     if not met:
-        return starts
+        return starts(since, until)
     begin, end = np.array(sorted(met)).T
-    k = np.searchsorted(begin, starts, "right") - 1
-    return starts[(k < 0) | (np.maximum.accumulate(end)[k] < starts + least)]
+    end = np.maximum.accumulate(end)
+
+    def out(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(begin, first, "right") - 1
+        return (k < 0) | (end[k] < last + least)
 
+    some = out(since, until)
+    found = starts(since[some], until[some])
+    return found[out(found, found)]
 
-def _first_places(marks: DataFrame, *more: str) -> DataFrame:
+
+def _first_places(marks: DataFrame) -> DataFrame:
     """``doc_id, origin`` pairs with the places of their common marks, of which those in ``origin`` are the first."""
-    place = F.struct("doc_id", "at")
+    place = F.struct("doc_id", "place")
     # tables of their own: their sizes are known to the planner, and a hot mark's join is split as a skewed one
     firsts = cut(marks.groupBy("mark").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "origin"))
     later = marks.join(firsts, "mark").where(place > F.col("origin"))
-    return cut(later.select("doc_id", "at", *more, F.col("origin.doc_id").alias("origin"), F.col("origin.at").alias("origin_at"))
-               .groupBy("doc_id", "origin").agg(*[F.collect_list(c).alias(c) for c in ("at", "origin_at", *more)]))
+    return cut(later.select("doc_id", "place", F.col("origin.doc_id").alias("origin"), F.col("origin.place").alias("origin_place"))
+               .groupBy("doc_id", "origin").agg(F.collect_list("place").alias("places"), F.collect_list("origin_place").alias("origin_places")))
 
 
 def _with_words(pairs: DataFrame, read: DataFrame) -> DataFrame:
@@ -144,9 +195,10 @@ def _with_words(pairs: DataFrame, read: DataFrame) -> DataFrame:
     ids = cut(pairs.select("doc_id").unionAll(pairs.select("origin")).distinct())
     words = read.select("doc_id", "words").join(ids, "doc_id", "left_semi")
     both = pairs.join(words.toDF("doc_id", "own"), "doc_id").join(words.toDF("origin", "other"), "origin")
-    start = F.greatest(F.lit(0), F.array_min("origin_at") - F.array_max("at"))
-    length = F.array_max("origin_at") + F.length("own") / 4 - start
-    part = F.col("other").substr(start * 4 + 1, (length * 4).cast("int"))
+    line = lambda place: F.shiftright(place, 32)
+    start = F.greatest(F.lit(0), line(F.array_min("origin_places")) - line(F.array_max("places")))
+    length = line(F.array_max("origin_places")) + F.length("own") / 4 - start
+    part = F.col("other").substr((start * 4 + 1).cast("int"), (length * 4).cast("int"))
     return both.withColumns({"same": F.col("doc_id") == F.col("origin"), "other": part, "start": start}).drop("origin")
 
 
@@ -165,43 +217,45 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
 
     def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
-            out = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                words = word_hashes(text)
-                at, marks, *windows = winnow(words, least)
-                if len(at):
-                    out.append((doc, words.astype("<u4").tobytes(), marks.view(np.int64), *(x.astype(np.int32) for x in (at, *windows))))
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "words", "marks", "at", "since", "until"])
+            texts, sizes = b["text"].to_list(), np.cumsum([len(t or "") for t in b["text"]])
+            for _, group in groupby(range(len(texts)), lambda i: sizes[i] // _PIECE):
+                rows = list(group)
+                words, counts = word_hashes([texts[i] for i in rows])
+                ends = np.cumsum(counts)
+                out = [(b["doc_id"].iat[i], words[end - n:end].astype("<u4").tobytes(), marks.view(np.int64), places)
+                       for i, end, n, (marks, places) in zip(rows, ends, counts, winnow(words, counts, least)) if len(marks)]
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "words", "marks", "places"])
+
+    def seeds(r) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        return r.places, list(zip((r.places >> 32).tolist(), ((r.origin_places >> 32) - r.start).tolist()))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for r in b.itertuples():
-                own = np.frombuffer(r.own, "<u4")
-                runs, met = runs_of_pair(own, np.frombuffer(r.other, "<u4"), list(zip(r.at.tolist(), (r.origin_at - r.start).tolist())),
-                                         r.same, least, min(LINE, least))
-                starts = unmet(zip(r.since.tolist(), r.until.tolist()), met, least)
-                lo = starts.min(initial=len(own))
-                h = line_hashes(own[lo:starts.max(initial=0) + least].astype(np.uint64), least)
-                out.append((r.doc_id, [x for x, _ in runs], [x for _, x in runs], h[starts - lo].view(np.int64), starts.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "first", "last", "marks", "at"])
+                own, (places, found) = np.frombuffer(r.own, "<u4"), seeds(r)
+                runs, met = runs_of_pair(own, np.frombuffer(r.other, "<u4"), found, r.same, least, min(LINE, least))
+                starts = unmet(*unpacked(places)[1:], met, least)
+                h = line_hashes(own[starts.min():starts.max() + least].astype(np.uint64), least)[starts - starts.min()] if len(starts) else np.zeros(0, np.uint64)
+                out.append((r.doc_id, [x for x, _ in runs], [x for _, x in runs], h.view(np.int64), starts.astype(np.int64) << 32))
+            yield pd.DataFrame(out, columns=["doc_id", "first", "last", "marks", "places"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             found = chain.from_iterable(
-                ((r.doc_id, *run) for run in runs_of_pair(np.frombuffer(r.own, "<u4"), np.frombuffer(r.other, "<u4"),
-                                                          list(zip(r.at.tolist(), (r.origin_at - r.start).tolist())), r.same, least, least)[0])
+                ((r.doc_id, *run) for run in runs_of_pair(np.frombuffer(r.own, "<u4"), np.frombuffer(r.other, "<u4"), seeds(r)[1], r.same, least, least)[0])
                 for r in b.itertuples())
             yield pd.DataFrame(list(found), columns=["doc_id", "first", "last"])
 
-    each = lambda df, *names: df.select("doc_id", F.explode(F.arrays_zip(*names)).alias("m")).select("doc_id", *[F.col(f"m.{c}").alias("mark" if c == "marks" else c) for c in names])
-    read = cut(docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(
-        positions, "doc_id long, words binary, marks array<long>, at array<int>, since array<int>, until array<int>"))
-    pairs = _first_places(each(read, "marks", "at", "since", "until"), "since", "until")
-    matches = cut(_with_words(pairs, read).mapInPandas(extend, "doc_id long, first array<int>, last array<int>, marks array<long>, at array<int>"))
-    rest = _with_words(_first_places(each(matches, "marks", "at")), read).mapInPandas(verify, "doc_id long, first int, last int")
-    return each(matches, "first", "last").unionAll(rest)
+    def each(df: DataFrame, **names: str) -> DataFrame:
+        return df.select("doc_id", F.explode(F.arrays_zip(*names.values())).alias("m")).select("doc_id", *[F.col(f"m.{c}").alias(n) for n, c in names.items()])
+
+    read = cut(docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(positions, "doc_id long, words binary, marks array<long>, places array<long>"))
+    pairs = _first_places(each(read, mark="marks", place="places"))
+    matches = cut(_with_words(pairs, read).mapInPandas(extend, "doc_id long, first array<int>, last array<int>, marks array<long>, places array<long>"))
+    rest = _with_words(_first_places(each(matches, mark="marks", place="places")), read).mapInPandas(verify, "doc_id long, first int, last int")
+    return each(matches, first="first", last="last").unionAll(rest)
 
 
 def without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -232,6 +286,7 @@ def drop_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     alone, other columns pass through. Rows that share doc_id and text are one text and lose the same words, none for
     the other's sake; different texts of one doc_id are texts of their own, which stand before those of other ids.
     """
+    small_batches(docs.sparkSession)
     named, _ = by_text(docs)
     runs = cut(repeated_runs(named.select(F.col("__node").alias("doc_id"), "text"), least).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("first", "last")).alias("__runs")))
     joined = named.join(runs, F.col("__node") == F.col("__doc"), "left")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import by_text, components, cut, slices
+from spanquarry.llm.shared import by_text, components, cut, slices, small_batches
 
 _BITS = 1024  # of the parity signature
 _GROWTH = 1.5  # size classes
@@ -179,6 +179,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80, whole:
     n-gram; rows of one doc_id are one node, linked by what any of their texts links to, also where the texts differ;
     rows without a doc_id are listed with a null component. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     named, split = by_text(docs.select("doc_id", "text"))
     found = _components(named.select(F.col("__node").alias("doc_id"), "text"), width, share, whole, split)
     if split is None:

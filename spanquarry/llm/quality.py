@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import slices
+from spanquarry.llm.shared import slices, small_batches
 
 PASSAGE = 512  # bytes of UTF-8 in a passage
 HIDDEN, GATE = 24, 12
@@ -145,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, budget: int =
     doc_id with several labels the lower one holds. With labels of one class only, or none, the result is their mean,
     or 0.5.
     """
+    small_batches(docs.sparkSession)
     known = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__h", F.xxhash64("text"))
@@ -182,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, budget: int =
 
 def score(docs: DataFrame, model: GatedAttention | float, text: str = "text", out: str = "score") -> DataFrame:
     """Add ``out`` (0 to 1) to every row, computed from the whole text alone; null texts score as empty ones."""
+    small_batches(docs.sparkSession)
     weights = None if isinstance(model, float) else model.p
     if weights is None:
         return docs.withColumn(out, F.lit(model))

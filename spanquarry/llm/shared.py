@@ -39,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Hand Python workers batches of at most ``size`` bytes, in all later queries of the session (64 MB by default).
+
+    Texts are long: executors otherwise hold a large batch for every task, in the JVM and in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "67108864").rstrip("b")) > size:
+        spark.conf.set(name, str(size))
+
+
 def slices(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
     """The batches in pieces of few rows, so that a Python worker holds little beside the batch it was given."""
     for b in batches:
