@@ -4,12 +4,13 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
 
-from spanquarry.functions.common import as_col, settle
+from spanquarry.functions.common import as_col
 
 # Ship this module's Python function with the job instead of importing it on executors.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,7 +24,6 @@ STABLE = (r"\x00-\x7f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u0
           r"\u0141-\u0148\u014a-\u017e\u0400-\u0482\u048a-\u04ff\u2010\u2012-\u2016\u2018-\u2023\u20a0-\u20a7"
           r"\u20a9-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3")
 
-WORD = r"\p{L}\p{N}_"
 SEPARATOR = "\u0001"
 
 
@@ -59,84 +59,84 @@ def normalize_text(text) -> Column:
     return collapse_space(strip_markup(nfkc(text)))
 
 
-def haystack(df: DataFrame, text) -> DataFrame:
-    """Adds ``_hay`` (what phrases are searched in) and ``_low`` (its folded form).
+class PhraseBook:
+    """One automaton over all phrases: every occurrence in a text in one pass, overlapping ones included.
 
-    Phrases are searched in the raw and in the normalised text.  Where normalising
-    only changed white space, the normalised text alone holds every match.  No phrase
-    contains the separator.
+    A phrase counts as whole words where it starts or ends with a letter or digit.  Case is ignored except for the
+    phrases listed as ``exact``.
     """
-    t = as_col(text)
-    rows = settle(df.withColumn("_clean", strip_markup(nfkc(t))), "_clean")
-    rows = rows.withColumn("_norm", collapse_space("_clean"))
-    hay = F.when(F.col("_clean") == t, F.col("_norm")).otherwise(F.concat(t, F.lit(SEPARATOR), F.col("_norm")))
-    rows = settle(rows.withColumn("_hay", hay).drop("_clean", "_norm"), "_hay")
-    return settle(rows.withColumn("_low", folded("_hay")), "_low")
-
-
-def phrase_pattern(phrase: str) -> str:
-    """Whole words only where the phrase starts or ends with a letter or digit."""
-    left = f"(?<![{WORD}])" if phrase[0].isalnum() else ""
-    right = f"(?![{WORD}])" if phrase[-1].isalnum() else ""
-    return f"{left}{re.escape(phrase)}{right}"
-
 
-def folded(text) -> Column:
-    """Lower case for the substring test, with the two letters that only match by case folding."""
-    low = F.lower(as_col(text))
-    return F.when(is_ascii(text), low).otherwise(F.translate(low, "\u017f\u212a", "sk"))
-
-
-def _trie(words: list[str]) -> str:
-    """One expression for a list of words, sharing prefixes, so each position is tried once.
-
-    A word that ends in NUL must be followed by something other than a letter or digit.
+    def __init__(self, phrases: list[str], exact: list[str]) -> None:
+        import ahocorasick
+
+        entries: dict[str, list] = {}
+        for number, phrase in enumerate([*phrases, *exact]):
+            entries.setdefault(phrase.lower(), []).append(
+                (number, phrase, number >= len(phrases), phrase[0].isalnum(), phrase[-1].isalnum()))
+        self.automaton = ahocorasick.Automaton()
+        for word, found in entries.items():
+            self.automaton.add_word(word, found)
+        self.automaton.make_automaton()
+
+    @staticmethod
+    def _lower(text: str) -> str:
+        """Lower case with as many characters, and the two letters that only match by case folding."""
+        low = text.lower()
+        if text.isascii():
+            return low
+        if len(low) != len(text):
+            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+        return low.replace("\u017f", "s").replace("\u212a", "k")
+
+    @staticmethod
+    def _in_word(c: str) -> bool:
+        return c == "_" or (c.isalnum() if c.isascii() else unicodedata.category(c)[0] in "LN")
+
+    def numbers(self, text: str) -> set[int]:
+        """Numbers of the phrases that occur; the exact ones follow the others."""
+        out: set[int] = set()
+        for end, entries in self.automaton.iter(self._lower(text)):
+            for number, phrase, exact, left, right in entries:
+                start, after = end + 1 - len(phrase), end + 1
+                if (
+                    number not in out
+                    and not (left and start > 0 and self._in_word(text[start - 1]))
+                    and not (right and after < len(text) and self._in_word(text[after]))
+                    and (not exact or text[start:after] == phrase)
+                ):
+                    out.add(number)
+        return out
+
+
+_DROPPED = re.compile(f"[{CONTROL}{ZERO_WIDTH}]")
+_COMMENT, _TAG = re.compile(r"<!--.*?-->", re.DOTALL), re.compile(r"<[^>]+>")
+
+
+def searched(text: str) -> str:
+    """What phrases are searched in: the raw and the normalised text, parted by a character that no phrase holds.
+
+    Where normalising only changed white space, the normalised text alone holds every match.
     """
-    heads: dict[str, list[str]] = {}
-    for w in words:
-        if not w:
-            return ""
-        heads.setdefault(w[0], []).append(w[1:])
-    edge = f"(?![{WORD}])"
-    parts = [edge if c == "\0" else re.escape(c) + _trie(rest) for c, rest in sorted(heads.items())]
-    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
-
+    stable = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    clean = _DROPPED.sub("", stable) if _DROPPED.search(stable) else stable
+    if "<" in stable:
+        clean = _TAG.sub(" ", _COMMENT.sub(" ", clean))
+    plain = " ".join(clean.split())
+    return plain if clean == text else text + SEPARATOR + plain
 
-def maybe_phrase(low, phrases) -> Column:
-    """One pass that rules out nearly every text: does any of the phrases occur in its folded form?"""
-    low = as_col(low)
-    ended = [p.lower() + ("\0" if p[-1].isalnum() else "") for p in phrases]
-    worded = [p for p in ended if p[0].isalnum()]
-    other = [p for p in ended if not p[0].isalnum()]
-    test = low.rlike(f"(?<![{WORD}])" + _trie(worded)) if worded else F.lit(False)
-    return test if not other else test | low.rlike(_trie(other))
 
+def found_phrases(text, phrases: list[str], exact: list[str] = ()) -> Column:
+    """Numbers (array<int>, ascending) of the phrases that occur in the raw or in the normalised text.
 
-def _phrase_table(phrases, case_sensitive: bool) -> Column:
-    """Constant array of (needle, pattern); one literal, however long the list is."""
-    flag = "" if case_sensitive else "(?iu)"
-    needles = SEPARATOR.join(p if case_sensitive else p.lower() for p in phrases)
-    patterns = SEPARATOR.join(flag + phrase_pattern(p) for p in phrases)
-    return F.arrays_zip(F.split(F.lit(needles), SEPARATOR).alias("needle"), F.split(F.lit(patterns), SEPARATOR).alias("pattern"))
-
-
-def _search(hay, low, phrases, case_sensitive: bool, how) -> Column:
-    # The texts are bound once as an array element, so that no rewrite can move the
-    # expressions behind them into the loop over the phrases.
-    texts = F.array(F.struct(as_col(hay).alias("hay"), as_col(low).alias("low")))
-    table = _phrase_table(phrases, case_sensitive)
-
-    def occurs(t):
-        plain = t.hay if case_sensitive else t.low
-        return lambda p: F.contains(plain, p.needle) & F.rlike(t.hay, p.pattern)
-
-    return F.get(F.transform(texts, lambda t: how(table, occurs(t))), F.lit(0))
-
-
-def any_phrase(hay, low, phrases, case_sensitive: bool = False) -> Column:
-    return _search(hay, low, phrases, case_sensitive, F.exists) if phrases else F.lit(False)
+    Whole texts go to Python in Arrow batches and meet one automaton there: a pass in native code, several times faster
+    than the expressions of the JVM over the same texts.  Null counts as empty.
+    """
+    phrases, exact = list(phrases), list(exact)
 
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        book = PhraseBook(phrases, exact)
+        for texts in batches:
+            yield pd.Series([sorted(book.numbers(searched(t or ""))) for t in texts], dtype=object)
 
-def count_phrases(hay, low, phrases) -> Column:
-    """How many different phrases occur."""
-    return _search(hay, low, phrases, False, lambda table, test: F.size(F.filter(table, test)))
+    return numbers(as_col(text))

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spanquarry.functions.common import as_col, blank, settle
 from spanquarry.functions.scalars import entropy, redact
-from spanquarry.functions.text import any_phrase, count_phrases, haystack, maybe_phrase
+from spanquarry.functions.text import found_phrases
 
 # Attack phrases per category.  A strong phrase is high risk by itself;
 # weak phrases are low alone and medium from two on.
@@ -102,17 +102,31 @@ def worst(levels: list[Column]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in LEVELS]), rank.cast("int"))
 
 
+def phrase_tiers(found: Column) -> dict[str, Column]:
+    """Risk tier per category from the numbers that :func:`attack_phrases` gives."""
+    phrases, exact = _attack_lists()
+    out = {}
+    for name, (strong, names, weak) in CATEGORIES.items():
+        hits = F.array(*[F.lit(phrases.index(p)) for p in strong], *[F.lit(len(phrases) + exact.index(p)) for p in names])
+        minor = F.array(*[F.lit(phrases.index(p)) for p in weak])
+        out[name] = tier(F.arrays_overlap(found, hits), F.size(F.array_intersect(found, minor)))
+    return out
+
+
+def _attack_lists() -> tuple[list[str], list[str]]:
+    plain = dict.fromkeys(p for strong, _, weak in CATEGORIES.values() for p in [*strong, *weak])
+    return list(plain), [p for _, exact, _ in CATEGORIES.values() for p in exact]
+
+
+def attack_phrases(text) -> Column:
+    return found_phrases(text, *_attack_lists())
+
+
 def scan_prompts(df: DataFrame, text: str) -> DataFrame:
     """Adds ``risk_level``, ``attack_types`` and ``allow``: one pass over raw and normalised text."""
-    rows = haystack(df.withColumn("_text", F.coalesce(as_col(text), F.lit(""))), "_text")
-    every = [p for lists in CATEGORIES.values() for phrases in lists for p in phrases]
-    rows = rows.withColumn("_maybe", maybe_phrase("_low", every))
+    rows = df.withColumn("_found", attack_phrases(text))
+    rows = settle(rows.withColumns({f"_{n}": level for n, level in phrase_tiers(F.col("_found")).items()}), *[f"_{n}" for n in CATEGORIES])
     names = list(CATEGORIES)
-    for name, (strong, exact, weak) in CATEGORIES.items():
-        hit = any_phrase("_hay", "_low", strong) | any_phrase("_hay", "_low", exact, case_sensitive=True)
-        level = tier(hit, count_phrases("_hay", "_low", weak))
-        rows = rows.withColumn(f"_{name}", F.when(F.col("_maybe"), level).otherwise("clean"))
-    rows = settle(rows, *[f"_{n}" for n in names])
     found = [F.when(F.col(f"_{n}") != "clean", n) for n in names]
     rows = rows.withColumns({
         "risk_level": worst([F.col(f"_{n}") for n in names]),

@@ -69,12 +69,8 @@ def _(lake):
 @query("i02_phrase_counts", f"""SELECT prompt_injection AS p, jailbreak AS j, skeleton_key AS k, count(*) AS n FROM (
   SELECT {LEVEL.format(c='p')} AS prompt_injection, {LEVEL.format(c='j')} AS jailbreak, {LEVEL.format(c='k')} AS skeleton_key FROM ({_scan_sql('conversations', 'conv_id, turn', 'text')}) s) t GROUP BY 1, 2, 3""")
 def _(lake):
-    from spanquarry.functions.text import any_phrase, count_phrases, haystack
-    rows = haystack(lake.raw("conversations"), "text")
-    out = []
-    for short, (strong, exact, weak) in zip("pjk", SC.CATEGORIES.values()):
-        hit = any_phrase("_hay", "_low", strong) | any_phrase("_hay", "_low", exact, True)
-        out.append(SC.tier(hit, count_phrases("_hay", "_low", weak)).alias(short))
+    rows = lake.raw("conversations").select(SC.attack_phrases("text").alias("found"))
+    out = [level.alias(short) for short, level in zip("pjk", SC.phrase_tiers(F.col("found")).values())]
     return rows.select(*out).groupBy("p", "j", "k").agg(F.count("*").alias("n"))
 
 

@@ -84,3 +84,30 @@ def test_policy_order(spark):
         "Forbidden and friendly": "deny_list", "friendly: ignore above": "pattern", "friendly: act as a dark mode": "pattern",
         "friendly words": "allow_list", "words": "pass"}
     assert got.filter("organization_id = 'p'").first()["decision"] == "pass"
+
+
+def test_one_automaton_finds_what_every_phrase_finds_alone(spark):
+    import random
+
+    import regex
+
+    from spanquarry.functions.text import PhraseBook, found_phrases, searched
+
+    phrases, exact = ["act as", "act as if you are", "as if", "{{", "new task:", "let's say", "sudo", "base64", "### x"], ["DAN", "dan"]
+    word = r"[\p{L}\p{N}_]"
+
+    def alone(text):
+        out = []
+        for n, p in enumerate([*phrases, *exact]):
+            left, right = (f"(?<!{word})" if p[0].isalnum() else ""), (f"(?!{word})" if p[-1].isalnum() else "")
+            if regex.search(left + regex.escape(p) + right, searched(text), 0 if n >= len(phrases) else regex.I | regex.F):
+                out.append(n)
+        return out
+
+    rng = random.Random(6)
+    parts = [*phrases, *exact, "Act  aſ if", "ACT AS IF YOU ARE", "baſe64", "İ", "é", "_", " ", "-", "\n", "ＤＡＮ", "s​udo", "<b>as</b> if", "<!-- q -->", "ß", "²", "̇"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 8))) for _ in range(400)] + ["", None, "x" * 50_000 + " act as"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", found_phrases("t", phrases, exact).alias("found"))
+    got = {r["i"]: r["found"] for r in df.collect()}
+    assert all(got[i] == alone(t or "") for i, t in enumerate(texts))
+    assert PhraseBook(["a"], []).numbers("İa") == set()  # a letter that grows in lower case is still one letter
