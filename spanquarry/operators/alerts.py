@@ -1,17 +1,12 @@
 """Alerts on scores and scans, and their digests (batch form)."""
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
 from typing import Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanquarry.functions.scalars import normalize_metric
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from spanquarry.functions.shared import cut
 
 # Fixed values.
 RATE_WINDOW = 30
@@ -85,27 +80,35 @@ def rate_breaches(rates: DataFrame) -> DataFrame:
 def with_cooldown(alerts: DataFrame, keys: Sequence[str], ts: str = "ingested_at", seconds: float = COOLDOWN_SECONDS) -> DataFrame:
     """At most one alert per key in any ``seconds``: keys and the times that fire.
 
-    Alerts are first reduced to one per key and second; what is left is read in time
-    order with one remembered time per key, batch by batch, never as a whole group.
+    The first alert of a key fires, then always the first one at least ``seconds`` after
+    the last that fired.  An alert that long after the one before it fires in any case,
+    so a key falls apart into pieces at such gaps.  Within a piece every alert has a
+    successor, the one that would fire next; it lies in the next clock bucket of
+    ``seconds`` or is the first of the one after.  What the pieces' first alerts reach
+    is found by successor doubling: log2(longest chain) rounds of equi-joins on key and
+    time, so one hot key spreads over all tasks and no key is read in order by one.
     """
-    keys = list(keys)
-    second = F.date_trunc("second", F.col(ts).cast("timestamp_ntz")).cast("timestamp_ntz")
-    thin = alerts.groupBy(*keys, second.alias("_sec")).agg(F.min(ts).alias(ts)).drop("_sec")
-    ordered = thin.repartition(*keys).sortWithinPartitions(*keys, ts)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gap, current, last = pd.Timedelta(seconds=seconds), None, None
-        for pdf in batches:
-            fire = []
-            for key, at in zip(pdf[keys].itertuples(index=False, name=None), pdf[ts]):
-                if key != current:
-                    current, last = key, None
-                ok = last is None or at - last >= gap
-                last = at if ok else last
-                fire.append(ok)
-            yield pdf[fire]
-
-    return ordered.mapInPandas(run, ordered.schema)
+    keys, gap = list(keys), round(seconds * 1_000_000)
+    time = F.unix_micros(F.col(ts).cast("timestamp"))
+    each = cut(alerts.select(*keys, ts).distinct().withColumns({"_k": F.to_json(F.struct(*keys)), "_t": time}).withColumn(
+        "_b", F.expr(f"(_t - pmod(_t, {gap}L)) div {gap}L")))
+    ends = each.groupBy("_k", "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    before = ends.select("_k", (F.col("_b") + 1).alias("_b"), F.col("_last").alias("_gone"))
+    heads = ends.join(before, ["_k", "_b"], "left").filter(F.col("_gone").isNull() | (F.col("_first") - F.col("_gone") >= gap))
+
+    nothing = F.lit(None).cast("long")
+    seen = each.select("_k", "_b", F.col("_t").alias("_at"), F.col("_t").alias("_alert"), nothing.alias("_from"))
+    asked = each.select("_k", F.col("_b") + 1, F.col("_t") + gap, nothing, "_t")
+    late = Window.partitionBy("_k", "_b").orderBy(F.desc("_at"), F.col("_from").asc_nulls_first())  # an alert before who asks for its time
+    found = seen.unionAll(asked).withColumn("_inside", F.last("_alert", ignorenulls=True).over(late)).filter(F.col("_from").isNotNull())
+    after = ends.select("_k", (F.col("_b") - 1).alias("_b"), F.col("_first").alias("_after"))
+    step = found.join(after, ["_k", "_b"], "left").select("_k", F.col("_from").alias("_t"), F.coalesce("_inside", "_after").alias("_next"))
+
+    step, fired = cut(step.filter(F.col("_next").isNotNull())), cut(heads.select("_k", F.col("_first").alias("_t")))
+    while not step.isEmpty():
+        fired = cut(fired.unionAll(fired.join(step, ["_k", "_t"]).select("_k", "_next")).distinct())
+        step = cut(step.join(step.toDF("_k", "_next", "_then"), ["_k", "_next"]).select("_k", "_t", F.col("_then").alias("_next")))
+    return each.join(fired, ["_k", "_t"], "left_semi").select(*keys, ts)
 
 
 def categories(columns: Sequence[str]) -> Column:

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import json
 import sys
-import tempfile
 from typing import Callable
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanquarry.functions.common import as_col, bind, first_non_empty, texts_of
 from spanquarry.functions.scalars import event_input, event_output, preview, step_agent, text_of
+from spanquarry.functions.shared import shared_dir
 from spanquarry.operators.alerts import positions
 from spanquarry.operators.versioned import latest, pick_first
 
@@ -103,10 +103,9 @@ def trajectory_steps(spans: DataFrame, seq: str = "seq",
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Store a round's result in the session's checkpoint directory; a folder of this machine only where none is set (tests)."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    """Store a round's result in the session's checkpoint directory."""
     if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
+        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

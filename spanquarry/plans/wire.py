@@ -293,7 +293,10 @@ def _(lake):
     return AL.rate_breaches(AL.failure_rate(_watched(lake))).select("event_id")
 
 
-@query("e05_cooldown")
+@query("e05_cooldown", f"""WITH RECURSIVE {RATES}, b AS (SELECT DISTINCT organization_id, metric, ingested_at FROM r WHERE samples >= 10 AND failure_rate > rate),
+f(organization_id, metric, ingested_at) AS (SELECT organization_id, metric, min(ingested_at) FROM b GROUP BY ALL
+  UNION ALL SELECT f.organization_id, f.metric, min(b.ingested_at) FROM f JOIN b ON b.organization_id = f.organization_id AND b.metric = f.metric AND b.ingested_at >= f.ingested_at + INTERVAL 10 MINUTE GROUP BY 1, 2)
+SELECT organization_id, metric, ingested_at FROM f""")
 def _(lake):
     return AL.with_cooldown(AL.rate_breaches(AL.failure_rate(_watched(lake))), ["organization_id", "metric"])
 

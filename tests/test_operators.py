@@ -133,6 +133,28 @@ def test_cooldown(spark):
     assert got == brute_force(data)[1]
 
 
+def test_cooldown_by_doubling_equals_reading_in_order(spark):
+    rng, rows_, want = random.Random(12), [], set()
+    start = dt.datetime(2024, 3, 1)
+    for key, n, step in [("hot", 3000, 40.0), (None, 200, 900.0), ("dense", 800, 0.7), ("one", 1, 1.0), ("edge", 0, 0)]:
+        at, times = start, []
+        for _ in range(n):
+            at += dt.timedelta(microseconds=rng.choice([0, 1, 250_000, int(step * 1e6 * rng.random() * 2)]) if key != "hot" else int(step * 1e6 * rng.choice([0.001, 1, 1, 60])))
+            times.append(at)
+        if key == "edge":
+            times = [start + dt.timedelta(seconds=600 * i) for i in range(40)] + [start + dt.timedelta(seconds=599, microseconds=999_999), start]
+        rows_ += [(key, t) for t in times]
+        last = None
+        for t in sorted(times):
+            if last is None or t - last >= dt.timedelta(seconds=600):
+                last = t
+                want.add((key, t))
+    rng.shuffle(rows_)
+    got = AL.with_cooldown(spark.createDataFrame(rows_, "metric string, ingested_at timestamp_ntz"), ["metric"]).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert AL.with_cooldown(spark.createDataFrame([], "metric string, ingested_at timestamp"), ["metric"]).count() == 0
+
+
 def test_digest_counts_what_it_leaves_out(spark):
     df = spark.range(50).select(F.lit("o").alias("organization_id"), F.lit("hourly").alias("digest"), F.format_string("line %02d", "id").alias("summary"),
                                 F.lit(T0).cast("timestamp_ntz").alias("ingested_at"))
