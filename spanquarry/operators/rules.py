@@ -53,9 +53,9 @@ def select_rule(events: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def scoring_jobs(selected: DataFrame) -> DataFrame:
-    """One scoring job per selected trace."""
+def scoring_jobs(selected: DataFrame, *more: str) -> DataFrame:
+    """One scoring job per selected trace, with the rule's metrics and judges and ``more`` columns of the event."""
     return selected.filter(F.col("rule").isNotNull()).select(
         "organization_id", "trace_id", F.lit("score_call").alias("operation"),
         F.col("rule.rule_id").alias("rule_id"), F.col("rule.name").alias("rule_name"),
-        F.col("rule.metrics").alias("metrics"), F.col("rule.custom_judges").alias("custom_judges"))
+        F.col("rule.metrics").alias("metrics"), F.col("rule.custom_judges").alias("custom_judges"), *more)

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     from spanquarry.plans import (  # noqa: F401
-        accounts, agents, datasets, monitoring, reviewing, running, scanning, scoring, traces, wire,
+        accounts, agents, datasets, monitoring, reviewing, running, scanning, scoring, streams, traces, wire,
     )
 
 

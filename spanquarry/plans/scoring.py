@@ -303,6 +303,11 @@ def _(lake):
     return lake.raw("events").select("event_id", P.is_retrieval(type_, api).alias("retrieval"))
 
 
-@query("a02_trace_ids")
+# Version 5 UUIDs from SHA-1 of namespace and name.
+UUIDS = f"""SELECT *, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab', CAST(CAST('0x' || substr(h, 17, 1) AS INT) % 4 + 1 AS BIGINT), 1),
+  substr(h, 18, 3), '-', substr(h, 21, 12)) AS uuid FROM (SELECT *, sha1(unhex('{I.TRACE_NAMESPACE.hex}') || encode(trace_id)) AS h FROM v_traces) x"""
+
+
+@query("a02_trace_ids", f"SELECT trace_id, uuid FROM ({UUIDS}) u")
 def _(lake):
     return lake.traces.select("trace_id", I.coerce_trace_id("trace_id").alias("uuid"))

@@ -8,7 +8,7 @@ from spanquarry.functions.common import moment
 from spanquarry.operators import alerts as AL
 from spanquarry.operators.filters import is_root
 from spanquarry.plans.registry import query
-from spanquarry.plans.scoring import _rules
+from spanquarry.plans.scoring import UUIDS, _rules
 from spanquarry.schemas import ALERT_SETTINGS
 from spanquarry.sources import otlp as O, tables as TB, tabular as CSV, vendors as VN
 from spanquarry.streaming import ingest as IN, topics as TP
@@ -251,7 +251,16 @@ def _(lake):
     return r.select("i", (F.array_contains("routes", "evaluate") & F.col("rule").isNull()).alias("inline"), F.array_contains("routes", "secure").alias("secure"), "eval_skipped")
 
 
-@query("j09_online_scoring")
+BUCKET = "CAST(CAST('0x' || substr(sha256('{r}:' || uuid), 1, 4) AS BIGINT) AS DOUBLE) / 65535 * 100"
+RULED = f"""SELECT * FROM (SELECT *, CASE WHEN organization_id = 'org0' AND {BUCKET.format(r='r1')} < 10 THEN 'r1'
+  WHEN organization_id = 'org0' AND integration = 'OPENAI' AND {BUCKET.format(r='r2')} < 40 THEN 'r2'
+  WHEN organization_id = 'org1' AND model IN ('model-1', 'model-2') AND {BUCKET.format(r='r5')} < 25 THEN 'r5'
+  WHEN organization_id = 'org2' AND integration = 'ANTHROPIC' THEN 'r7' END AS rule_id
+  FROM (SELECT *, CAST(substr(trace_id, 2, 20) AS BIGINT) AS i FROM ({UUIDS}) u WHERE trace_id = root_trace_id) t
+  WHERE i % 5 <> 0 AND i % 4 <> 0 AND i % 7 <> 0 AND organization_id <> 'org3') s WHERE rule_id IS NOT NULL"""
+
+
+@query("j09_online_scoring", f"SELECT i, rule_id FROM ({RULED}) r")
 def _(lake):
     return _routed(lake).filter(F.col("rule").isNotNull()).select("i", F.col("rule.rule_id").alias("rule_id"))
 
