@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import small_batches
+from spanquarry.llm.shared import frugal, small_batches
 
 #: Fixed value: the pattern by which the public vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,8 +113,9 @@ class Merges:
         return [t for t, x in zip(ids, alive) if x]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def merges(path: str) -> Merges:
+    """The vocabulary of a task; a worker forgets it between tasks (:func:`digests`)."""
     return Merges(path)
 
 
@@ -263,6 +264,7 @@ def digests(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @frugal
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder, reader = Encoder(path or default_path()), Decoder(path or default_path())
 
@@ -277,6 +279,7 @@ def digests(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
 
         for texts in batches:
             yield pd.DataFrame([row(t or "") for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        merges.cache_clear()
 
     small_batches(df.sparkSession)
     both = df.withColumn("__coded", coded(F.coalesce(F.col(text), F.lit(""))))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import by_text, cut, slices, small_batches
+from spanquarry.llm.shared import by_text, cut, frugal, slices, small_batches
 
 LINE = 16  # words of a rolled line
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -215,6 +215,7 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
     any number of documents share is compared with its first place only.
     """
 
+    @frugal
     def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
             texts, sizes = b["text"].to_list(), np.cumsum([len(t or "") for t in b["text"]])
@@ -230,6 +231,7 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
     def seeds(r) -> tuple[np.ndarray, list[tuple[int, int]]]:
         return r.places, list(zip((r.places >> 32).tolist(), ((r.origin_places >> 32) - r.start).tolist()))
 
+    @frugal
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
             out = []
@@ -241,6 +243,7 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
                 out.append((r.doc_id, [x for x, _ in runs], [x for _, x in runs], h.view(np.int64), starts.astype(np.int64) << 32))
             yield pd.DataFrame(out, columns=["doc_id", "first", "last", "marks", "places"])
 
+    @frugal
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
             found = chain.from_iterable(

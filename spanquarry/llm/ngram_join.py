@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import by_text, components, cut, slices, small_batches
+from spanquarry.llm.shared import by_text, components, cut, frugal, slices, small_batches
 
 _BITS = 1024  # of the parity signature
 _GROWTH = 1.5  # size classes
@@ -123,6 +123,7 @@ def _per_text(docs: DataFrame, row, schema: str) -> DataFrame:
     """``doc_id`` and the columns of ``schema`` that ``row`` makes of each whole text."""
     names = [c.split()[0] for c in schema.split(", ")]
 
+    @frugal
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
             out = [row(text) for text in b["text"]]
@@ -153,15 +154,18 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, share: int, whole: i
     """Of the pairs ``a, b`` those whose overlap, counted in full, reaches the threshold."""
 
     @F.pandas_udf("boolean")
-    def overlaps(ta: pd.Series, tb: pd.Series) -> pd.Series:
-        out, held = [], ("", gram_set("", width))
-        for x, y in zip(ta, tb):
-            if held[0] != x:
-                held = (x, gram_set(x, width))
-            g = gram_set(y, width)
-            both = len(np.intersect1d(held[1], g, assume_unique=True))
-            out.append(whole * both >= share * (len(held[1]) + len(g) - both))
-        return pd.Series(out, dtype=bool)
+    @frugal
+    def overlaps(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        held = ("", gram_set("", width))
+        for ta, tb in batches:
+            out = []
+            for x, y in zip(ta, tb):
+                if held[0] != x:
+                    held = (x, gram_set(x, width))
+                g = gram_set(y, width)
+                both = len(np.intersect1d(held[1], g, assume_unique=True))
+                out.append(whole * both >= share * (len(held[1]) + len(g) - both))
+            yield pd.Series(out, dtype=bool)
 
     return (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")

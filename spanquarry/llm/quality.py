@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import slices, small_batches
+from spanquarry.llm.shared import frugal, slices, small_batches
 
 PASSAGE = 512  # bytes of UTF-8 in a passage
 HIDDEN, GATE = 24, 12
@@ -159,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, budget: int =
     taken = docs.sparkSession.createDataFrame(taken, "doc_id long, __h long, quality int")
     bags = texts.join(F.broadcast(taken), ["doc_id", "__h"]).groupBy("doc_id", "__h", "quality").agg(F.first("text").alias("text")).select("quality", "text")
 
+    @frugal
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches, 64):
             out = []
@@ -189,10 +190,12 @@ def score(docs: DataFrame, model: GatedAttention | float, text: str = "text", ou
         return docs.withColumn(out, F.lit(model))
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    @frugal
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = GatedAttention(weights)
-        parts = [net.scores([(t or "").encode("utf-8", "replace") for t in texts.iloc[lo:lo + 512]]) for lo in range(0, len(texts), 512)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        for texts in batches:
+            parts = [net.scores([(t or "").encode("utf-8", "replace") for t in texts.iloc[lo:lo + 512]]) for lo in range(0, len(texts), 512)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(out, scored(F.col(text)))
 

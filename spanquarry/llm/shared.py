@@ -1,23 +1,26 @@
 """Lineage cuts, ids of distinct texts and connected components used by several operators."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only for a local session that names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="llm-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)  # the setting itself is fixed once a session runs
     return found.rstrip("/")
 
 
@@ -56,6 +59,27 @@ def slices(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.Data
             yield b.iloc[lo:lo + rows]
 
 
+def frugal(f: Callable) -> Callable:
+    """An iterator function of a Python worker that gives memory back to the system when its task ends.
+
+    Workers are kept for later tasks, several for every core; what their allocators hold on to would count against the
+    executor while other stages run.
+    """
+
+    @wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 def by_text(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``docs`` with ``__node``, a number that rows share only if they share doc_id and text, and the numbers of split ids.
 
