@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import folder, small_batches
+from spanquarry.llm.shared import cut, folder, small_batches
 
 _URL_SAFE = "".join(chr(c) for c in range(33, 127))
 #: The field lines of the two ARC versions.
@@ -144,9 +144,9 @@ def with_types(records: DataFrame, least: int = 0) -> DataFrame:
     Of records with equal payloads of at least ``least`` bytes the one with the largest page_id is the response (ties:
     the largest record id; null ids come last, so one of them is the response where no other is). Rows alike in url,
     page_id and payload are one record: they have one id and one type.
-    Only digests and ids are grouped; payloads travel once, to meet the type of their record.
+    Only digests and ids are grouped, from a table of their own; payloads travel once, to meet the type of their record.
     """
-    slim = records.where(F.col("size") >= least).select("digest", "page_id", "record_id", "url")
+    slim = cut(records.where(F.col("size") >= least).select("digest", "page_id", "record_id", "url"))
     origins = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "record_id", "url")).alias("o")).where("n > 1").select("digest", "o")
     types = (slim.join(origins, "digest").where(F.col("record_id") != F.col("o.record_id"))
              .select("record_id", F.col("o.record_id").alias("origin_id"), F.col("o.url").alias("origin_url")).dropDuplicates(["record_id"]))
