@@ -183,7 +183,8 @@ def write_warc(records: DataFrame, path: str, per_file: int = 1000) -> None:
                 yield pd.DataFrame({"value": out})
 
     (records.mapInPandas(build, "value binary").select(F.col("value").cast("string").alias("value"))
-     .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file + 1).text(path))
+     .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+     .option("maxRecordsPerFile", per_file + 1).text(path))
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
