@@ -55,12 +55,13 @@ def _recomputed(level: DataFrame) -> DataFrame:
     return low.withColumn("mid", F.when((F.col("grp") == 0) & (F.size("low") == 1), F.array().cast("array<string>")).otherwise(_runs(F.col("low"))))
 
 
-_MID_IS_TOP = (F.col("grp") == 0) & (F.size("mid") == 1)
+def _mid_is_top() -> Column:
+    return (F.col("grp") == 0) & (F.size("mid") == 1)
 
 
 def raised(level: DataFrame) -> DataFrame:
     """``tree, pos, digest``: the node above every stored subtree, or the tree's root where that is reached before."""
-    top = F.when(F.size("mid") == 0, F.col("low")[0]).when(_MID_IS_TOP, F.col("mid")[0]).otherwise(_runs(F.col("mid"))[0])
+    top = F.when(F.size("mid") == 0, F.col("low")[0]).when(_mid_is_top(), F.col("mid")[0]).otherwise(_runs(F.col("mid"))[0])
     return _recomputed(level).select("tree", F.col("grp").alias("pos"), top.alias("digest"))
 
 
@@ -83,7 +84,7 @@ def proofs(level: DataFrame, above: DataFrame) -> DataFrame:
     step = lambda digests, at: F.struct(
         F.array_join(F.slice(digests, at - at % FAN + 1, at % FAN), "").alias("left"), F.array_join(F.slice(digests, at + 2, FAN - 1 - at % FAN), "").alias("right"))
     none = F.array().cast("array<struct<left:string,right:string>>")
-    own = F.when(F.size("mid") == 0, none).when(_MID_IS_TOP, F.array(step(F.col("low"), j))).otherwise(
+    own = F.when(F.size("mid") == 0, none).when(_mid_is_top(), F.array(step(F.col("low"), j))).otherwise(
         F.array(step(F.col("low"), j), step(F.col("mid"), F.floor(j / FAN).cast("int"))))
     carried = [c for c in above.columns if c not in ("tree", "grp", "steps")]
     each = _recomputed(level.join(above, ["tree", "grp"])).select("tree", "grp", "low", "mid", "steps", *carried, F.posexplode("nodes").alias("__j", "__node"))

@@ -202,3 +202,11 @@ def test_components_beyond_exact_distances_are_an_error(spark):
     huge = spark.createDataFrame([(1, [1e30, 0.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="scaled component"):
         cluster(huge, dims=2).collect()
+
+
+def test_the_entry_lists_queries_and_sql_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) < set(q) and 'op13_orchard_clusters' in o and 'pipeline' in q"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
