@@ -1,9 +1,10 @@
 """Documents whose word n-gram sets have a high Jaccard likeness, by a blocked product of the incidence matrix.
 
 Rows are distinct n-gram sets, columns n-grams. Columns are cut by hash in so many blocks that, by the size-derived
-bound on the symmetric difference, two linked rows must agree in whole blocks. The product is formed on those blocks
-only: equal blocks of two rows meet in a join, pairs outside the size bounds are discarded, and the overlap of the
-pairs that stay is counted in full.
+bound on the symmetric difference, two linked rows must agree in a number of whole blocks. Blocks that a row shares are
+counted first: a row that shares fewer than it needs for any link leaves the product, any other leaves out the most
+frequent blocks it can spare. On the blocks that stay rows meet in a join, pairs outside the size bounds are discarded,
+and the overlap of the pairs that are left is counted in full.
 """
 from __future__ import annotations
 
@@ -22,7 +23,6 @@ from spanquarry.llm.shared import by_text, components, cut, frugal, slices, smal
 
 _BITS = 1024  # of the parity signature
 _GROWTH = 1.5  # size classes
-_LIGHT = 2  # column blocks of so few n-grams are not joined on unless a row has many of them
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -63,32 +63,39 @@ def _low(j: int) -> int:
 
 
 @lru_cache(maxsize=256)
-def _blocks(j: int, share: int, whole: int) -> tuple[int, int]:
-    """Column blocks of size class j, and how many light ones a row may leave out.
-
-    Linked rows a, b with the smaller size in class j differ in at most d = (|a| + |b|)(whole - share)/(whole + share)
-    n-grams, so of P blocks at least P - d agree; with P = d + 1 + spare one of them is not light unless both rows have
-    more than ``spare`` light ones.
-    """
+def _blocks(j: int, share: int, whole: int) -> int:
+    """Column blocks of size class j: more than two linked rows can differ in, the smaller of which is of the class."""
     small = _low(j + 1) - 1
     d = (small + small * whole // share) * (whole - share) // (whole + share)
-    spare = 1 + d // 12
-    return d + 1 + spare, spare
+    return d + 2 + d // 4
 
 
-def block_keys(grams: np.ndarray, share: int, whole: int) -> np.ndarray:
-    """One key for each column block that the row is joined on, for its size class and any lower one it can link into."""
-    n, keys = len(grams), []
+def block_keys(grams: np.ndarray, share: int, whole: int) -> tuple[np.ndarray, int, list[int]]:
+    """Keys of the row's column blocks, its lowest size class, and for that class and each further one the blocks needed.
+
+    A row takes part in its own class and in any lower one it can link into; the low byte of a key is the class. Linked
+    rows a, b differ in at most (|a| + |b|)(whole - share)/(whole + share) n-grams and so in no more blocks: a row agrees
+    with whatever it links to in at least its filled blocks less that number. A row with too few filled blocks for this
+    is joined on its empty ones as well, and needs one.
+    """
+    n, keys, needs = len(grams), [], []
+    if not n:
+        return np.zeros(0, np.uint64), 0, []
     total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(grams), dtype=np.uint64)])
-    for j in range(_size_class(-(-n * share // whole)), _size_class(n) + 1) if n else ():
-        parts, spare = _blocks(j, share, whole)
+    low, own = _size_class(-(-n * share // whole)), _size_class(n)
+    for j in range(low, own + 1):
+        parts = _blocks(j, share, whole)
+        partner = n * whole // share if j == own else _low(j + 1) - 1
         place = ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         edges = np.searchsorted(place, np.arange(parts + 1))
-        sums, sizes = total[edges[1:]] - total[edges[:-1]], np.diff(edges)
-        light = sizes <= _LIGHT
-        kept = np.flatnonzero(~light) if light.sum() <= spare else np.arange(parts)
-        keys.append(_mix(sums[kept] + _mix(kept.astype(np.uint64) + np.uint64(j << 40))))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        sums, kept = total[edges[1:]] - total[edges[:-1]], np.flatnonzero(np.diff(edges))
+        need = len(kept) - (n + partner) * (whole - share) // (whole + share)
+        if need < 1:
+            kept, need = np.arange(parts), 1
+        hashed = _mix(sums[kept] + _mix(kept.astype(np.uint64) + np.uint64(j << 40)))
+        keys.append(hashed & ~np.uint64(255) | np.uint64(j))
+        needs.append(need)
+    return np.concatenate(keys), low, needs
 
 
 def _parity(grams: np.ndarray, bits: int) -> np.ndarray:
@@ -134,22 +141,35 @@ def _per_text(docs: DataFrame, row, schema: str) -> DataFrame:
     return named.mapInPandas(rows, f"doc_id string, {schema}").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def incidence(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, set_key, signature, wide`` of every document, from its whole text."""
+def incidence(docs: DataFrame, width: int, share: int, whole: int) -> DataFrame:
+    """``doc_id, n, set_key, signature, wide, low, needs`` of every document, from its whole text."""
 
     def row(text):
         g = gram_set(text, width)
-        return len(g), xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None, *_signatures(g)
+        return len(g), xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None, *_signatures(g), *block_keys(g, share, whole)[1:]
 
-    return _per_text(docs, row, "n long, set_key binary, signature array<long>, wide array<long>")
+    return _per_text(docs, row, "n long, set_key binary, signature array<long>, wide array<long>, low long, needs array<long>")
 
 
 def blocked(docs: DataFrame, width: int, share: int, whole: int) -> DataFrame:
     """``doc_id, key`` for every column block that a document is joined on."""
-    keys = _per_text(docs, lambda text: (block_keys(gram_set(text, width), share, whole).view(np.int64),), "keys array<long>")
+    keys = _per_text(docs, lambda text: (block_keys(gram_set(text, width), share, whole)[0].view(np.int64),), "keys array<long>")
     return keys.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
 
 
+def _needed(shared: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of the blocks ``key, c`` those that the row c has to be joined on, with the least row of each as its pivot.
+
+    Two linked rows share at least as many blocks of a class as either needs. Let both leave out, of the blocks in the
+    order of their frequency, one less than they need from the frequent end: the rarest block they share stays in both.
+    """
+    same, row = Window.partitionBy("key"), Window.partitionBy("c", "j")
+    counted = shared.withColumn("rows", F.count("*").over(same)).where("rows > 1").withColumn("j", F.col("key").bitwiseAND(255))
+    ranked = counted.join(rows.select("c", "low", "needs"), "c").withColumn("rank", F.row_number().over(row.orderBy(F.desc("rows"), "key")))
+    kept = ranked.where(F.col("rank") >= F.get("needs", (F.col("j") - F.col("low")).cast("int"))).select("key", "c")
+    return kept.withColumns({"pivot": F.min("c").over(same), "top": F.max("c").over(same)}).where("pivot < top").drop("top")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, share: int, whole: int) -> DataFrame:
     """Of the pairs ``a, b`` those whose overlap, counted in full, reaches the threshold."""
 
@@ -175,8 +195,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, share: int, whole: i
 def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80, whole: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document: components of Jaccard >= share/whole.
 
-    Equal sets are one row of the matrix. In every block the least row is the pivot: all rows of the block are first
-    compared with it alone, which joins a group of copies in as many pairs as it has rows. Only rows of one block that
+    Equal sets are one row of the matrix, joined on the blocks of :func:`_needed`. In every block the least row is the
+    pivot: all rows of the block are first compared with it alone, which joins a group of copies in as many pairs as it has rows. Only rows of one block that
     are still in different components are then compared with each other, so no link between different texts is lost.
 
     Defined results: null and blank texts have no n-grams and stand alone; a text of fewer words than ``width`` is one
@@ -197,18 +217,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80, whole:
 
 def _components(docs: DataFrame, width: int, share: int, whole: int, split: DataFrame | None) -> DataFrame:
     """As :func:`jaccard_components` for ids that have one text each; the nodes ``split`` from one id are linked as well."""
-    base = cut(incidence(docs, width))
+    base = cut(incidence(docs, width, share, whole))
     classes = base.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("c"))
     of_doc = base.select("doc_id", "n", "set_key")
     # one shuffle of slim rows; a key has one row a document, so even a group of copies of a third of all rows is spread
     # over the many keys that each of its documents has
     same = Window.partitionBy("key")
-    met = blocked(docs, width, share, whole).select("key", "doc_id", F.min("doc_id").over(same).alias("pivot"), F.max("doc_id").over(same).alias("top"))
-    met = cut(met.where("pivot < top").select("key", "doc_id", "pivot"))
+    met = blocked(docs, width, share, whole).select("key", "doc_id", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high"))
+    met = cut(met.where("low < high").select("key", "doc_id"))
     class_of = of_doc.join(classes, "set_key").select("doc_id", "c").dropDuplicates(["doc_id"])
-    blocks = cut(met.join(class_of, "doc_id").select("key", "c", "pivot").distinct())
     rows = base.join(classes.select(F.col("c").alias("doc_id"), "set_key"), ["doc_id", "set_key"]).dropDuplicates(["doc_id"])
-    rows = cut(rows.select(F.col("doc_id").alias("c"), "n", "signature", "wide").join(blocks.select("c").distinct(), "c"))
+    rows = rows.withColumnRenamed("doc_id", "c")
+    blocks = cut(_needed(met.join(class_of, "doc_id").select("key", "c").distinct(), rows))
+    rows = cut(rows.select("c", "n", "signature", "wide").join(blocks.select("c").distinct(), "c"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     of = lambda side: rows.toDF(side, f"n{side}", f"s{side}", f"w{side}")
     may, wide = _may_link("na", "nb", "sa", "sb", share, whole), _may_link_wide("na", "nb", "wa", "wb", share, whole)
