@@ -72,9 +72,12 @@ def trajectory_steps(spans: DataFrame, seq: str = "seq",
 
     Paths are found by pointer doubling: each round joins a span with the ancestor it
     knows and takes over that ancestor's knowledge, so a tree of depth d needs log2(d)
-    rounds, and a run may be of any size because it is never gathered.  A span whose
-    path is longer than its run has spans hangs in a cycle; such spans are listed once
-    each, at depth 0, after the tree.  There is no limit on depth.
+    rounds, and a run may be of any size because it is never gathered.  While a span
+    below a root is not placed yet, every round places one (its ancestor at the depth
+    the round reaches); what a round without any leaves over hangs in a cycle, as does a
+    span whose path is longer than its run has spans.  Such spans are listed once each,
+    at depth 0, after the tree; their paths grow to at most four times the greatest depth
+    of a placed span (to two where all are roots).  There is no limit on depth.
 
     ``cut`` stores an intermediate result (by default a reliable checkpoint) so that a
     lost executor does not replay every round.
@@ -85,7 +88,9 @@ def trajectory_steps(spans: DataFrame, seq: str = "seq",
     sizes = linked.groupBy(*[F.col(c).alias(f"_{c}") for c in RUN]).agg(F.count("*").alias("_spans"))
     same_run = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in RUN]
     state = cut(linked.join(sizes, same_run).select(*RUN, "_spans", "span_id", F.col("parent").alias("up"), F.array(key).alias("path")))
-    while not state.filter(F.col("up").isNotNull()).isEmpty():
+    unplaced = lambda: state.filter(F.col("up").isNotNull()).count()
+    before, left = None, unplaced()
+    while left and left != before:
         above = state.select(*RUN, F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
         moved = state.join(above, [*RUN, "up"], "left").select(
             *RUN, "_spans", "span_id", F.col("_up").alias("up"),
@@ -93,6 +98,7 @@ def trajectory_steps(spans: DataFrame, seq: str = "seq",
             (F.col("up").isNotNull() & (F.size("path") > F.col("_spans"))).alias("_loop"))
         state = cut(moved.withColumn("up", F.when(~F.col("_loop"), F.col("up"))).withColumn(
             "path", F.when(F.col("_loop"), F.lit(None)).otherwise(F.col("path"))).drop("_loop"))
+        before, left = left, unplaced()
     looped = F.col("up").isNotNull() | F.col("path").isNull()
     own = linked.select(*RUN, "span_id", "trace_id", "parent", F.col(seq).alias("seq"), key.alias("_key"))
     placed = own.join(state.select(*RUN, "span_id", "path", looped.alias("_loop")), [*RUN, "span_id"])

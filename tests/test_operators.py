@@ -42,6 +42,21 @@ def test_cycles_are_listed_once(spark):
     assert got[0] == ("root", 0) and sorted(got[1:]) == [("below", 0), ("x", 0), ("y", 0)]
 
 
+def test_a_cycle_in_a_wide_run_keeps_short_paths(spark):
+    longest = []
+
+    def cut(df):
+        stored = TJ._cut(df)
+        longest.append(stored.agg(F.max(F.size("path"))).first()[0])
+        return stored
+
+    items = [("root", None), *[(f"k{i:03}", "root") for i in range(300)], ("x", "y"), ("y", "x"), ("below", "x")]
+    got = TJ.trajectory_steps(spans(spark, items), cut=cut).collect()
+    depth = {r["trace_id"]: r["depth"] for r in got}
+    assert len(got) == 304 and {depth[f"k{i:03}"] for i in range(300)} == {1} and {depth[c] for c in ("root", "x", "y", "below")} == {0}
+    assert len(longest) <= 3 and max(longest) <= 4
+
+
 def event(spark, doc, **cols):
     return spark.createDataFrame([("o", "run", 0, doc)], "organization_id string, root_trace_id string, seq int, doc string").select(
         "organization_id", "root_trace_id", "seq", F.parse_json("doc").alias("event"))
