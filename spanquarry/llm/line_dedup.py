@@ -8,14 +8,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, groupby
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import by_text, cut, frugal, slices, small_batches
+from spanquarry.llm.shared import by_text, cut, frugal, scratch, slices, small_batches
 
 LINE = 16  # words of a rolled line
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -180,14 +180,20 @@ def unmet(since: np.ndarray, until: np.ndarray, met: list[tuple[int, int]], leas
     return found[out(found, found)]
 
 
-def _first_places(marks: DataFrame) -> DataFrame:
-    """``doc_id, origin`` pairs with the places of their common marks, of which those in ``origin`` are the first."""
+def _later_places(marks: DataFrame) -> DataFrame:
+    """``doc_id, place, origin, origin_place``: every place whose mark has an earlier one, with the first that has it."""
     place = F.struct("doc_id", "place")
-    # tables of their own: their sizes are known to the planner, and a hot mark's join is split as a skewed one
-    firsts = cut(marks.groupBy("mark").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "origin"))
-    later = marks.join(firsts, "mark").where(place > F.col("origin"))
-    return cut(later.select("doc_id", "place", F.col("origin.doc_id").alias("origin"), F.col("origin.place").alias("origin_place"))
-               .groupBy("doc_id", "origin").agg(F.collect_list("place").alias("places"), F.collect_list("origin_place").alias("origin_places")))
+    # a table of its own: its size is known to the planner, and a hot mark's join is split as a skewed one
+    firsts = cut(marks.groupBy("mark").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "first"))
+    later = marks.join(firsts, "mark").where(place > F.col("first"))
+    return later.select("doc_id", "place", F.col("first.doc_id").alias("origin"), F.col("first.place").alias("origin_place"))
+
+
+def _pairs(marks: DataFrame) -> DataFrame:
+    """``doc_id, origin`` pairs with the places of their common marks, of which those in ``origin`` are the first."""
+    with scratch(marks.sparkSession):
+        return cut(_later_places(marks).groupBy("doc_id", "origin").agg(
+            F.collect_list("place").alias("places"), F.collect_list("origin_place").alias("origin_places")), keep=True)
 
 
 def _with_words(pairs: DataFrame, read: DataFrame) -> DataFrame:
@@ -209,8 +215,8 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
     earlier text, or in the same text without overlap. Every fingerprint is joined with the first place that has it, and
     the match is extended both ways as long as words agree. The first place of a fingerprint may share less than a
     window: windows of a fingerprint that do not lie in such a match are joined a second time, by the hash of all their
-    words, with the first place of that window. This first place is always among them, as it does not lie in a match
-    either. A deleted word always has an equal one at an earlier place, so the first of all stays. One row a fingerprint,
+    words, with the first place of that window; equal hashes are taken as equal windows, so no words are read for this.
+    The first place is always among them, as it does not lie in a match either. A deleted word always has an equal one at an earlier place, so the first of all stays. One row a fingerprint,
     one a window without a match of a repeated fingerprint and four bytes a word are shuffled, no text; a passage that
     any number of documents share is compared with its first place only.
     """
@@ -243,35 +249,31 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
                 out.append((r.doc_id, [x for x, _ in runs], [x for _, x in runs], h.view(np.int64), starts.astype(np.int64) << 32))
             yield pd.DataFrame(out, columns=["doc_id", "first", "last", "marks", "places"])
 
-    @frugal
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in slices(batches):
-            found = chain.from_iterable(
-                ((r.doc_id, *run) for run in runs_of_pair(np.frombuffer(r.own, "<u4"), np.frombuffer(r.other, "<u4"), seeds(r)[1], r.same, least, least)[0])
-                for r in b.itertuples())
-            yield pd.DataFrame(list(found), columns=["doc_id", "first", "last"])
-
     def each(df: DataFrame, **names: str) -> DataFrame:
         return df.select("doc_id", F.explode(F.arrays_zip(*names.values())).alias("m")).select("doc_id", *[F.col(f"m.{c}").alias(n) for n, c in names.items()])
 
     read = cut(docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(positions, "doc_id long, words binary, marks array<long>, places array<long>"))
-    pairs = _first_places(each(read, mark="marks", place="places"))
-    matches = cut(_with_words(pairs, read).mapInPandas(extend, "doc_id long, first array<int>, last array<int>, marks array<long>, places array<long>"))
-    rest = _with_words(_first_places(each(matches, mark="marks", place="places")), read).mapInPandas(verify, "doc_id long, first int, last int")
+    with scratch(docs.sparkSession):
+        pairs = _pairs(each(read, mark="marks", place="places"))
+        matches = cut(_with_words(pairs, read).mapInPandas(extend, "doc_id long, first array<int>, last array<int>, marks array<long>, places array<long>"), keep=True)
+    line = lambda place: F.shiftright(place, 32).cast("int")
+    again = _later_places(each(matches, mark="marks", place="places")).where(
+        (F.col("doc_id") != F.col("origin")) | (line("place") - line("origin_place") >= least))
+    rest = again.select("doc_id", line("place").alias("first"), (line("place") + (least - 1)).alias("last"))
     return each(matches, first="first", last="last").unionAll(rest)
 
 
-def without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
+def without(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
     """The texts without the words of their runs; white space before what follows a run goes with it."""
     out = []
-    for text, found in zip(texts, runs):
-        if text is None or found is None:
+    for text, begin, until in zip(texts, firsts, lasts):
+        if text is None or begin is None:
             out.append((None, 0))
             continue
         raw = text.encode("utf-8", "replace")
         starts = [m.start() for m in _WORD.finditer(raw)] + [len(raw)]
         parts, at, gone = [], 0, 0
-        for first, last in sorted((r["first"], r["last"]) for r in found):
+        for first, last in sorted(zip(begin.tolist(), until.tolist())):
             first, end = max(first, at), min(last + 1, len(starts) - 1)
             if first < end:
                 parts.append(raw[starts[at] if at else 0:starts[first]])
@@ -291,10 +293,19 @@ def drop_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     named, _ = by_text(docs)
-    runs = cut(repeated_runs(named.select(F.col("__node").alias("doc_id"), "text"), least).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("first", "last")).alias("__runs")))
+    with scratch(docs.sparkSession):
+        found = repeated_runs(named.select(F.col("__node").alias("doc_id"), "text"), least)
+        runs = cut(found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("first", "last")).alias("__runs")), keep=True)
     joined = named.join(runs, F.col("__node") == F.col("__doc"), "left")
     has = F.col("__runs").isNotNull() & F.col("text").isNotNull()
-    out = joined.withColumn("__cut", F.pandas_udf(without, "text string, n_deleted long")(F.when(has, F.col("text")), "__runs"))
+
+    @F.pandas_udf("text string, n_deleted long")
+    @frugal
+    def cleaned(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield without(*b)
+
+    out = joined.withColumn("__cut", cleaned(F.when(has, F.col("text")), "__runs.first", "__runs.last"))
     text = F.when(has, F.col("__cut.text")).otherwise(F.col("text"))
     changed = {"text": text, "n_words": F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long"), "n_deleted": F.col("__cut.n_deleted")}
     if "n_chars" in docs.columns:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanquarry.llm.shared import by_text, components, cut, frugal, slices, small_batches
+from spanquarry.llm.shared import by_text, components, cut, frugal, scratch, slices, small_batches
 
 _BITS = 1024  # of the parity signature
 _GROWTH = 1.5  # size classes
@@ -217,40 +217,43 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80, whole:
 
 def _components(docs: DataFrame, width: int, share: int, whole: int, split: DataFrame | None) -> DataFrame:
     """As :func:`jaccard_components` for ids that have one text each; the nodes ``split`` from one id are linked as well."""
-    base = cut(incidence(docs, width, share, whole))
-    classes = base.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("c"))
-    of_doc = base.select("doc_id", "n", "set_key")
-    # one shuffle of slim rows; a key has one row a document, so even a group of copies of a third of all rows is spread
-    # over the many keys that each of its documents has
-    same = Window.partitionBy("key")
-    met = blocked(docs, width, share, whole).select("key", "doc_id", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high"))
-    met = cut(met.where("low < high").select("key", "doc_id"))
-    class_of = of_doc.join(classes, "set_key").select("doc_id", "c").dropDuplicates(["doc_id"])
-    rows = base.join(classes.select(F.col("c").alias("doc_id"), "set_key"), ["doc_id", "set_key"]).dropDuplicates(["doc_id"])
-    rows = rows.withColumnRenamed("doc_id", "c")
-    blocks = cut(_needed(met.join(class_of, "doc_id").select("key", "c").distinct(), rows))
-    rows = cut(rows.select("c", "n", "signature", "wide").join(blocks.select("c").distinct(), "c"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    of = lambda side: rows.toDF(side, f"n{side}", f"s{side}", f"w{side}")
-    may, wide = _may_link("na", "nb", "sa", "sb", share, whole), _may_link_wide("na", "nb", "wa", "wb", share, whole)
-    narrowed = lambda pairs: cut(pairs.join(of("a"), "a").join(of("b"), "b").where(may & wide).select("a", "b"))
-    starred = blocks.where("c != pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
-    first = _linked(narrowed(starred), texts, width, share, whole)
-    if split is not None:
-        star = split.join(split.groupBy("__doc").agg(F.min("__node").alias("a")), "__doc").select("a", F.col("__node").alias("doc_id"))
-        named = class_of.join(star, "doc_id", "right").select(F.col("a").alias("doc_id"), F.coalesce("c", "doc_id").alias("b"))
-        first = first.unionAll(class_of.join(named, "doc_id", "right").select(F.coalesce("c", "doc_id").alias("a"), "b"))
-    first = cut(first)
-    found = components(first)
-    grouped = blocks.select("key", "c").join(found.toDF("c", "g"), "c", "left").select("key", "c", F.coalesce("g", "c").alias("g"))
-    several = grouped.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
-    still = cut(grouped.join(several, "key").join(rows.drop("wide"), "c"))
-    if not still.isEmpty():
-        x = still.select("key", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-        y = still.select("key", F.col("c").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
-        crossed = x.join(y, (x["key"] == y["key"]) & (F.col("ga") < F.col("gb")) & may)
-        more = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = components(first.unionAll(_linked(narrowed(more), texts, width, share, whole)))
-    return (of_doc.join(classes, "set_key", "left").withColumn("c", F.coalesce("c", F.when(F.col("set_key").isNull(), F.col("doc_id"))))
-            .join(found.toDF("c", "g"), "c", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("g", "c")).alias("component_id")))
+    with scratch(docs.sparkSession):
+        base = cut(incidence(docs, width, share, whole))
+        classes = base.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("c"))
+        of_doc = base.select("doc_id", "n", "set_key")
+        # one shuffle of slim rows; a key has one row a document, so even a group of copies of a third of all rows is spread
+        # over the many keys that each of its documents has
+        same = Window.partitionBy("key")
+        met = blocked(docs, width, share, whole).select("key", "doc_id", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high"))
+        class_of = of_doc.join(classes, "set_key").select("doc_id", "c").dropDuplicates(["doc_id"])
+        rows = base.join(classes.select(F.col("c").alias("doc_id"), "set_key"), ["doc_id", "set_key"]).dropDuplicates(["doc_id"])
+        rows = rows.withColumnRenamed("doc_id", "c")
+        with scratch(docs.sparkSession):
+            met = cut(met.where("low < high").select("key", "doc_id"))
+            blocks = cut(_needed(met.join(class_of, "doc_id").select("key", "c").distinct(), rows), keep=True)
+        rows = cut(rows.select("c", "n", "signature", "wide").join(blocks.select("c").distinct(), "c"))
+        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+        of = lambda side: rows.toDF(side, f"n{side}", f"s{side}", f"w{side}")
+        may, wide = _may_link("na", "nb", "sa", "sb", share, whole), _may_link_wide("na", "nb", "wa", "wb", share, whole)
+        narrowed = lambda pairs: cut(pairs.join(of("a"), "a").join(of("b"), "b").where(may & wide).select("a", "b"))
+        starred = blocks.where("c != pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
+        first = _linked(narrowed(starred), texts, width, share, whole)
+        if split is not None:
+            star = split.join(split.groupBy("__doc").agg(F.min("__node").alias("a")), "__doc").select("a", F.col("__node").alias("doc_id"))
+            named = class_of.join(star, "doc_id", "right").select(F.col("a").alias("doc_id"), F.coalesce("c", "doc_id").alias("b"))
+            first = first.unionAll(class_of.join(named, "doc_id", "right").select(F.coalesce("c", "doc_id").alias("a"), "b"))
+        first = cut(first)
+        found = components(first)
+        grouped = blocks.select("key", "c").join(found.toDF("c", "g"), "c", "left").select("key", "c", F.coalesce("g", "c").alias("g"))
+        several = grouped.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
+        still = cut(grouped.join(several, "key").join(rows.drop("wide"), "c"))
+        if not still.isEmpty():
+            x = still.select("key", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("signature").alias("sa"))
+            y = still.select("key", F.col("c").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+            crossed = x.join(y, (x["key"] == y["key"]) & (F.col("ga") < F.col("gb")) & may)
+            more = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            found = components(first.unionAll(_linked(narrowed(more), texts, width, share, whole)))
+        labelled = (of_doc.join(classes, "set_key", "left").withColumn("c", F.coalesce("c", F.when(F.col("set_key").isNull(), F.col("doc_id"))))
+                .join(found.toDF("c", "g"), "c", "left")
+                .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("g", "c")).alias("component_id")))
+        return cut(labelled, keep=True)

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 import pandas as pd
@@ -31,13 +33,36 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside the block are deleted at its end; what is read later is cut with ``keep`` (or outside).
+
+    A kept table is written in full by then, so later jobs need none of those it was made from.
+    """
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` written as a table in the shared folder and read from there.
 
-    Later jobs, also those that repeat tasks of a lost executor, start from these files. They stay as long as the
-    shared folder does.
+    Later jobs, also those that repeat tasks of a lost executor, start from these files. They go at the end of the
+    innermost :func:`scratch` block, with ``keep`` of the one around it; without a block they stay as long as the shared
+    folder does.
     """
     path = folder(df.sparkSession, "llm-table")
+    if len(scopes := _scopes.get()) > keep:
+        scopes[-1 - keep].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -105,25 +130,24 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes, edges and labels stay distributed; a star centre only takes part in minima that combine before the shuffle
     and in joins on distinct keys. Null ends are dropped. An empty input gives an empty result.
     """
-    edges = cut(edges.where(F.col("a") != F.col("b")).select(F.col("a").cast("long"), F.col("b").cast("long")).distinct())
-    rank = lambda c, salt: F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("h"), F.col(c).alias("id"))
-    rounds: list[DataFrame] = []
-    while not edges.isEmpty():
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        salt = len(rounds)
-        near = both.groupBy("a").agg(F.least(F.min(rank("b", salt)), F.first(rank("a", salt))).alias("near"))
-        two = both.join(near.toDF("b", "near"), "b").groupBy("a").agg(F.min("near")["id"].alias("to"))
-        taken = cut(two)
-        left, right = taken.toDF("a", "a2"), taken.toDF("b", "b2")
-        edges = cut(
-            edges.join(left, "a").join(right, "b").where("a2 != b2")
-            .select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
-        rounds.append(taken)
-    if not rounds:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    labels = rounds[0].toDF("node", "root")
-    for step in rounds[1:]:
-        labels = labels.join(step.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    labels = cut(labels)
+    with scratch(edges.sparkSession):
+        edges = cut(edges.where(F.col("a") != F.col("b")).select(F.col("a").cast("long"), F.col("b").cast("long")).distinct())
+        rank = lambda c, salt: F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("h"), F.col(c).alias("id"))
+        rounds: list[DataFrame] = []
+        while not edges.isEmpty():
+            both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            salt = len(rounds)
+            near = both.groupBy("a").agg(F.least(F.min(rank("b", salt)), F.first(rank("a", salt))).alias("near"))
+            two = both.join(near.toDF("b", "near"), "b").groupBy("a").agg(F.min("near")["id"].alias("to"))
+            taken = cut(two)
+            left, right = taken.toDF("a", "a2"), taken.toDF("b", "b2")
+            edges = cut(
+                edges.join(left, "a").join(right, "b").where("a2 != b2")
+                .select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
+            rounds.append(taken)
+        labels = (rounds[0] if rounds else edges).toDF("node", "root")
+        for step in rounds[1:]:
+            labels = labels.join(step.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        labels = cut(labels, keep=True)
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
     return labels.join(least, "root").select("node", "component")

@@ -131,3 +131,30 @@ def test_streamed_digests_equal_whole_ones(spark):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_tables_that_are_no_longer_read_are_deleted(spark):
+    from pathlib import Path
+
+    from spanquarry.llm import line_dedup, ngram_join, shared
+
+    def tables():
+        return set(Path(shared.shared_dir(spark).removeprefix("file:")).glob("llm-table-*"))
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[a:a + 120]) for a in (0, 0, 40, 200)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = tables()
+    cleaned = line_dedup.drop_repeats(docs)
+    assert len(tables() - before) == 2  # the runs, and the list of ids with several texts
+    assert [r.n_deleted for r in cleaned.orderBy("doc_id").collect()] == [0, 120, 80, 0, 0, 0]
+    before = tables()
+    groups = ngram_join.jaccard_components(docs, 5, 40, 100)
+    assert len(tables() - before) == 2
+    assert [r.component_id for r in groups.orderBy("doc_id").collect()] == [0, 0, 0, 3, 4, 5]
+    before = tables()
+    with shared.scratch(spark):
+        kept = shared.components(spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "a long, b long"))
+        none = shared.components(spark.createDataFrame([], "a long, b long"))
+        assert kept.count() == 5 and none.isEmpty()
+    assert tables() == before
