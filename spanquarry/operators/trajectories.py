@@ -48,22 +48,45 @@ def trajectory_io(spans: DataFrame, seq: str = "seq") -> DataFrame:
         F.max_by(F.when(filled("output"), F.col("output")), F.when(filled("output"), F.col(seq))).alias("output"))
 
 
+def _known_run() -> Column:
+    return F.col(RUN[0]).isNotNull() & F.col(RUN[1]).isNotNull()
+
+
+def _anonymous(seq: str) -> Column:
+    return F.concat(F.lit("_anon_"), F.col(seq))
+
+
+def _given_parent() -> Column:
+    return F.when(F.col("parent_id") != F.col("span_id"), F.nullif("parent_id", F.lit("")))
+
+
+def _named(spans: DataFrame, seq: str) -> DataFrame:
+    """``span_id`` of spans of a known run, with ``_id`` (never null) and ``_head`` (the first row of an id that was given)."""
+    has_id = F.length(F.coalesce("trace_id", F.lit(""))) > 0
+    apart = F.concat(F.lit("\0"), F.coalesce(F.col(seq).cast("string"), F.lit("")))  # spans without an id do not meet in one task
+    keyed = spans.filter(_known_run()).withColumns({"_has": has_id, "_id": F.coalesce(F.when(has_id, F.col("trace_id")), apart)})
+    w = Window.partitionBy(*RUN, "_id").orderBy(F.desc("_has"), F.asc_nulls_last(seq), F.asc("parent_id"))
+    owner = F.col("_has") & F.coalesce(F.col(seq) == F.first(seq).over(w), F.lit(False))
+    head = F.col("_has") & F.lag(F.lit(True)).over(w).isNull()
+    return keyed.withColumns({"_head": head, "span_id": F.when(owner, F.col("_id")).otherwise(_anonymous(seq))}).drop("_has")
+
+
 def link_spans(spans: DataFrame, seq: str = "seq") -> DataFrame:
     """Repaired ids and parents of a run's spans.
 
     A missing or repeated id gets a name of its own, so that the span is still listed;
     a parent that is the span itself or was never stored makes the span a root.
     ``seq`` is a string or number that orders the spans of a run.
+
+    Spans are shuffled twice, by id and by parent: the ids that parents are looked up in
+    read the exchange of the spans, whose columns the order behind ``_head`` needs too.
     """
-    has_id = F.length(F.coalesce("trace_id", F.lit(""))) > 0
-    first = spans.filter(has_id).groupBy(*RUN, "trace_id").agg(F.min(seq).alias("_first"))
-    owner = has_id & F.coalesce(F.col(seq) == F.col("_first"), F.lit(False))
-    named = spans.join(first, [*RUN, "trace_id"], "left").withColumn(
-        "span_id", F.when(owner, F.col("trace_id")).otherwise(F.concat(F.lit("_anon_"), F.col(seq)))).drop("_first")
-    ids = first.select(*RUN, F.col("trace_id").alias("_parent"), F.lit(True).alias("_known"))
-    parent = F.when(F.col("parent_id") != F.col("span_id"), F.nullif("parent_id", F.lit("")))
-    linked = named.withColumn("_parent", parent).join(ids, [*RUN, "_parent"], "left")
-    return linked.withColumn("parent", F.when(F.col("_known"), F.col("_parent"))).drop("_parent", "_known")
+    named = _named(spans, seq)
+    ids = named.filter("_head").select(*RUN, F.col("_id").alias("_parent"), F.lit(True).alias("_known"))
+    linked = named.drop("_id", "_head").withColumn("_parent", _given_parent()).join(ids, [*RUN, "_parent"], "left")
+    linked = linked.withColumn("parent", F.when(F.col("_known"), F.col("_parent"))).drop("_parent", "_known")
+    lost = spans.filter(~_known_run())
+    return linked.unionByName(lost.withColumns({"span_id": _anonymous(seq), "parent": F.lit(None).cast("string")}))
 
 
 def trajectory_steps(spans: DataFrame, seq: str = "seq",
