@@ -3,15 +3,18 @@ from __future__ import annotations
 
 import json
 import sys
-from typing import Callable
+from itertools import groupby
+from operator import itemgetter
+from typing import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanquarry.functions.common import as_col, bind, first_non_empty, texts_of
 from spanquarry.functions.scalars import event_input, event_output, preview, step_agent, text_of
-from spanquarry.functions.shared import shared_dir
+from spanquarry.functions.shared import cut as stored, shared_dir
 from spanquarry.operators.alerts import positions
 from spanquarry.operators.versioned import latest, pick_first
 
@@ -20,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MEDIA = texts_of("kind", "mime", "sha256")
 CALL = "array<struct<name:string,kind:string,server:string,arguments:string,output:string>>"
 RUN = ["organization_id", "root_trace_id"]
+# Spans of a run that a task may hold at once.
+GATHERED = 256
 
 
 def pin_trajectories(traces: DataFrame, runs: DataFrame, captured_at: Column) -> DataFrame:
@@ -93,6 +98,86 @@ def trajectory_steps(spans: DataFrame, seq: str = "seq",
                      cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Depth and path of every span; sorting a run by ``path`` lists it depth first.
 
+    Runs of up to ``GATHERED`` spans are shuffled once and walked in memory.  Longer
+    ones, found by a count, are never gathered (:func:`_doubled_steps`, which takes
+    ``cut``).  Spans in a cycle or below one are listed at depth 0, after the tree.
+    """
+    sizes = spans.groupBy(*RUN).agg(F.count("*").alias("_spans"))
+    long = stored(sizes.filter((F.col("_spans") > GATHERED) & _known_run()).select(*RUN))
+    if long.isEmpty():
+        return _walked_steps(spans, seq)
+    short = _walked_steps(spans.join(long, RUN, "left_anti"), seq)
+    return short.unionByName(_doubled_steps(spans.join(long, RUN, "left_semi"), seq, cut))
+
+
+def _key(spans: DataFrame, seq: str) -> Column:
+    return F.col(seq).cast("string") if dict(spans.dtypes)[seq] == "string" else F.lpad(F.col(seq).cast("string"), 20, "0")
+
+
+def _walked_steps(spans: DataFrame, seq: str) -> DataFrame:
+    """Steps of runs that one task can hold: one shuffle by run, then the rows of a run follow each other."""
+    rows = _named(spans.select(*RUN, "trace_id", "parent_id", seq).repartition(*RUN), seq)
+    slim = rows.select(*RUN, "span_id", "trace_id", _given_parent().alias("_given"), F.col(seq).alias("seq"), _key(spans, seq).alias("_key"))
+    return slim.sortWithinPartitions(*RUN).mapInArrow(_walk, (
+        f"{RUN[0]} string, {RUN[1]} string, span_id string, trace_id string, parent string, seq {dict(spans.dtypes)[seq]}, depth int, path array<string>"))
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seq_type, done, held = None, [], 0
+
+    def rows() -> Iterator[tuple]:
+        nonlocal seq_type
+        for batch in batches:
+            seq_type = batch.schema.field("seq").type
+            yield from zip(*[c.to_pylist() for c in batch.columns])
+
+    def batch() -> pa.RecordBatch:
+        types = [pa.string()] * 5 + [seq_type, pa.int32(), pa.list_(pa.string())]
+        names = [*RUN, "span_id", "trace_id", "parent", "seq", "depth", "path"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=names)
+
+    for run, of_run in groupby(rows(), key=itemgetter(0, 1)):
+        for step in _run_steps([row[2:] for row in of_run]):
+            done.append((*run, *step))
+            held += len(step[-1])
+            if held >= 50_000:
+                yield batch()
+                done, held = [], 0
+    if done:
+        yield batch()
+
+
+def _run_steps(rows: list[tuple]) -> Iterator[tuple]:
+    """Steps of one run from (span_id, trace_id, given parent, seq, key); the rows of one span_id share their paths."""
+    ids = {row[1] for row in rows}
+    nodes: dict[str, list] = {}
+    for span_id, _, given, _, key in rows:
+        nodes.setdefault(span_id, []).append((given if given in ids else None, key))
+    paths, opened = {}, set()  # a path is None in a cycle and below it
+    for start in nodes:
+        todo = [start]
+        while todo:
+            at = todo.pop()
+            if at in paths:
+                continue
+            if at not in opened:
+                opened.add(at)
+                above = [p for p, _ in nodes[at] if p in nodes and p not in paths and p not in opened]
+                if above:
+                    todo += [at, *above]
+                    continue
+            paths[at] = [None if q is None else [*q, key] for p, key in nodes[at]
+                         for q in (paths.get(p, [None]) if p in nodes and p is not None else [[]])]
+    for span_id, trace_id, given, seq, key in rows:
+        if span_id is not None:
+            for path in paths[span_id]:
+                yield (span_id, trace_id, given if given in ids else None, seq,
+                       0 if path is None else len(path) - 1, ["~", key] if path is None else path)
+
+
+def _doubled_steps(spans: DataFrame, seq: str, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Steps of runs of any size.
+
     Paths are found by pointer doubling: each round joins a span with the ancestor it
     knows and takes over that ancestor's knowledge, so a tree of depth d needs log2(d)
     rounds, and a run may be of any size because it is never gathered.  While a span
@@ -106,8 +191,8 @@ def trajectory_steps(spans: DataFrame, seq: str = "seq",
     lost executor does not replay every round.
     """
     cut = cut or _cut
-    linked = link_spans(spans, seq)
-    key = F.col(seq).cast("string") if dict(spans.dtypes)[seq] == "string" else F.lpad(F.col(seq).cast("string"), 20, "0")
+    linked = stored(link_spans(spans, seq))
+    key = _key(spans, seq)
     sizes = linked.groupBy(*[F.col(c).alias(f"_{c}") for c in RUN]).agg(F.count("*").alias("_spans"))
     same_run = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in RUN]
     state = cut(linked.join(sizes, same_run).select(*RUN, "_spans", "span_id", F.col("parent").alias("up"), F.array(key).alias("path")))

@@ -1,6 +1,8 @@
 """What large tables make expensive: shuffles, stored tables and calls on state, each counted on a few rows."""
 import random
 
+import pytest
+
 from spanquarry.operators import trajectories as TJ
 
 SPANS = "organization_id string, root_trace_id string, trace_id string, parent_id string, seq int"
@@ -38,3 +40,31 @@ def test_spans_of_unknown_runs_are_no_owners(spark):
     df = spark.createDataFrame([(None, "r", "a", None, 1), ("o", "r", "a", None, 2), ("o", "r", "b", "a", 3), ("o", None, "c", "a", 4)], SPANS)
     got = sorted((r["span_id"], r["parent"]) for r in TJ.parents(df).collect())
     assert got == [("_anon_1", None), ("_anon_4", None), ("a", None), ("b", "a")]
+
+
+def test_short_runs_store_no_rounds(spark):
+    def cut(df):
+        raise AssertionError("a short run needs no round")
+
+    chain = [("o", "run", f"s{i:03}", f"s{i - 1:03}" if i else None, i) for i in range(200)]
+    got = {r["span_id"]: (r["depth"], len(r["path"])) for r in TJ.trajectory_steps(spark.createDataFrame(chain, SPANS), cut=cut).collect()}
+    assert got == {f"s{i:03}": (i, i + 1) for i in range(200)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_walked_runs_equal_doubled_ones(spark, seed):
+    df = forest(spark, seed, [1, 9, 25])
+    assert listed(TJ._walked_steps(df, "seq")) == listed(TJ._doubled_steps(df, "seq"))
+
+
+def test_rows_that_come_twice_have_each_others_paths(spark):
+    twice = [("o", "run", "root", None, "root"), ("o", "run", "kid", "root", "kid")] * 2
+    df = spark.createDataFrame(twice, SPANS.replace("seq int", "seq string"))
+    got = listed(TJ._walked_steps(df, "seq"))
+    assert got == listed(TJ._doubled_steps(df, "seq")) and len(got) == 4 + 8
+
+
+def test_long_and_short_runs_are_listed_together(spark):
+    df = forest(spark, 5, [TJ.GATHERED + 1, 7])
+    got = TJ.trajectory_steps(df)
+    assert listed(got) == listed(TJ._doubled_steps(df, "seq"))
