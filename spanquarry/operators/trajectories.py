@@ -372,10 +372,13 @@ def agentic_job_rows(traces: DataFrame, roots: DataFrame, event: Column) -> Data
     """The spans of each agentic-evaluation job, one row each: ``position`` (from 0, in time order) and ``event``.
 
     Spans without a time come first. A run of any size is neither sorted in one task nor gathered.
+    The chosen runs are stored first, so that Spark knows how few they are before it shuffles spans, and
+    their spans once, as they are both counted and ranked.
     """
+    chosen = stored(roots.select(*RUN).distinct())
     ts = F.coalesce(F.col("ingested_at").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz"))
-    rows = traces.join(roots.select(*RUN).distinct(), RUN, "left_semi").select(*RUN, "trace_id", ts.alias("_ts"), event.alias("event"))
-    return positions(rows, RUN, "_ts", "trace_id", bucket="second").select(*RUN, F.col("pos").alias("position"), "event")
+    rows = traces.join(chosen, RUN, "left_semi").select(*RUN, "trace_id", ts.alias("_ts"), event.alias("event"))
+    return positions(stored(rows), RUN, "_ts", "trace_id", bucket="second").select(*RUN, F.col("pos").alias("position"), "event")
 
 
 def agentic_jobs(traces: DataFrame, roots: DataFrame, event: Column, options: dict[str, str] | None = None,

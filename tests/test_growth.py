@@ -1,7 +1,9 @@
 """What large tables make expensive: shuffles, stored tables and calls on state, each counted on a few rows."""
+import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanquarry.operators import trajectories as TJ
 
@@ -68,3 +70,12 @@ def test_long_and_short_runs_are_listed_together(spark):
     df = forest(spark, 5, [TJ.GATHERED + 1, 7])
     got = TJ.trajectory_steps(df)
     assert listed(got) == listed(TJ._doubled_steps(df, "seq"))
+
+
+def test_job_rows_read_the_spans_once(spark, tmp_path):
+    data = [("o", f"r{i % 4}", f"t{i}", dt.datetime(2024, 1, 1)) for i in range(40)]
+    spark.createDataFrame(data, "organization_id string, root_trace_id string, trace_id string, ingested_at timestamp_ntz").write.parquet(str(tmp_path / "spans"))
+    roots = spark.createDataFrame([("o", "r1"), ("o", "r1")], "organization_id string, root_trace_id string")
+    rows = TJ.agentic_job_rows(spark.read.parquet(str(tmp_path / "spans")), roots, F.col("trace_id"))
+    assert not [f for f in rows.inputFiles() if str(tmp_path) in f]  # counted and ranked from the stored rows
+    assert sorted(r["event"] for r in rows.collect()) == sorted(f"t{i}" for i in range(1, 40, 4))
