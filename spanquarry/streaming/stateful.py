@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from spanquarry.functions.common import moment
@@ -21,12 +21,18 @@ RATE_WINDOW, RATE_MINIMUM, COOLDOWN_SECONDS = 30, 10, 600
 DIGEST_SECONDS = {"hourly": 3600, "daily": 86400}
 
 
+def _age(at: int, event_id: int | None) -> tuple:
+    return at, event_id is not None, event_id or 0
+
+
 class Running(StatefulProcessor):
     """The newest message of a run, by (ts, event_id), for as long as it can matter.
 
     Not only a start is kept: a finish stays too, so that a start which arrives late
     does not bring the run back.  A timer at the message's time plus the time to live
-    forgets it, and says so if the run was still open.
+    forgets it, and says so if the run was still open.  A run has one timer, which is
+    set anew when it goes off and a newer message has come: every call on the state of
+    a run costs a message between Python and the JVM, so there are two a batch, not six.
     """
 
     def __init__(self, ttl_seconds: int) -> None:
@@ -36,34 +42,34 @@ class Running(StatefulProcessor):
         self.handle = handle
         self.newest = handle.getValueState("newest", "at long, event_id long, kind string, api_key_prefix string, event string")
 
-    def _row(self, key, prefix, event, at, event_id, deleted: int, expired: bool) -> pd.DataFrame:
-        return pd.DataFrame([{
-            "organization_id": key[0], "trace_id": key[1], "api_key_prefix": prefix, "event": event, "at": at,
-            "event_id": event_id, "deleted": deleted, "expired": expired}])
+    def _row(self, key, prefix, event, at, event_id, deleted: int, expired: bool) -> Row:
+        return Row(organization_id=key[0], trace_id=key[1], api_key_prefix=prefix, event=event, at=at,
+                   event_id=event_id, deleted=deleted, expired=expired)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
-        for pdf in rows:
-            top = pdf.loc[pdf["at"] == pdf["at"].max()].nlargest(1, "event_id").iloc[0]
-            if newest is None or (top["at"], top["event_id"]) > (newest["at"], newest["event_id"]):
-                newest = top
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        timed = (row for row in rows if row.at is not None)
+        newest = max(timed, key=lambda row: _age(row.at, row.event_id), default=None)
         if newest is None:
             return
-        held = self.newest.get() if self.newest.exists() else None
-        if held is not None:
-            if (newest["at"], newest["event_id"]) <= (held[0], held[1]):
-                return
-            self.handle.deleteTimer(held[0] // 1000 + self.ttl_ms)
-        started = newest["kind"] == "started"
-        self.newest.update((int(newest["at"]), int(newest["event_id"]), newest["kind"], newest["api_key_prefix"], newest["event"]))
-        self.handle.registerTimer(int(newest["at"]) // 1000 + self.ttl_ms)
+        held = self.newest.get()
+        if held is not None and _age(newest.at, newest.event_id) <= _age(held[0], held[1]):
+            return
+        started = newest.kind == "started"
+        self.newest.update((newest.at, newest.event_id, newest.kind, newest.api_key_prefix, newest.event))
+        if held is None:
+            self.handle.registerTimer(newest.at // 1000 + self.ttl_ms)
         if started or (held is not None and held[2] == "started"):
-            yield self._row(key, newest["api_key_prefix"], newest["event"], newest["at"], newest["event_id"], 0 if started else 1, False)
+            yield self._row(key, newest.api_key_prefix, newest.event, newest.at, newest.event_id, 0 if started else 1, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.newest.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.newest.get()
+        if held is None:
+            return
+        at, event_id, kind, prefix, event = held
+        end = at // 1000 + self.ttl_ms
+        if end > expiredTimerInfo.getExpiryTimeInMs() and end >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(end)
             return
-        at, event_id, kind, prefix, event = self.newest.get()
         self.newest.clear()
         if kind == "started":
             yield self._row(key, prefix, event, at, event_id, 1, True)
@@ -81,7 +87,7 @@ def running_changes(stream: DataFrame, ttl_seconds: int = COOLDOWN_SECONDS, dela
     """
     rows = stream.filter(F.col("kind").isin("started", "persisted", "enriched") & F.col("organization_id").isNotNull() & F.col("trace_id").isNotNull())
     slim = rows.select("organization_id", "trace_id", "api_key_prefix", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("long").alias("event_id"), "kind", "event")
-    log = slim.withWatermark("ts", delay).groupBy("organization_id", "trace_id").transformWithStateInPandas(
+    log = slim.withWatermark("ts", delay).groupBy("organization_id", "trace_id").transformWithState(
         Running(ttl_seconds), outputStructType=RUNNING_SCHEMA, outputMode="Append", timeMode="EventTime")
     return log.withColumn("at", F.timestamp_micros("at")).withColumnRenamed("at", "ts")
 

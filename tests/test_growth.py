@@ -1,11 +1,13 @@
 """What large tables make expensive: shuffles, stored tables and calls on state, each counted on a few rows."""
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from spanquarry.operators import trajectories as TJ
+from spanquarry.streaming import stateful as ST
 
 SPANS = "organization_id string, root_trace_id string, trace_id string, parent_id string, seq int"
 
@@ -79,3 +81,26 @@ def test_job_rows_read_the_spans_once(spark, tmp_path):
     rows = TJ.agentic_job_rows(spark.read.parquet(str(tmp_path / "spans")), roots, F.col("trace_id"))
     assert not [f for f in rows.inputFiles() if str(tmp_path) in f]  # counted and ranked from the stored rows
     assert sorted(r["event"] for r in rows.collect()) == sorted(f"t{i}" for i in range(1, 40, 4))
+
+
+def test_the_registry_makes_few_calls_on_state():
+    calls, held = [], []
+    state = SimpleNamespace(get=lambda: calls.append("get") or (held[-1] if held else None), exists=lambda: calls.append("exists") or bool(held),
+                            update=lambda v: calls.append("update") or held.append(v), clear=lambda: calls.append("clear") or held.clear())
+    handle = SimpleNamespace(getValueState=lambda *_: state, registerTimer=lambda t: calls.append(("timer", t)), deleteTimer=lambda t: calls.append(("delete", t)))
+    running = ST.Running(600)
+    running.init(handle)
+    message = lambda at, i, kind: Row(at=at * 1_000_000, event_id=i, kind=kind, api_key_prefix="k", event="{}")
+    batch = lambda *rows: [(r.event_id, r.deleted, r.expired) for r in running.handleInputRows(("o", "run"), iter(rows), None)]
+    assert batch(message(5, 1, "started"), message(3, 9, "persisted")) == [(1, 0, False)]
+    assert calls == ["get", "update", ("timer", 605_000)]
+    calls.clear()
+    assert batch(message(100, 2, "started")) == [(2, 0, False)] and batch(message(50, 3, "persisted")) == []
+    assert calls == ["get", "update", "get"]
+    calls.clear()
+    expire = lambda at, mark: [(r.event_id, r.deleted, r.expired) for r in running.handleExpiredTimer(
+        ("o", "run"), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), SimpleNamespace(getExpiryTimeInMs=lambda: at))]
+    assert expire(605_000, 650_000) == [] and calls == ["get", ("timer", 700_000)]  # a newer message: the timer is set anew
+    assert expire(700_000, 700_001) == [(2, 1, True)] and not held
+    batch(message(5, 1, "started")), batch(message(100, 2, "started"))
+    assert expire(605_000, 900_000) == [(2, 1, True)]  # the watermark has passed both
