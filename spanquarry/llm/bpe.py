@@ -1,7 +1,8 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and its inverse.
 
 The merge list gives a lookahead that suffices: a token whose end lies that many bytes before the end of what has been
-read cannot change any more. The transducer reads pieces of text, emits every stable token and keeps the rest.
+read cannot change any more. The transducer reads pieces of text, emits every stable token and keeps the rest. Words
+shorter than that are stable at their end only; those of many texts are merged side by side, a merge of each in one step.
 """
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain, groupby, islice, repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -25,8 +28,12 @@ from spanquarry.llm.shared import frugal, small_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEGMENT = 1 << 16  # characters split at once
 CACHE = 1 << 22  # bytes of words and ids a coder remembers
+BLOCK = 1 << 18  # characters of segments whose words are looked up together
+SHORT = 64  # bytes below which words are merged side by side
+FEW = 512  # words from which that takes less time than one word after the other
 _TOKEN = 24
 _MADE = (1 << _TOKEN) - 1
+_NEVER = np.iinfo(np.int32).max
 
 
 def default_path() -> str:
@@ -58,6 +65,15 @@ class Merges:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank.setdefault((vocab[a], vocab[b]), n << _TOKEN | vocab[a + b])
         self.lookahead = self._lookahead()
+        ranked, pairs = np.array([*self.rank.values()], np.int64), np.array([*self.rank], np.int64).reshape(-1, 2)
+        keys, ranks = pairs[:, 0] << _TOKEN | pairs[:, 1], ranked >> _TOKEN
+        order = keys.argsort()
+        self.keys = np.append(keys[order], -1)  # pairs in order, for many at once
+        self.ranks = np.append(ranks[order], _NEVER).astype(np.int32)
+        self.made = np.zeros(ranks.max(initial=0) + 1, np.int32)
+        self.made[ranks] = ranked & _MADE
+        self.single = np.array([self.of_byte.get(b, -1) for b in range(256)], np.int32)
+        self.first = self.ranks_of(self.single[:, None].repeat(256, 1), self.single[None].repeat(256, 0))
 
     def _lookahead(self) -> int:
         """Bytes after which nothing further right can move a token's end.
@@ -112,6 +128,58 @@ class Merges:
                 heapq.heappush(heap, (rank[p], h, *p))
         return [t for t, x in zip(ids, alive) if x]
 
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens, ``_NEVER`` for those that do not merge."""
+        key = a.astype(np.int64) << _TOKEN | b
+        at = self.keys[:-1].searchsorted(key)
+        return np.where(self.keys[at] == key, self.ranks[at], _NEVER)
+
+    def merge_each(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces below ``SHORT`` bytes: what :meth:`merge` gives for each.
+
+        Pieces are the rows of a matrix, one of a kind for similar lengths. A step merges the pair of least rank of every
+        row, leftmost first, and looks up the two pairs that are new; rows without a pair to merge leave.
+        """
+        out, sizes, low = [b""] * len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces)), 0
+        pad = bytes([next(iter(self.of_byte))])
+        for high in (8, 11, 16, 32, SHORT):
+            rows = ((sizes > low) & (sizes <= high)).nonzero()[0]
+            low = high
+            if not len(rows):
+                continue
+            left = sizes[rows]  # tokens of each row; what stands behind them is never read
+            width = int(left.max())
+            raw = np.frombuffer(b"".join([pieces[i].ljust(width, pad) for i in rows.tolist()]), np.uint8).reshape(-1, width)
+            ids, ranks = self.single[raw], np.full(raw.shape, _NEVER, np.int32)
+            if ids.min() < 0:
+                raise KeyError("a byte without a token")
+            ranks[:, :-1] = self.first[raw[:, :-1], raw[:, 1:]]
+            ranks[np.arange(1, width + 1) >= left[:, None]] = _NEVER
+            while True:
+                at = ranks.argmin(1)
+                best = ranks[np.arange(len(rows)), at]
+                on = best != _NEVER
+                if not on.all():
+                    packed, step = ids[~on].astype("<u4").tobytes(), 4 * width
+                    for n, (i, size) in enumerate(zip(rows[~on].tolist(), left[~on].tolist())):
+                        out[i] = packed[n * step:n * step + 4 * size]
+                    if not on.any():
+                        break
+                    rows, left, ids, ranks, at, best = (x[on] for x in (rows, left, ids, ranks, at, best))
+                every, made, keep = np.arange(len(rows)), self.made[best], np.ones(ids.shape, bool)
+                width, left = width - 1, left - 1
+                keep[every, at + 1] = False
+                ids = ids[keep].reshape(-1, width)
+                ids[every, at] = made
+                keep[every, at + 1], keep[every, at] = True, False
+                ranks = ranks[keep].reshape(-1, width)
+                ranks[every, at] = _NEVER
+                row = at.nonzero()[0]
+                ranks[row, at[row] - 1] = self.ranks_of(ids[row, at[row] - 1], made[row])
+                row = (at + 1 < left).nonzero()[0]
+                ranks[row, at[row]] = self.ranks_of(made[row], ids[row, at[row] + 1])
+        return out
+
 
 @lru_cache(maxsize=1)
 def merges(path: str) -> Merges:
@@ -120,7 +188,7 @@ def merges(path: str) -> Merges:
 
 
 class _Known(dict):
-    """Packed ids of words seen; starts anew when it holds ``CACHE`` bytes, so that it stays bounded."""
+    """Packed ids of words seen; starts anew before a block when it holds ``CACHE`` bytes, within one at twice that."""
 
     def __init__(self, coder: Encoder):
         super().__init__()
@@ -129,13 +197,30 @@ class _Known(dict):
     def __missing__(self, word: str) -> bytes:
         packed = self.coder.word(word)
         if len(word) <= 64:
-            if self.held >= CACHE:
-                self.clear()
-                self.held = 0
-            self[word] = packed
-            self.held += 4 * len(word) + len(packed)
+            self.start_anew(2 * CACHE)
+            self.keep(word, packed)
         return packed
 
+    def start_anew(self, size: int) -> None:
+        if self.held >= size:
+            self.clear()
+            self.held = 0
+
+    def keep(self, word: str, packed: bytes) -> None:
+        self[word] = packed
+        self.held += 4 * len(word) + len(packed)
+
+    def meet(self, words: Iterable[str]) -> None:
+        """Learn the short words of a block together; others, and those of an endless segment, when they are asked for."""
+        self.start_anew(CACHE)
+        new = [w for w in set(islice(words, 2 * BLOCK)).difference(self) if len(w) < SHORT]
+        if len(new) < FEW:
+            return
+        raw = [w.encode("utf-8", "replace") for w in new]
+        short = [n for n, r in enumerate(raw) if len(r) < SHORT]
+        for n, packed in zip(short, self.coder.m.merge_each([raw[n] for n in short])):
+            self.keep(new[n], packed)
+
 
 class Encoder:
     """Text in, packed ids (little-endian unsigned 32-bit) out; holds a bounded cache and a bounded buffer."""
@@ -178,14 +263,36 @@ class Encoder:
             lo = hi
         yield text[lo:]
 
+    def read(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes]]:
+        """Number of the text and packed ids of one stretch after the other; every text has one at least."""
+        block, held = [], 0
+        for n, text in enumerate(texts):
+            at = 0
+            for stop in [*self.special.finditer(text), None]:
+                for part in self.segments(text[at:stop.start() if stop else len(text)]):
+                    block.append((n, self.find(part), b""))
+                    held += len(part) + 1
+                    if held >= BLOCK:
+                        yield from self.leave(block)
+                        block, held = [], 0
+                if stop:
+                    block.append((n, [], np.array([self.m.special[stop[0]]], "<u4").tobytes()))
+                    at = stop.end()
+        yield from self.leave(block)
+
+    def leave(self, block: list[tuple[int, list[str], bytes]]) -> Iterator[tuple[int, bytes]]:
+        self.known.meet(chain.from_iterable(words for _, words, _ in block))
+        known = self.known.__getitem__
+        for n, words, end in block:
+            yield n, b"".join(map(known, words)) + end
+
+    def each(self, texts: Iterable[str]) -> Iterator[Iterator[bytes]]:
+        """The stretches of one text after the other, to be read in this order."""
+        for _, stretches in groupby(self.read(texts), itemgetter(0)):
+            yield map(itemgetter(1), stretches)
+
     def encode(self, text: str) -> Iterator[bytes]:
-        at, known = 0, self.known.__getitem__
-        for stop in [*self.special.finditer(text), None]:
-            for part in self.segments(text[at:stop.start() if stop else len(text)]):
-                yield b"".join(map(known, self.find(part)))
-            if stop:
-                yield np.array([self.m.special[stop[0]]], "<u4").tobytes()
-                at = stop.end()
+        yield from next(self.each([text]))
 
 
 class Decoder:
@@ -199,7 +306,7 @@ class Decoder:
 
     def feed(self, state: codecs.IncrementalDecoder, packed: bytes) -> str:
         """What is certain of the text after the next ids."""
-        return state.decode(b"".join([self.get(i, b"") for i in np.frombuffer(packed, "<u4").tolist()]))
+        return state.decode(b"".join(map(self.get, np.frombuffer(packed, "<u4").tolist(), repeat(b""))))
 
     def decode(self, packed: bytes, step: int = 1 << 16) -> Iterator[str]:
         state = self.start()
@@ -219,7 +326,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = Encoder(path or default_path())
         for texts in batches:
-            yield pd.Series([b"".join(coder.encode(t or "")) for t in texts], dtype=object)
+            yield pd.Series([*map(b"".join, coder.each(t or "" for t in texts))], dtype=object)
 
     return df.withColumn(ids, encoded(F.coalesce(F.col(text), F.lit(""))))
 
@@ -247,7 +354,7 @@ def transcode(df: DataFrame, text: str = "text", ids: str = "ids", out: str = "d
         coder, reader = Encoder(path or default_path()), Decoder(path or default_path())
         for texts in batches:
             for lo in range(0, len(texts), rows):
-                packed = [b"".join(coder.encode(t or "")) for t in texts.iloc[lo:lo + rows]]
+                packed = [*map(b"".join, coder.each(t or "" for t in texts.iloc[lo:lo + rows]))]
                 yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series(["".join(reader.decode(p)) for p in packed], dtype=object)})
 
     small_batches(df.sparkSession)
@@ -268,9 +375,9 @@ def digests(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder, reader = Encoder(path or default_path()), Decoder(path or default_path())
 
-        def row(text: str) -> tuple[int, str, str]:
+        def row(stretches: Iterator[bytes]) -> tuple[int, str, str]:
             n, ids, out, state = 0, sha256(), sha256(), reader.start()
-            for packed in coder.encode(text):
+            for packed in stretches:
                 n += len(packed) // 4
                 ids.update(packed)
                 out.update(reader.feed(state, packed).encode())
@@ -278,7 +385,7 @@ def digests(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
             return n, ids.hexdigest(), out.hexdigest()
 
         for texts in batches:
-            yield pd.DataFrame([row(t or "") for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pd.DataFrame([*map(row, coder.each(t or "" for t in texts))], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
         merges.cache_clear()
 
     small_batches(df.sparkSession)

@@ -133,6 +133,35 @@ def test_streamed_digests_equal_whole_ones(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_words_of_many_texts_are_merged_side_by_side(monkeypatch):
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from spanquarry.llm import bpe
+
+    lib, own, rng = Tokenizer.from_file(bpe.default_path()), bpe.Encoder(bpe.default_path()), random.Random(4)
+    word = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+    texts = [" ".join(word("etaoinshrdlu", 14) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    alone, merge = [], bpe.Merges.merge
+    monkeypatch.setattr(bpe.Merges, "merge", lambda m, raw: alone.append(raw) or merge(m, raw))
+    ids = lambda: [np.frombuffer(b"".join(x), "<u4").tolist() for x in own.each(texts)]
+    assert ids() == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len({w for t in texts for w in t.split()}) > 2000 and not alone
+
+    pieces = [word(a, 70).encode()[:63] for a in ("a", "ab", "thea ", "aß漢 ", "=-", "\n \t", "0123 9") for _ in range(150)]
+    assert own.m.merge_each([b"", *pieces]) == [np.array(merge(own.m, p), "<u4").tobytes() for p in [b"", *pieces]]
+
+    monkeypatch.setattr(bpe, "BLOCK", 500)  # blocks and a cache that end within texts, and words too long for the side by side
+    monkeypatch.setattr(bpe, "CACHE", 2000)
+    monkeypatch.setattr(bpe, "FEW", 1)
+    texts = ["", *texts[:50], "", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", word("xyzw", 1) * 64, "é" * 40 + " é", "漢" * 64, " ".join(texts[50:120]), ""]
+    own = bpe.Encoder(bpe.default_path())
+    assert ids() == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.known.held <= 3 * bpe.CACHE
+
+
 def test_tables_that_are_no_longer_read_are_deleted(spark):
     from pathlib import Path
 
